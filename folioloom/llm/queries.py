@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from folioloom.llm import line_dedup
+from folioloom.llm import line_dedup, packing, token_files
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op9_token_files": token_files.op9_token_files,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
