@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from folioloom.llm import line_dedup, packing, token_files
+from folioloom.llm import fingerprints, language_id, line_dedup, packing, token_files
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op9_token_files": token_files.op9_token_files,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
