@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folioloom.llm import fingerprints, language_id, line_dedup, packing, token_files
+from folioloom.llm import fingerprints, language_id, line_dedup, near_dedup, packing, quality_rules, token_files
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_language_id": language_id.op2_language_id,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
