@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioloom.plans import documents, pages, tables
+
+QUERIES = pages.QUERIES | documents.QUERIES | tables.QUERIES
+ORACLES = pages.ORACLES | documents.ORACLES | tables.ORACLES
