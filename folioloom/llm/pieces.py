@@ -34,7 +34,7 @@ SPACE = "▁"
 _LITERAL = "\udc81"
 #: Pieces with this score or less are not used, but for single characters.
 _UNUSED = -1e8
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 
 
 class Chunk:
@@ -119,25 +119,25 @@ class PieceLattice:
         n, get, low = len(s), self._prefixes.get, float("-inf")
         best, come = [low] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        edges = []
+        edges, unknown = [], self._unknown
         for i in range(n):
-            a, single = best[i], False
-            for j in range(i + 1, n + 1):
+            a, j = best[i], i + 1
+            hit = get(s[i:j], 0)
+            w = hit[0] if hit else unknown
+            edges.append((i, j, w))
+            if a + w > best[j]:
+                best[j], come[j] = a + w, i
+            if hit == 0:  # no piece begins with this character
+                continue
+            for j in range(i + 2, n + 1):
                 hit = get(s[i:j], 0)
-                if hit is None:
-                    continue
-                if hit == 0:
+                if hit:
+                    w = hit[0]
+                    edges.append((i, j, w))
+                    if a + w > best[j]:
+                        best[j], come[j] = a + w, i
+                elif hit == 0:
                     break
-                w = hit[0]
-                edges.append((i, j, w))
-                single = single or j == i + 1
-                if a + w > best[j]:
-                    best[j], come[j] = a + w, i
-            if not single:
-                w, j = self._unknown, i + 1
-                edges.append((i, j, w))
-                if a + w > best[j]:
-                    best[j], come[j] = a + w, i
         ids, follows, j = [], [0] * n, n
         while j:
             i = come[j]
