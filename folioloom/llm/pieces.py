@@ -37,6 +37,21 @@ _UNUSED = -1e8
 CACHE_ENTRIES = 700_000
 
 
+_BITS = 20
+
+
+def _extend(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hash of a string that is one code point longer."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (code + np.uint64(0x632BE5AB))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
+def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << _BITS) - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+
+
 class Chunk:
     """Best ids, their score and the gap to the next path."""
 
@@ -74,6 +89,101 @@ class PieceLattice:
             for k in range(1, len(piece)):
                 self._prefixes.setdefault(piece[:k], None)
         self._cache: dict[str, Chunk] = {}
+        self._recent: dict[str, Chunk] = {}
+        self._longest = max(map(len, self._prefixes))
+        self._tables()
+
+    def _tables(self) -> None:
+        """Pieces by a 64-bit hash of their code points, in two tables for a lookup without probing."""
+        known = [(p, v) for p, v in self._prefixes.items() if v is not None]
+        hashes = np.zeros(len(known), dtype=np.uint64)
+        for k, (p, _) in enumerate(known):
+            h = np.zeros(1, dtype=np.uint64)
+            for c in p:
+                h = _extend(h, np.asarray([ord(c)], dtype=np.uint64))
+            hashes[k] = h[0]
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("two pieces share a hash")
+        self._hash = np.concatenate([[np.uint64(0)], hashes])  # row 0 is no piece
+        self._score = np.asarray([-np.inf, *(v[0] for _, v in known)])
+        self._id = np.asarray([-1, *(v[1] for _, v in known)], dtype=np.int32)
+        self._first, self._second = np.zeros(1 << _BITS, dtype=np.int32), np.zeros(1 << _BITS, dtype=np.int32)
+        for k in range(1, len(self._hash)):
+            a, b = _slots(self._hash[k : k + 1])
+            if not self._first[a[0]]:
+                self._first[a[0]] = k
+            elif not self._second[b[0]]:
+                self._second[b[0]] = k
+            else:
+                raise ValueError("the piece tables are too small")
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Row of the piece with each hash, or 0."""
+        a, b = _slots(h)
+        row = self._first[a]
+        other = self._second[b]
+        return np.where(self._hash[row] == h, row, np.where(self._hash[other] == h, other, 0))
+
+    def learn(self, missing: list[str]) -> dict[str, Chunk]:
+        """Chunks of many strings: those of one length go through the lattice together."""
+        out: dict[str, Chunk] = {}
+        by_length: dict[int, list[str]] = {}
+        for s in missing:
+            by_length.setdefault(len(s), []).append(s)
+        for n, group in by_length.items():
+            if len(group) < 16 or n > 40:
+                out |= {s: self.chunk(s) for s in group}
+            else:
+                for lo in range(0, len(group), 4096):
+                    self._learn_equal(group[lo : lo + 4096], n, out)
+        return out
+
+    def _learn_equal(self, group: list[str], n: int, out: dict[str, Chunk]) -> None:
+        """``chunk`` for strings of one length, a column of arrays for each edge."""
+        w = len(group)
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(w, n).astype(np.uint64)
+        best, come = np.full((n + 1, w), -np.inf), np.zeros((n + 1, w), dtype=np.int64)
+        best[0] = 0.0
+        rows: dict[tuple[int, int], np.ndarray] = {}
+        scores: dict[tuple[int, int], np.ndarray] = {}
+        for i in range(n):
+            h = np.zeros(w, dtype=np.uint64)
+            for j in range(i + 1, min(n, i + self._longest) + 1):
+                h = _extend(h, codes[:, j - 1])
+                row = self._find(h)
+                score = self._score[row]
+                if j == i + 1:
+                    score = np.where(row == 0, self._unknown, score)
+                elif not row.any():
+                    continue
+                rows[i, j], scores[i, j] = row, score
+                v = best[i] + score
+                better = v > best[j]
+                best[j] = np.where(better, v, best[j])
+                come[j] = np.where(better, i, come[j])
+        follows, at, lanes = np.zeros((n, w), dtype=np.int64), np.full(w, n), np.arange(w)
+        while (live := at > 0).any():
+            i = come[at, lanes]
+            follows[i[live], lanes[live]] = at[live]
+            at = np.where(live, i, 0)
+        back, through = np.full((n + 1, w), -np.inf), np.full(w, -np.inf)
+        back[n] = 0.0
+        ids = np.full((n, w), -1, dtype=np.int32)
+        for i, j in reversed(scores):
+            v = back[j] + scores[i, j]
+            back[i] = np.maximum(back[i], v)
+            on = follows[i] == j
+            through = np.maximum(through, np.where(on, -np.inf, best[i] + v))
+            ids[i] = np.where(on, self._id[rows[i, j]], ids[i])
+        used = (follows > 0).T
+        flat, counts = ids.T[used], used.sum(axis=1)
+        ends = np.cumsum(counts).tolist()
+        raw = flat.astype("<u2").tobytes()
+        odd = set(np.flatnonzero((used & (ids.T < 0)).any(axis=1)).tolist())  # characters in bytes
+        total, gap, start = best[n].tolist(), (best[n] - through).tolist(), 0
+        for k, (s, end) in enumerate(zip(group, ends)):
+            out[s] = self.chunk(s) if k in odd else Chunk(raw[2 * start : 2 * end], total[k], gap[k])
+            start = end
 
     # -- the lattice of a string ---------------------------------------------
 
@@ -208,14 +318,30 @@ class PieceLattice:
 
     def encode(self, text: str, n_best: int) -> tuple[bytes, list[tuple[float, dict[int, list[int]]]]]:
         """Best ids as 16-bit bytes, and (score, {chunk: ids that differ}) of the n best."""
-        parts = self.chunks(text)
-        cache = self._cache
-        found = list(map(cache.get, parts))
-        if None in found:
-            new = {s: self.chunk(s) for s in dict.fromkeys(s for s, f in zip(parts, found) if f is None)}
-            found = [new[s] if f is None else f for s, f in zip(parts, found)]
+        return next(self.encode_many([text], n_best))
+
+    def encode_many(self, texts: list[str], n_best: int, block: int = 1 << 20) -> Iterator[tuple[bytes, list[tuple[float, dict[int, list[int]]]]]]:
+        """``encode`` for each text; unseen chunks of about ``block`` characters are learned together."""
+        lo = 0
+        while lo < len(texts):
+            hi, n = lo, 0
+            while hi < len(texts) and (n < block or hi == lo):
+                n += len(texts[hi])
+                hi += 1
+            held = [self.chunks(t) for t in texts[lo:hi]]
+            cache = self._cache
+            missing = {s for parts in held for s in parts if s not in cache}
+            self._recent = new = self.learn(list(missing)) if missing else {}
             if len(cache) + len(new) <= CACHE_ENTRIES:
                 cache.update(new)
+            for parts in held:
+                found = list(map(cache.get, parts))
+                if None in found:
+                    found = [new[s] if f is None else f for s, f in zip(parts, found)]
+                yield self._encoded(parts, found, n_best)
+            lo = hi
+
+    def _encoded(self, parts: list[str], found: list[Chunk], n_best: int) -> tuple[bytes, list[tuple[float, dict[int, list[int]]]]]:
         ids, total = b"".join([f.ids for f in found]), sum([f.score for f in found])
         near = sorted(heapq.nsmallest(n_best - 1, range(len(found)), key=lambda k: found[k].gap)) if n_best > 1 else []
         near = [k for k in near if found[k].gap < float("inf")]
@@ -241,7 +367,7 @@ class PieceLattice:
     def spell(self, text: str, differ: dict[int, list[int]]) -> np.ndarray:
         """All ids of one of the n best."""
         parts = self.chunks(text)
-        own = [np.asarray(differ[k], dtype="<u2") if k in differ else np.frombuffer((self._cache.get(s) or self.chunk(s)).ids, dtype="<u2") for k, s in enumerate(parts)]
+        own = [np.asarray(differ[k], dtype="<u2") if k in differ else np.frombuffer((self._cache.get(s) or self._recent.get(s) or self.chunk(s)).ids, dtype="<u2") for k, s in enumerate(parts)]
         return np.concatenate(own) if own else np.zeros(0, dtype="<u2")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -297,8 +423,7 @@ def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         lat = lattice(path)
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
-                raw, paths = lat.encode(text or "", n_best)
+            for raw, paths in lat.encode_many([t or "" for t in pdf["text"]], n_best):
                 ids = np.frombuffer(raw, dtype="<u2")
                 back = hashlib.sha256(lat.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((len(ids), crc32_u32(ids), [s for s, _ in paths], back))
