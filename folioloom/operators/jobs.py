@@ -5,19 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioloom.plans.scratch import materialize
+
 
 def with_extension(name: Column, extension: Column) -> Column:
     """The name with its last extension replaced."""
     return F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), extension)
 
 
+def ranked(df: DataFrame, key: str, order: str, to: str) -> DataFrame:
+    """Row numbers by key in an order, from 1; the rows of one key may be any share of all.
+
+    Rows are dealt by ranges of (key, order), so a key with many rows spans several
+    parts.  Each part is numbered alone and shifted by the counts of those before
+    it, which are a row for each key and part.  Equal orders of a key stay in one part.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(parts, key, order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inner = dealt.withColumn(to, F.row_number().over(Window.partitionBy("_part", key).orderBy(order)))
+    out = inner.join(shifts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return out.withColumn(to, F.col(to) + F.col("_shift")).drop("_part", "_key", "_of", "_shift")
+
+
 def dedupe_names(df: DataFrame, name: str, order: str, to: str = "unique_name") -> DataFrame:
     """The k-th repeat of a name gets ``_k`` before its extension."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    df = ranked(df, name, order, "_rank")
+    k = F.col("_rank") - 1
     c = F.col(name)
     dot = F.length(c) - F.length(F.substring_index(c, ".", -1))
     numbered = F.when(F.instr(c, ".") > 0, F.concat(F.substr(c, F.lit(1), dot - 1), F.lit("_"), k.cast("string"), F.substr(c, dot))).otherwise(F.concat(c, F.lit("_"), k.cast("string")))
-    return df.withColumn(to, F.when(k == 0, c).otherwise(numbered))
+    return df.withColumn(to, F.when(k == 0, c).otherwise(numbered)).drop("_rank")
 
 
 def transitions(df: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
