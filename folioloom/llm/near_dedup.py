@@ -2,27 +2,29 @@
 
 A document is the set of its word shingles.  Equal sets are one vertex.  A tree
 branches each vertex by minwise tokens at positions that the path so far
-chooses (1.25 of them on average, the inverse of the similarity); vertices with
-the same tokens meet in a node.  Small nodes are compared exhaustively, larger
-ones branch again, and independent trees are repeated until a linked pair is
-missed with negligible probability (0.2 to the power of the trees).
+chooses; vertices with the same tokens meet in a node.  Small nodes are compared
+exhaustively, larger ones branch again.  Nodes near the root are large whatever
+the data, so the first three levels are taken at once, with one position each: a
+pair of similarity 0.8 survives them with 0.8 ** 3, and 28 independent trees miss
+it with 0.488 ** 28, about 2e-9.
 
 A node that stays large holds either documents with a common passage, which
 deeper branches separate, or a large group of near copies, which no branch does.
 So each large node first compares its members with one pivot, the member that
-meets most others.  Members linked to a pivot are absorbed: the pivot stands for
-them from then on, which keeps the work linear in the size of a group.  By the
-triangle inequality a link from an absorbed member to a vertex of another
-component needs a pivot pair of similarity 0.4 or more; such pairs are looked
-for, and only for those the absorbed members are compared themselves.
+meets most others.  Members linked to a pivot are absorbed: they leave the large
+nodes, which keeps the work linear in the size of a group.  By the triangle
+inequality both ends of a link that is lost this way have similarity 0.6 or more
+with the pivot, which has been compared with both.  Such pairs that join no link
+yet are kept, and where they lie between components, the absorbed members are
+compared themselves.
 
 All links are confirmed on the full sets, by ``array_intersect`` in the engine.
 
-Scale: vertices travel as ids with a 128-bit sketch; sets are built for
-plausible vertices only and stored once.  Every table that is joined is written
-to the shared folder first, so hot keys meet in plain joins of two exchanges,
-which adaptive execution splits.  Components are found by alternating large and
-small stars.  Nothing but counts reaches the driver.
+Scale: vertices travel as ids; sketches join those that share a node, and sets
+are built for plausible vertices only and stored once.  Every table that is
+joined is written to the shared folder first, so hot keys meet in plain joins of
+two exchanges, which adaptive execution splits.  Components are found by
+alternating large and small stars.  Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -39,17 +41,17 @@ from pyspark.sql import functions as F
 from folioloom.llm.common import documents
 from folioloom.plans.scratch import materialize
 
-#: Trees, minwise positions kept for branching, and bits of the sketch.
-TREES, POSITIONS, BITS = 14, 48, 128
-#: Trees whose large nodes compare with a pivot; a member is missed in all with 0.2 ** 6.
-PIVOT_TREES = 6
+#: Trees, levels that the roots branch at once, minwise positions, and bits of the sketch.
+TREES, FIRST_LEVELS, POSITIONS, BITS = 28, 3, 48, 128
 #: Nodes of at most this many vertices are compared exhaustively.
 SMALL_NODE = 64
 #: A large node branches at most so often; what is still together then is compared exhaustively.
 MAX_LEVELS = 8
 #: Differing sketch bits (of 128) that a pair may have: similarity 0.8 means 12.8 of
-#: them with deviation 3.4, similarity 0.4 means 38.4 with deviation 5.2.
-NEAR_BITS, GRAY_BITS = 34, 58
+#: them with deviation 3.4, similarity 0.6 means 25.6 with deviation 4.5.
+NEAR_BITS, GRAY_BITS = 34, 50
+#: Similarity that a pivot has at least with both ends of a link it stands between.
+GRAY_PERCENT = 60
 _BLOCK = 2048
 
 _rng = np.random.default_rng(20240607)
@@ -126,14 +128,11 @@ def _token(position: Column) -> Column:
 
 
 def _first_nodes() -> Column:
-    """(tree, node) of a vertex below the roots; positions of different trees are disjoint."""
-    order = np.random.default_rng(5).permutation(POSITIONS).tolist()
-    picked, nodes = 0, []
+    """The node of a vertex below the first levels of each tree."""
+    rng, nodes = np.random.default_rng(5), []
     for tree in range(TREES):
-        for _ in range(2 if tree % 4 == 3 else 1):
-            p = order[picked % POSITIONS]
-            picked += 1
-            nodes.append(F.struct(F.lit(tree).alias("tree"), F.xxhash64(F.lit(tree), F.lit(p), _token(F.lit(p))).alias("node")))
+        path = [_token(F.lit(int(p))) for p in rng.choice(POSITIONS, FIRST_LEVELS, replace=False)]
+        nodes.append(F.xxhash64(F.lit(tree), *path))
     return F.array(*nodes)
 
 
@@ -149,25 +148,24 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
 
 
-def _sized(rows: DataFrame, label: str) -> DataFrame:
-    """Rows of nodes with more than one vertex, with the node's size."""
+def _sized(rows: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """(node, v) rows of nodes with more than one vertex, with the node's size and the vertex's sketch."""
     sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{label}-sizes")
-    return materialize(rows.join(sizes, "node"), f"{label}-rows")
+    shared = materialize(rows.join(sizes, "node"), f"{label}-shared")
+    return materialize(shared.join(classes.select("v", "n", "s1", "s2"), "v"), f"{label}-rows")
 
 
-def _plausible(pairs: DataFrame, label: str) -> DataFrame:
-    """Distinct (a, b, near) with a < b: pairs that the sketches do not rule out."""
-    ok = (F.least("na", "nb") * 10 >= F.greatest("na", "nb") * 4) & (_apart("sa", "sb") <= GRAY_BITS)
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80) & (_apart("sa", "sb") <= NEAR_BITS)
-    return materialize(pairs.where(ok).select("a", "b", near.alias("near")).distinct(), label)
+def _like(bits: int, percent: int) -> Column:
+    """Whether sizes and sketches leave room for that similarity."""
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_apart("sa", "sb") <= bits)
 
 
-def _within(rows: DataFrame, label: str) -> DataFrame:
-    """All plausible pairs inside the nodes."""
+def _within(rows: DataFrame, percent: int, label: str) -> DataFrame:
+    """Distinct (a, b), a < b, inside the nodes, that may be linked."""
     x = rows.select("node", F.col("v").alias("a"), F.col("n").alias("na"), F.col("s1").alias("sa1"), F.col("s2").alias("sa2"))
     y = rows.select("node", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("sb1"), F.col("s2").alias("sb2"))
-    ok = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 10 >= F.greatest("na", "nb") * 4) & (_apart("sa", "sb") <= GRAY_BITS)
-    return _plausible(x.join(y, x["node"] == y["node"], "inner").where(ok).drop("node"), label)
+    pairs = x.join(y, (x["node"] == y["node"]) & (F.col("a") < F.col("b")) & _like(NEAR_BITS, percent))
+    return materialize(pairs.select("a", "b").distinct(), label)
 
 
 class _Sets:
@@ -206,19 +204,26 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _linked(percent: int) -> Column:
     return F.col("shared") * 100 >= F.col("total") * percent
 
 
 def _pivot_pairs(large: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Pivots of the large nodes, and their plausible pairs (pivot, member)."""
+    """Pivots of the large nodes, and distinct (a, b) of pivots and members of similarity 0.6 or more, by sketch."""
     hubs = materialize(large.groupBy("v").agg(F.sum("size").alias("hub")), f"{label}-hubs")
     ranked = large.join(hubs, "v")
     best = F.max_by(F.struct("v", "n", "s1", "s2"), F.struct("hub", -F.col("v")))
     pivots = materialize(ranked.groupBy("node").agg(best.alias("p")).select("node", F.col("p.v").alias("a"), F.col("p.n").alias("na"), F.col("p.s1").alias("sa1"), F.col("p.s2").alias("sa2")), f"{label}-pivots")
     members = large.select("node", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("sb1"), F.col("s2").alias("sb2"))
-    ok = (F.col("a") != F.col("b")) & (F.least("na", "nb") * 10 >= F.greatest("na", "nb") * 4) & (_apart("sa", "sb") <= GRAY_BITS)
-    return pivots, _plausible(members.join(pivots, "node").where(ok), f"{label}-stars")
+    stars = members.join(pivots, "node").where((F.col("a") != F.col("b")) & _like(GRAY_BITS, GRAY_PERCENT))
+    return pivots.select(F.col("a").alias("v")).distinct(), materialize(stars.select("a", "b").distinct(), f"{label}-stars")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,44 +279,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     told = materialize(src.mapInPandas(_described(width), "doc_id long, n int, set_key binary, tokens binary, s1 long, s2 long"), "described")
     usable = told.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("v"), *[F.first(c).alias(c) for c in ("n", "tokens", "s1", "s2")]), "classes")
-    rows = classes.select("v", "n", "s1", "s2", F.explode(_first_nodes()).alias("at")).select("at.tree", "at.node", "v", "n", "s1", "s2")
-    rows = _sized(rows, "level-1")
+    rows = _sized(classes.select("v", F.explode(_first_nodes()).alias("node")), classes, "level-1")
+    small, level = [_within(rows.where(F.col("size") <= SMALL_NODE), percent, "level-1-pairs")], 1
+    large = rows.where(F.col("size") > SMALL_NODE)
     sets = _Sets(src, width)
-    empty = docs.sparkSession.createDataFrame([], "a long, b long, shared int, total int")
-    pivot_links, absorbed, candidates = empty, None, [_within(rows.where(F.col("size") <= SMALL_NODE), "level-1-pairs")]
-    large, level = rows.where(F.col("size") > SMALL_NODE), 1
+    stars, absorbed = [], []
     while not large.isEmpty():
         if level == MAX_LEVELS:
-            candidates.append(_within(large, "last-pairs"))
+            small.append(_within(large, percent, "last-pairs"))
             break
-        pivots, stars = _pivot_pairs(large.where(F.col("tree") < PIVOT_TREES) if level == 1 else large, f"level-{level}")
-        if level == 1:
-            sets.need(_ends(stars).unionByName(_ends(candidates[0].where("near"))))
-        checked = sets.verify(stars, f"level-{level}-stars-checked")
-        pivot_links = pivot_links.unionByName(checked)
-        every_pivot = pivots.select(F.col("a").alias("v")).distinct()
-        taken = checked.where(_linked(percent)).select(F.col("b").alias("v"), F.col("a").alias("pivot")).join(every_pivot, "v", "left_anti")
-        if absorbed is not None:  # a pivot of an earlier level is never absorbed
-            taken = taken.join(absorbed.select(F.col("pivot").alias("v")).distinct(), "v", "left_anti")
+        pivots, pairs = _pivot_pairs(large, f"level-{level}")
+        if level == 1:  # one pass over the texts builds the sets of nearly all that will be compared
+            sets.need(_ends(pairs).unionByName(_ends(small[0])))
+        checked = sets.verify(pairs, f"level-{level}-checked")
+        taken = checked.where(_linked(percent)).select(F.col("b").alias("v"), F.col("a").alias("pivot")).join(pivots, "v", "left_anti")
+        if absorbed:  # a pivot of an earlier level is never absorbed
+            taken = taken.join(_all(absorbed).select(F.col("pivot").alias("v")).distinct(), "v", "left_anti")
         taken = materialize(taken, f"level-{level}-absorbed")
-        absorbed = taken if absorbed is None else absorbed.unionByName(taken)
-        gone = materialize(taken.select("v").distinct(), f"level-{level}-gone")
-        rest = large.select("tree", "node", "v", "n", "s1", "s2").join(gone, "v", "left_anti")
-        rest = _sized(rest, f"level-{level}-rest")
-        candidates.append(_within(rest.where(F.col("size") <= SMALL_NODE), f"level-{level}-rest-pairs"))
-        still = rest.where(F.col("size") > SMALL_NODE).join(classes.select("v", "tokens"), "v")
+        gone = taken.select("v").unionByName(pivots).distinct()  # a pivot has met all members of its nodes
+        rest = large.select("node", "v").join(materialize(gone, f"level-{level}-gone"), "v", "left_anti")
+        deeper = rest.join(classes.select("v", "tokens"), "v").select(F.explode(_next_nodes()).alias("node"), "v")
         level += 1
-        deeper = _sized(still.select("tree", F.explode(_next_nodes()).alias("node"), "v", "n", "s1", "s2"), f"level-{level}")
-        candidates.append(_within(deeper.where(F.col("size") <= SMALL_NODE), f"level-{level}-pairs"))
-        large = deeper.where(F.col("size") > SMALL_NODE)
-    pairs = candidates[0]
-    for c in candidates[1:]:
-        pairs = pairs.unionByName(c)
-    if absorbed is None:
-        links = sets.verify(materialize(pairs.where("near").select("a", "b").distinct(), "pairs"), "links").where(_linked(percent))
-        named = _contracted(links, docs.sparkSession.createDataFrame([], "v long, pivot long"))
+        rows = _sized(deeper, classes, f"level-{level}")
+        small.append(_within(rows.where(F.col("size") <= SMALL_NODE), percent, f"level-{level}-pairs"))
+        large = rows.where(F.col("size") > SMALL_NODE)
+        stars.append(checked)
+        absorbed.append(taken)
+    pairs = _all(small)
+    if absorbed:
+        named = _with_pivots(pairs, _all(stars), _all(absorbed), sets, percent)
     else:
-        named = _with_pivots(pairs, pivot_links, absorbed, sets, percent)
+        links = sets.verify(pairs, "links").where(_linked(percent))
+        named = _contracted(links, docs.sparkSession.createDataFrame([], "v long, pivot long"))
     map_ = materialize(classes.select("set_key", "v").join(named, "v", "left").select("set_key", F.coalesce("component", "v").alias("component")), "class-components")
     out = told.select("doc_id", "n", "set_key").join(map_, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -319,40 +318,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _with_pivots(pairs: DataFrame, pivot_links: DataFrame, absorbed: DataFrame, sets: _Sets, percent: int) -> DataFrame:
-    """Components where pivots stand for absorbed vertices, made exact at the end."""
-    gone = materialize(absorbed.select("v").distinct(), "absorbed")
-    holders = materialize(absorbed.select(F.col("pivot").alias("v")).distinct(), "holders")
-    left = pairs.groupBy("a", "b").agg(F.max("near").alias("near"))
-    for end in ("a", "b"):
-        left = left.join(gone.withColumnRenamed("v", end), end, "left_anti")
-    held = holders.select("v", F.lit(True).alias("is_pivot"))
-    left = left.join(held.select(F.col("v").alias("a"), F.col("is_pivot").alias("pa")), "a", "left").join(held.select(F.col("v").alias("b"), F.col("is_pivot").alias("pb")), "b", "left")
-    left = materialize(left.where(F.col("near") | F.coalesce("pa", "pb", F.lit(False))).select("a", "b"), "pairs")
-    checked = sets.verify(left, "links")
-    # Star pairs of absorbed vertices are in ``absorbed``; the others are links or gray pairs.
-    stars = pivot_links.join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select("a", "b", "shared", "total")
-    checked = materialize(checked.unionByName(stars), "links-all")
-    links = checked.where(_linked(percent)).select("a", "b")
-    named = _contracted(links, absorbed)
-    # Gray pairs between components: compare what the pivots stand for.
-    far = lambda: 1 - F.col("shared") / F.col("total")
-    gray = checked.where(~_linked(percent) & (F.col("shared") * 10 >= F.col("total") * 4)).select("a", "b", far().alias("d")).distinct()
-    gray = gray.join(named.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(named.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left")
+def _with_pivots(pairs: DataFrame, stars: DataFrame, absorbed: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Components from links of small nodes and of pivots, made exact at the end."""
+    absorbed = materialize(absorbed.distinct(), "absorbed")
+    parent = materialize(absorbed.groupBy("v").agg(F.min("pivot").alias("pivot")), "parents")
+    # Pairs whose ends stand under one pivot are joined already.
+    end = lambda e: parent.select(F.col("v").alias(e), F.col("pivot").alias(f"p{e}"))
+    apart = pairs.distinct().join(end("a"), "a", "left").join(end("b"), "b", "left")
+    apart = materialize(apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b"), "pairs")
+    links = sets.verify(apart, "links").where(_linked(percent)).select("a", "b")
+    named = _contracted(links.unionByName(stars.where(_linked(percent)).select("a", "b").join(absorbed.select(F.col("pivot").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")), absorbed)
+    component = lambda v, to: named.select(F.col("v").alias(v), F.col("component").alias(to))
+    # Gray pairs between components: compare what the pivot stands for with the other end.
+    far = (1 - F.col("shared") / F.col("total")).alias("d")
+    gray = stars.where(~_linked(percent) & (F.col("shared") * 100 >= F.col("total") * GRAY_PERCENT)).select("a", "b", far).distinct()
+    gray = gray.join(component("a", "ca"), "a", "left").join(component("b", "cb"), "b", "left")
     gray = materialize(gray.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d"), "gray")
     if gray.isEmpty():
         return named
-    dist = pivot_links.select(F.col("a").alias("pivot"), F.col("b").alias("v"), far().alias("d")).distinct()
-    stood = materialize(absorbed.join(dist, ["pivot", "v"]).unionByName(holders.select("v", F.col("v").alias("pivot"), F.lit(0.0).alias("d")).select("v", "pivot", "d")).distinct(), "stood-for")
-    x = stood.select(F.col("pivot").alias("a"), F.col("v").alias("x"), F.col("d").alias("dx"))
-    y = stood.select(F.col("pivot").alias("b"), F.col("v").alias("y"), F.col("d").alias("dy"))
-    near = F.col("d") <= F.coalesce("dx", F.lit(0.0)) + F.coalesce("dy", F.lit(0.0)) + (1 - percent / 100) + 1e-9
-    more = gray.join(x, "a", "left").join(y, "b", "left").where(near).select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    more = materialize(more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "gray-pairs")
+    stood = materialize(stars.where(_linked(percent)).select("a", F.col("b").alias("x"), far.alias("dx")).distinct(), "stood-for")
+    more = gray.join(stood, "a").where(F.col("d") <= F.col("dx") + (1 - percent / 100) + 1e-9).where("x <> b")
+    more = materialize(more.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct(), "gray-pairs")
     extra = sets.verify(more, "gray-links").where(_linked(percent)).select("a", "b")
     if extra.isEmpty():
         return named
-    lift = extra.join(named.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(named.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left")
+    lift = extra.join(component("a", "ca"), "a", "left").join(component("b", "cb"), "b", "left")
     joined = materialize(components(lift.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "components-joined")
     renamed = named.join(joined.select(F.col("v").alias("component"), F.col("component").alias("to")), "component", "left").select("v", F.coalesce("to", "component").alias("component"))
     fresh = joined.join(named.select("v"), "v", "left_anti").select("v", "component")
