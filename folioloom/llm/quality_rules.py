@@ -68,7 +68,13 @@ def n_repeat_words(word_hashes: Column, width: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(placed, repeated))
 
     def windows(h: Column, n: int = 1) -> Column:  # hashes of n words, then of twice as many
-        return covered(h) if n == width else let(_joined(h, n), lambda w: windows(w, 2 * n))
+        if n == width:
+            return covered(h)
+        longer = let(_joined(h, n), lambda w: windows(w, 2 * n))
+        if 2 * n < width:
+            return longer
+        # A repeated window holds this many repeated halves; without them it cannot be there.
+        return F.when(F.size(h) - F.size(F.array_distinct(h)) <= width - n, F.lit(0)).otherwise(longer)
 
     def of(h: Column) -> Column:
         return F.when(F.size(h) <= width, F.lit(0)).otherwise(windows(h))
@@ -76,17 +82,16 @@ def n_repeat_words(word_hashes: Column, width: int = WINDOW) -> Column:
     return let(word_hashes, of)
 
 
-def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the hashed 1- and 2-grams; letters and digits are set apart from signs."""
-    apart = F.regexp_replace(text, r"([^\p{L}\p{N}\x20\x09-\x0D]+)", " $1 ")
+def ngram_hashes(text: Column) -> Column:
+    """Hashes of the 1- and 2-grams; ASCII signs are set apart from letters and digits."""
+    apart = F.regexp_replace(text, r"([!-/:-@\[-`{-~]+)", " $1 ")
     hashes = F.transform(split_words(apart), lambda w: F.xxhash64(w))
+    pairs = lambda h: F.when(F.size(h) > 1, _joined(h, 1)).otherwise(F.array().cast("array<bigint>"))
+    return let(hashes, lambda h: F.concat(h, pairs(h)))
 
-    def grams(h: Column) -> Column:
-        pairs = F.when(F.size(h) > 1, _joined(h, 1)).otherwise(F.array().cast("array<bigint>"))
-        both = F.concat(h, pairs)
-        return F.transform(both, lambda g: F.pmod(g, F.lit(buckets)).cast("int"))
 
-    return let(hashes, grams)
+def bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
@@ -99,9 +104,9 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothi
     text = F.coalesce(F.col("text"), F.lit(""))
     counts = (
         docs.select("doc_id", text.alias("text"))
-        .join(ids, "doc_id", "left")
-        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
-        .groupBy("bucket")
+        .join(ids.hint("shuffle_merge"), "doc_id", "left")
+        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngram_hashes(F.col("text"))).alias("gram"))
+        .groupBy(bucket(F.col("gram"), buckets).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     )
     total = counts.agg(
@@ -130,8 +135,8 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.transform(split_words(text), lambda x: F.xxhash64(x))
     spaces = F.length(text) - F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
-    score = let(ngram_buckets(text, buckets), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(F.col("w"), b)) / F.size(g)))
+    score = let(ngram_hashes(text), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(
+        F.aggregate(g, F.lit(0.0), lambda s, x: s + F.get(F.col("w"), bucket(x, buckets))) / F.size(g)))
     out = base.withColumn("w", w).select(
         "doc_id", "text", "extra",
         (F.length(text) - spaces).cast("long").alias("word_chars"),
