@@ -248,23 +248,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _contracted(links: DataFrame, absorbed: DataFrame) -> DataFrame:
-    """Component of each linked vertex, absorbed ones through the pivots that hold them.
+    """Component of each linked vertex, one row each, absorbed ones through the pivots that hold them.
 
-    The pivots of one absorbed vertex are tied to the least of them, so no edge of
-    a large group is left but those between its pivots.
+    Links of absorbed vertices count as links of their least pivot, and their other
+    pivots are tied to that one, so no edge of a large group is left but those
+    between its pivots.  A pivot that is absorbed itself keeps its links as they are.
     """
-    held = materialize(absorbed.groupBy("v").agg(F.collect_set("pivot").alias("ps")).select("v", "ps", F.array_min("ps").alias("pivot")), "held")
+    absorbed = materialize(absorbed.select("v", "pivot").distinct(), "absorbed-pairs")
+    pivots = absorbed.select(F.col("pivot").alias("v")).distinct()
+    chained = absorbed.join(pivots, "v", "left_semi").select(F.col("v").alias("a"), F.col("pivot").alias("b"))
+    leaves = absorbed.join(pivots, "v", "left_anti")
+    held = materialize(leaves.groupBy("v").agg(F.collect_set("pivot").alias("ps")).select("v", "ps", F.array_min("ps").alias("pivot")), "held")
     ties = held.where(F.size("ps") > 1).select(F.explode("ps").alias("a"), F.col("pivot").alias("b")).distinct()
-    loops = held.select(F.col("pivot").alias("a")).distinct()
-    found = materialize(components(links.select("a", "b").unionByName(ties)), "components")
+    parent = lambda e: held.select(F.col("v").alias(e), F.col("pivot").alias(f"p{e}"))
+    raised = links.select("a", "b").join(parent("a"), "a", "left").join(parent("b"), "b", "left")
+    raised = raised.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    found = materialize(components(raised.unionByName(ties).unionByName(chained)), "components")
     # A pivot with absorbed vertices only has no edge; it is its own component so far.
-    lone = loops.select(F.col("a").alias("v")).join(found, "v", "left_anti").select("v", F.col("v").alias("component"))
+    lone = held.select(F.col("pivot").alias("v")).distinct().join(found, "v", "left_anti").select("v", F.col("v").alias("component"))
     found = materialize(found.unionByName(lone), "components-lone")
     members = held.select("v", "pivot").join(found.select(F.col("v").alias("pivot"), "component"), "pivot").select("v", "component")
     every = materialize(found.unionByName(members), "components-all")
     # An absorbed vertex may have the least id of its component.
     least = materialize(every.groupBy("component").agg(F.min("v").alias("least")), "components-least")
-    return materialize(every.join(least, "component").select("v", F.col("least").alias("component")).distinct(), "components-named")
+    return materialize(every.join(least, "component").select("v", F.col("least").alias("component")), "components-named")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -382,6 +382,35 @@ def test_near_dedup(spark, monkeypatch, small):
     assert all(r.n_shingles == sizes[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def drifting_copies(rng, families, copies, edits, first=0, n_words=120):
+    """Families of copies that each differ from an earlier one of the last few in some words."""
+    rows = []
+    for f in range(families):
+        texts = [[f"f{f}w{rng.integers(0, 5000)}" for _ in range(n_words)]]
+        while len(texts) < copies:
+            words = list(texts[int(rng.integers(max(0, len(texts) - 12), len(texts)))])
+            for _ in range(int(rng.integers(1, edits))):
+                words[int(rng.integers(0, n_words))] = f"f{f}z{rng.integers(0, 50000)}"
+            texts.append(words)
+        rows += [" ".join(w) for w in texts]
+    return [(first + int(i), t) for i, t in zip(rng.permutation(len(rows)), rows)]
+
+
+def test_near_dedup_contracts_links_of_absorbed(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    links, absorbed = frame([(5, 6), (8, 9)], "ab"), frame([(5, 1), (6, 2), (9, 7)], ["v", "pivot"])
+    got = near_dedup._contracted(links, absorbed).collect()
+    assert sorted((r.v, r.component) for r in got) == [(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 7)]
+
+
+def test_near_dedup_of_a_large_drifting_family(spark):
+    rows = drifting_copies(np.random.default_rng(4), 3, 2 * near_dedup.SMALL_NODE + 40, 4)
+    want, sizes = brute_components(rows, 4, 80)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+    assert all(r.n_shingles == sizes[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_near_dedup_edges(edges, none):
     got = near_dedup.near_duplicates(edges, width=4).collect()
     assert len(got) == len(EDGES) and all(r.kept for r in got if r.doc_id is None or r.n_shingles == 0)
