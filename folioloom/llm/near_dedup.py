@@ -11,12 +11,12 @@ it with 0.488 ** 28, about 2e-9.
 A node that stays large holds either documents with a common passage, which
 deeper branches separate, or a large group of near copies, which no branch does.
 So each large node first compares its members with one pivot, the member that
-meets most others.  Members linked to a pivot are absorbed: they leave the large
-nodes, which keeps the work linear in the size of a group.  By the triangle
-inequality both ends of a link that is lost this way have similarity 0.6 or more
-with the pivot, which has been compared with both.  Such pairs that join no link
-yet are kept, and where they lie between components, the absorbed members are
-compared themselves.
+meets most others.  Members linked to the pivot are absorbed: they and the pivot
+leave this node, but stay in nodes whose own pivot is not linked to them.  By the
+triangle inequality both ends of a link that a node loses this way have
+similarity 0.6 or more with its pivot, which has been compared with both.  Such
+pairs that join no link yet are kept, and where they lie between components, the
+absorbed members are compared themselves.
 
 All links are confirmed on the full sets, by ``array_intersect`` in the engine.
 
@@ -217,14 +217,20 @@ def _linked(percent: int) -> Column:
 
 
 def _pivot_pairs(large: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Pivots of the large nodes, and distinct (a, b) of pivots and members of similarity 0.6 or more, by sketch."""
+    """(node, a) of the pivots of the large nodes, and distinct (a, b) of pivots and members of similarity 0.6 or more, by sketch."""
     hubs = materialize(large.groupBy("v").agg(F.sum("size").alias("hub")), f"{label}-hubs")
     ranked = large.join(hubs, "v")
     best = F.max_by(F.struct("v", "n", "s1", "s2"), F.struct("hub", -F.col("v")))
     pivots = materialize(ranked.groupBy("node").agg(best.alias("p")).select("node", F.col("p.v").alias("a"), F.col("p.n").alias("na"), F.col("p.s1").alias("sa1"), F.col("p.s2").alias("sa2")), f"{label}-pivots")
     members = large.select("node", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("sb1"), F.col("s2").alias("sb2"))
     stars = members.join(pivots, "node").where((F.col("a") != F.col("b")) & _like(GRAY_BITS, GRAY_PERCENT))
-    return pivots.select(F.col("a").alias("v")).distinct(), materialize(stars.select("a", "b").distinct(), f"{label}-stars")
+    return pivots.select("node", "a"), materialize(stars.select("a", "b").distinct(), f"{label}-stars")
+
+
+def _staying(large: DataFrame, pivots: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, v) of members that are neither the pivot of the node nor linked (a, b) to it."""
+    met = large.select("node", "v").join(pivots, "node").where("v <> a")
+    return met.join(linked.select("a", F.col("b").alias("v")), ["a", "v"], "left_anti").select("node", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     small, level = [_within(rows.where(F.col("size") <= SMALL_NODE), percent, "level-1-pairs")], 1
     large = rows.where(F.col("size") > SMALL_NODE)
     sets = _Sets(src, width)
-    stars, absorbed = [], []
+    stars = []
     while not large.isEmpty():
         if level == MAX_LEVELS:
             small.append(_within(large, percent, "last-pairs"))
@@ -299,23 +305,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         pivots, pairs = _pivot_pairs(large, f"level-{level}")
         if level == 1:  # one pass over the texts builds the sets of nearly all that will be compared
             sets.need(_ends(pairs).unionByName(_ends(small[0])))
-        checked = sets.verify(pairs, f"level-{level}-checked")
-        taken = checked.where(_linked(percent)).select(F.col("b").alias("v"), F.col("a").alias("pivot")).join(pivots, "v", "left_anti")
-        if absorbed:  # a pivot of an earlier level is never absorbed
-            taken = taken.join(_all(absorbed).select(F.col("pivot").alias("v")).distinct(), "v", "left_anti")
-        taken = materialize(taken, f"level-{level}-absorbed")
-        gone = taken.select("v").unionByName(pivots).distinct()  # a pivot has met all members of its nodes
-        rest = large.select("node", "v").join(materialize(gone, f"level-{level}-gone"), "v", "left_anti")
+        if stars:  # a vertex may be pivot again at a deeper level
+            pairs = materialize(pairs.join(_all(stars).select("a", "b"), ["a", "b"], "left_anti"), f"level-{level}-new-stars")
+        stars.append(sets.verify(pairs, f"level-{level}-checked"))
+        linked = materialize(_all(stars).where(_linked(percent)).select("a", "b"), f"level-{level}-absorbed")
+        rest = _staying(large, pivots, linked)
         deeper = rest.join(classes.select("v", "tokens"), "v").select(F.explode(_next_nodes()).alias("node"), "v")
         level += 1
         rows = _sized(deeper, classes, f"level-{level}")
         small.append(_within(rows.where(F.col("size") <= SMALL_NODE), percent, f"level-{level}-pairs"))
         large = rows.where(F.col("size") > SMALL_NODE)
-        stars.append(checked)
-        absorbed.append(taken)
     pairs = _all(small)
-    if absorbed:
-        named = _with_pivots(pairs, _all(stars), _all(absorbed), sets, percent)
+    if stars:
+        named = _with_pivots(pairs, _all(stars), sets, percent)
     else:
         links = sets.verify(pairs, "links").where(_linked(percent))
         named = _contracted(links, docs.sparkSession.createDataFrame([], "v long, pivot long"))
@@ -326,16 +328,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _with_pivots(pairs: DataFrame, stars: DataFrame, absorbed: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+def _with_pivots(pairs: DataFrame, stars: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """Components from links of small nodes and of pivots, made exact at the end."""
-    absorbed = materialize(absorbed.distinct(), "absorbed")
+    absorbed = materialize(stars.where(_linked(percent)).select(F.col("b").alias("v"), F.col("a").alias("pivot")).distinct(), "absorbed")
     parent = materialize(absorbed.groupBy("v").agg(F.min("pivot").alias("pivot")), "parents")
     # Pairs whose ends stand under one pivot are joined already.
     end = lambda e: parent.select(F.col("v").alias(e), F.col("pivot").alias(f"p{e}"))
     apart = pairs.distinct().join(end("a"), "a", "left").join(end("b"), "b", "left")
     apart = materialize(apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b"), "pairs")
     links = sets.verify(apart, "links").where(_linked(percent)).select("a", "b")
-    named = _contracted(links.unionByName(stars.where(_linked(percent)).select("a", "b").join(absorbed.select(F.col("pivot").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")), absorbed)
+    named = _contracted(links, absorbed)
     component = lambda v, to: named.select(F.col("v").alias(v), F.col("component").alias(to))
     # Gray pairs between components: compare what the pivot stands for with the other end.
     far = (1 - F.col("shared") / F.col("total")).alias("d")

@@ -411,6 +411,20 @@ def test_near_dedup_of_a_large_drifting_family(spark):
     assert all(r.n_shingles == sizes[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_dedup_absorbed_stay_in_nodes_of_other_pivots(spark, monkeypatch):
+    """2 is absorbed by 1 in a node without 3, and the node of 2 and 3 has a pivot that neither is linked to."""
+    words = lambda name, n=120: [f"{name}{k}" for k in range(n)]
+    x = words("x")
+    texts = {1: x[:-8] + words("p", 8), 2: x, 3: words("b", 8) + x[8:]} | {i: words(f"other{i}-") for i in range(4, 12)}
+    nodes = {10: [1, 2, 5], 20: [2, 3, 4], 30: [1, 6, 7, 8], 40: [4, 9, 10, 11]}  # 1 and 4 meet most others
+    of = F.create_map(*[F.lit(y) for i in texts for y in (i, [n for n, vs in nodes.items() if i in vs])])
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 2)
+    monkeypatch.setattr(near_dedup, "_first_nodes", lambda: of[F.col("v").cast("int")])
+    monkeypatch.setattr(near_dedup, "_next_nodes", lambda: F.array("node"))
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string"), width=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 1 if i < 4 else i) for i in sorted(texts)]
+
+
 def test_near_dedup_edges(edges, none):
     got = near_dedup.near_duplicates(edges, width=4).collect()
     assert len(got) == len(EDGES) and all(r.kept for r in got if r.doc_id is None or r.n_shingles == 0)
