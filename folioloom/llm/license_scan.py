@@ -78,7 +78,7 @@ TEMPLATES: dict[str, list[str]] = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without permission.", "This document is confidential and proprietary; unauthorized copying is prohibited."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission.", "This document is confidential and proprietary; unauthorized copying is prohibited."],
 }
 FAMILIES = sorted(TEMPLATES)
 

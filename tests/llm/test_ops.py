@@ -136,6 +136,14 @@ def test_licence_unknown_and_edges(spark, edges, none, docs):
     assert license_scan.scan(edges, model).count() == len(EDGES) and license_scan.scan(none, model).count() == 0
 
 
+def test_licence_recall_over_all_licence_lines(spark, sf_dir, docs):
+    forms = {"GNU General Public License": "gpl", "CC BY-NC 4.0": "cc-by-nc", "the MIT License": "mit", "Apache License, Version 2.0": "apache-2.0", "All rights reserved.": "proprietary"}
+    got = license_scan.op3_license_scan(spark, sf_dir).toPandas().set_index("doc_id")
+    want = {d: [v for line in t.split("\n") for k, v in forms.items() if k in line] for d, t in zip(docs.doc_id, docs.text)}
+    assert "proprietary" in {v for vs in want.values() for v in vs}
+    assert {d: (sorted(set(vs)), len(vs)) for d, vs in want.items()} == {d: (list(r.families), r.n_confirmed) for d, r in got.iterrows()}
+
+
 # --- tokenizers, 4 packing, 9 token files -------------------------------------
 
 
