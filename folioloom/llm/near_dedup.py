@@ -1,29 +1,33 @@
 """Near-dedup by the chosen-path set similarity join.
 
-A document is the set of its word shingles.  Equal sets are one vertex.  A tree
-branches each vertex by minwise tokens at positions that the path so far
-chooses; vertices with the same tokens meet in a node.  Small nodes are compared
-exhaustively, larger ones branch again.  Nodes near the root are large whatever
-the data, so the first three levels are taken at once, with one position each: a
-pair of similarity 0.8 survives them with 0.8 ** 3.  The 28 trees share 48 positions,
-so they are not independent: 39 of 8 million simulated pairs were missed by all.
-
-A node that stays large holds either documents with a common passage, which
-deeper branches separate, or a large group of near copies, which no branch does.
-So each large node first compares its members with one pivot, the member that
-meets most others.  Members linked to the pivot are absorbed: they and the pivot
-leave this node, but stay in nodes whose own pivot is not linked to them.  By the
-triangle inequality both ends of a link that a node loses this way have
-similarity 0.6 or more with its pivot, which has been compared with both.  Such
-pairs that join no link yet are kept, and where they lie between components, the
-absorbed members are compared themselves.
+A document is the set of its word shingles.  Equal sets are one vertex.  Each of 28
+trees branches a vertex by its minwise tokens: the path so far chooses the position
+whose token comes next, so vertices with the same tokens stay together in a node.  The
+first three branchings keep one path, the later ones three of two tokens each.
+
+Every node first compares its members with one pivot.  The links so found are joined to
+components at once, and from then on only pairs of different components count: a pair
+inside one cannot change the result.  Nodes of at most 64 vertices then compare all
+other pairs of different components.  Larger ones branch again, without what needs no
+further comparison there: the pivot, which has met all; all of a node that lies in one
+component; and members of the pivot's component at distance d, if every member outside it is
+further than d + 0.2 from the pivot, for by the triangle inequality none of those can
+then be linked to the member.  So a large group of near copies, which no branching
+separates, costs one comparison for each member and pivot, not one for each pair.
+
+Where members of different components share so many tokens that branching multiplies
+rows instead of separating them, the rest is compared exhaustively, all of it.
 
 All links are confirmed on the full sets, by ``array_intersect`` in the engine.
 
-Scale: vertices travel as ids; sketches join those that share a node, and sets
-are built for plausible vertices only and stored once.  Every table that is
-joined is written to the shared folder first, so hot keys meet in plain joins of
-two exchanges, which adaptive execution splits.  Components are found by
+Recall: averaged over the number of equal positions that the trees share, the first
+branchings of all trees miss a pair of similarity 0.8 with 4e-7, one of 0.9 with less
+than 1e-9.  Deeper branchings lose a branch with 0.07, and only pairs in large nodes
+take them.
+
+Scale: vertices travel as ids; sets are built once, for vertices with a plausible
+sketch only.  Tables that are joined are written to the shared folder first, so hot keys
+meet in plain joins, which adaptive execution splits.  Components are found by
 alternating large and small stars.  Nothing but counts reaches the driver.
 """
 
@@ -39,19 +43,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import documents
-from folioloom.plans.scratch import materialize
+from folioloom.plans.scratch import materialize, scratch
 
-#: Trees, levels that the roots branch at once, minwise positions, and bits of the sketch.
-TREES, FIRST_LEVELS, POSITIONS, BITS = 28, 3, 48, 128
+#: Trees, branchings of one path that the roots take at once, minwise positions, and bits of the sketch.
+TREES, FIRST_LEVELS, POSITIONS, BITS = 28, 3, 96, 128
+#: Paths and tokens of each further branching: a pair of 0.8 keeps meeting on two of the three in the mean.
+PATHS, PATH_LEVELS = 3, 2
 #: Nodes of at most this many vertices are compared exhaustively.
 SMALL_NODE = 64
-#: A large node branches at most so often; what is still together then is compared exhaustively.
-MAX_LEVELS = 8
-#: Differing sketch bits (of 128) that a pair may have: similarity 0.8 means 12.8 of
-#: them with deviation 3.4, similarity 0.6 means 25.6 with deviation 4.5.
-NEAR_BITS, GRAY_BITS = 34, 50
-#: Similarity that a pivot has at least with both ends of a link it stands between.
-GRAY_PERCENT = 60
+#: Branching ends, and the rest is compared exhaustively, when a level has so many times the rows of the first large nodes.
+GROWTH = 4
+#: Standard deviations by which sketch bits of a pair may exceed their mean.
+DEVIATIONS = 6.2
+#: Edges that one task handles when components are found.
+EDGES_PER_TASK = 100_000
+#: Pivots are the members first in the order of ids under this mask.
+_ORDER = 0x2545F4914F6CDD1D
 _BLOCK = 2048
 
 _rng = np.random.default_rng(20240607)
@@ -123,49 +130,63 @@ def _items(width: int):
     return run
 
 
-def _token(position: Column) -> Column:
-    return F.col("tokens").substr((position * 4 + 1).cast("int"), F.lit(4))
+def _branch(nodes: Column, levels: int) -> Column:
+    """Nodes so many levels below ``nodes``: each chooses the position of the token that leads on."""
+    token = lambda node: F.col("tokens").substr((F.pmod(node, F.lit(POSITIONS)) * 4 + 1).cast("int"), F.lit(4))
+    for _ in range(levels):
+        nodes = F.transform(nodes, lambda node: F.xxhash64(node, token(node)))
+    return nodes
 
 
 def _first_nodes() -> Column:
     """The node of a vertex below the first levels of each tree."""
-    rng, nodes = np.random.default_rng(5), []
-    for tree in range(TREES):
-        path = [_token(F.lit(int(p))) for p in rng.choice(POSITIONS, FIRST_LEVELS, replace=False)]
-        nodes.append(F.xxhash64(F.lit(tree), *path))
-    return F.array(*nodes)
+    return _branch(F.array(*[F.xxhash64(F.lit(tree)) for tree in range(TREES)]), FIRST_LEVELS)
 
 
 def _next_nodes() -> Column:
-    """The nodes of a vertex two levels below its node: three paths, at places that the node chooses.
-
-    A pair of similarity 0.8 keeps meeting on two of them in the mean.
-    """
-    at = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS))
-    return F.array(*[F.xxhash64("node", F.lit(k), _token(at(2 * k)), _token(at(2 * k + 1))) for k in range(3)])
+    """The nodes of a vertex below its node, one for each path."""
+    return _branch(F.array(*[F.xxhash64("node", F.lit(k)) for k in range(PATHS)]), PATH_LEVELS)
 
 
 def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
 
 
-def _sized(rows: DataFrame, classes: DataFrame, label: str) -> DataFrame:
-    """(node, v) rows of nodes with more than one vertex, with the node's size and the vertex's sketch."""
-    sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{label}-sizes")
-    shared = materialize(rows.join(sizes, "node"), f"{label}-shared")
-    return materialize(shared.join(classes.select("v", "n", "s1", "s2"), "v"), f"{label}-rows")
-
-
-def _like(bits: int, percent: int) -> Column:
+def _like(percent: int) -> Column:
     """Whether sizes and sketches leave room for that similarity."""
+    differ = (1 - percent / 100) / 2
+    bits = int(BITS * differ + DEVIATIONS * (BITS * differ * (1 - differ)) ** 0.5)
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_apart("sa", "sb") <= bits)
 
 
-def _within(rows: DataFrame, percent: int, label: str) -> DataFrame:
-    """Distinct (a, b), a < b, inside the nodes, that may be linked."""
-    x = rows.select("node", F.col("v").alias("a"), F.col("n").alias("na"), F.col("s1").alias("sa1"), F.col("s2").alias("sa2"))
-    y = rows.select("node", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("sb1"), F.col("s2").alias("sb2"))
-    pairs = x.join(y, (x["node"] == y["node"]) & (F.col("a") < F.col("b")) & _like(NEAR_BITS, percent))
+def _described_as(classes: DataFrame, v: str, end: str) -> DataFrame:
+    """Size and sketch of each vertex, under the names of one end of a pair."""
+    return classes.select(F.col("v").alias(v), F.col("n").alias(f"n{end}"), F.col("s1").alias(f"s{end}1"), F.col("s2").alias(f"s{end}2"))
+
+
+def _shared(rows: DataFrame, label: str) -> DataFrame:
+    """(node, v, size, p) of the nodes with more than one vertex: their size and pivot."""
+    first = F.min(F.col("v").bitwiseXOR(F.lit(_ORDER)))
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first.alias("first")).where("size > 1")
+    nodes = materialize(nodes.select("node", "size", F.col("first").bitwiseXOR(F.lit(_ORDER)).alias("p")), f"{label}-nodes")
+    return materialize(rows.join(nodes, "node"), f"{label}-shared")
+
+
+def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int, label: str) -> DataFrame:
+    """Distinct (a, b) of pivots and members that may be linked; in large nodes, whose distance may matter later too."""
+    met = shared.where("v <> p").groupBy("p", "v").agg(F.max(F.col("size") > SMALL_NODE).alias("large"))
+    both = met.join(_described_as(classes, "v", "b"), "v").join(_described_as(classes, "p", "a"), "p")
+    near = both.where(_like(percent) | (F.col("large") & _like(2 * percent - 100)))
+    return materialize(near.select(F.col("p").alias("a"), F.col("v").alias("b")).distinct(), label)
+
+
+def _within(rows: DataFrame, classes: DataFrame, percent: int, label: str) -> DataFrame:
+    """Distinct (a, b), a < b, of different components inside the nodes of (node, v, c), that may be linked."""
+    mixed = rows.groupBy("node").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("node")
+    rows = materialize(rows.join(mixed, "node"), f"{label}-rows")
+    x = rows.select("node", F.col("v").alias("a"), F.col("c").alias("ca")).join(_described_as(classes, "a", "a"), "a")
+    y = rows.select("node", F.col("v").alias("b"), F.col("c").alias("cb")).join(_described_as(classes, "b", "b"), "b")
+    pairs = x.join(y, (x["node"] == y["node"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like(percent))
     return materialize(pairs.select("a", "b").distinct(), label)
 
 
@@ -193,7 +214,7 @@ class _Sets:
 
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
         """(a, b, shared, total) of materialized pairs: sizes of intersection and union."""
-        self.need(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))))
+        self.need(_ends(pairs))
         sets = self.table()
         both = pairs.join(sets.select(F.col("v").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("v").alias("b"), F.col("items").alias("ib")), "b")
         shared = F.size(F.array_intersect("ia", "ib"))
@@ -216,68 +237,53 @@ def _linked(percent: int) -> Column:
     return F.col("shared") * 100 >= F.col("total") * percent
 
 
-def _pivot_pairs(large: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(node, a) of the pivots of the large nodes, and distinct (a, b) of pivots and members of similarity 0.6 or more, by sketch."""
-    hubs = materialize(large.groupBy("v").agg(F.sum("size").alias("hub")), f"{label}-hubs")
-    ranked = large.join(hubs, "v")
-    best = F.max_by(F.struct("v", "n", "s1", "s2"), F.struct("hub", -F.col("v")))
-    pivots = materialize(ranked.groupBy("node").agg(best.alias("p")).select("node", F.col("p.v").alias("a"), F.col("p.n").alias("na"), F.col("p.s1").alias("sa1"), F.col("p.s2").alias("sa2")), f"{label}-pivots")
-    members = large.select("node", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("sb1"), F.col("s2").alias("sb2"))
-    stars = members.join(pivots, "node").where((F.col("a") != F.col("b")) & _like(GRAY_BITS, GRAY_PERCENT))
-    return pivots.select("node", "a"), materialize(stars.select("a", "b").distinct(), f"{label}-stars")
+def _distance() -> Column:
+    return 1 - F.col("shared") / F.col("total")
 
 
-def _staying(large: DataFrame, pivots: DataFrame, linked: DataFrame) -> DataFrame:
-    """(node, v) of members that are neither the pivot of the node nor linked (a, b) to it."""
-    met = large.select("node", "v").join(pivots, "node").where("v <> a")
-    return met.join(linked.select("a", F.col("b").alias("v")), ["a", "v"], "left_anti").select("node", "v")
+def _staying(shared: DataFrame, stars: DataFrame, named: DataFrame, percent: int, label: str) -> DataFrame:
+    """(node, v, c) of the members of large nodes that their node has yet to compare, with their components."""
+    large = shared.where(F.col("size") > SMALL_NODE)
+    part = lambda v, c: named.select(F.col("v").alias(v), F.col("component").alias(c))
+    pivots = large.where("v = p").select("p", "node").join(part("p", "pc"), "p", "left").select("node", F.coalesce("pc", "p").alias("pc"))
+    far = stars.select(F.col("a").alias("p"), F.col("b").alias("v"), _distance().alias("d"))
+    rows = large.where("v <> p").join(part("v", "c"), "v", "left").join(pivots, "node").join(far, ["p", "v"], "left")
+    rows = rows.select("node", "v", F.coalesce("c", "v").alias("c"), "d", (F.coalesce("c", "v") != F.col("pc")).alias("outside"))
+    rows = materialize(rows, f"{label}-large")
+    # A member that no star was confirmed for is further away than two links.
+    link = 1 - percent / 100
+    opened = rows.where("outside").groupBy("node").agg(F.min(F.coalesce("d", F.lit(2 * link))).alias("least"))
+    stays = F.col("outside") | (F.coalesce("d", F.lit(1.0)) >= F.col("least") - link - 1e-9)
+    return materialize(rows.join(opened, "node").where(stays).select("node", "v", "c"), f"{label}-rest")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component): the least vertex that each vertex of ``edges`` (a, b) reaches."""
+    """(v, component): the least vertex that each vertex of ``edges`` (a, b) reaches.
 
-    def star(e: DataFrame, label: str) -> DataFrame:
-        least = materialize(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{label}-least")
-        return e.join(least, "u")
+    Large and small stars in turn, until nothing changes.  Edges that fit into one task
+    stay in one; more are shuffled.
+    """
+
+    def star(e: DataFrame) -> DataFrame:
+        return e.join(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
 
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges-both")
-        large = materialize(star(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges-large")
-        small = star(large, "small")
-        e = materialize(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges-small")
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(e.select("v", F.col("v").alias("component")).distinct())
-        before = now
+    before, now = None, e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while now != before and now[0]:
+        e = e.coalesce(1 + now[0] // EDGES_PER_TASK)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = star(large).select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        e = materialize(small, "edges")
+        before, now = now, e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(e.select("v", F.col("v").alias("component")).distinct())
 
 
 def _contracted(links: DataFrame, absorbed: DataFrame) -> DataFrame:
-    """Component of each linked vertex, one row each, absorbed ones through the pivots that hold them.
-
-    Links of absorbed vertices count as links of their least pivot, and their other
-    pivots are tied to that one, so no edge of a large group is left but those
-    between its pivots.  A pivot that is absorbed itself keeps its links as they are.
-    """
-    absorbed = materialize(absorbed.select("v", "pivot").distinct(), "absorbed-pairs")
-    pivots = absorbed.select(F.col("pivot").alias("v")).distinct()
-    chained = absorbed.join(pivots, "v", "left_semi").select(F.col("v").alias("a"), F.col("pivot").alias("b"))
-    leaves = absorbed.join(pivots, "v", "left_anti")
-    held = materialize(leaves.groupBy("v").agg(F.collect_set("pivot").alias("ps")).select("v", "ps", F.array_min("ps").alias("pivot")), "held")
-    ties = held.where(F.size("ps") > 1).select(F.explode("ps").alias("a"), F.col("pivot").alias("b")).distinct()
-    parent = lambda e: held.select(F.col("v").alias(e), F.col("pivot").alias(f"p{e}"))
-    raised = links.select("a", "b").join(parent("a"), "a", "left").join(parent("b"), "b", "left")
-    raised = raised.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-    found = materialize(components(raised.unionByName(ties).unionByName(chained)), "components")
-    # A pivot with absorbed vertices only has no edge; it is its own component so far.
-    lone = held.select(F.col("pivot").alias("v")).distinct().join(found, "v", "left_anti").select("v", F.col("v").alias("component"))
-    found = materialize(found.unionByName(lone), "components-lone")
-    members = held.select("v", "pivot").join(found.select(F.col("v").alias("pivot"), "component"), "pivot").select("v", "component")
-    every = materialize(found.unionByName(members), "components-all")
-    # An absorbed vertex may have the least id of its component.
-    least = materialize(every.groupBy("component").agg(F.min("v").alias("least")), "components-least")
-    return materialize(every.join(least, "component").select("v", F.col("least").alias("component")), "components-named")
+    """Component of each vertex, one row each, from links (a, b) and the (v, pivot) that tie vertices found before."""
+    ties = absorbed.select(F.col("v").alias("a"), F.col("pivot").alias("b"))
+    return materialize(components(links.select("a", "b").unionByName(ties)), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,79 +293,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     is named by its smallest id, whose document is kept.  An empty set is linked
     with nothing, so its row is kept.  A row with a null id is linked with nothing
     either: its component is null and it is kept.  Repeated rows of one id share
-    its component.  Other columns are not looked at.
+    its component; if their texts differ, the id has the links of all of them.  Other
+    columns are not looked at.  The trees are laid out for ``percent`` of 80 or more; a
+    lower one is an error.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100")
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     told = materialize(src.mapInPandas(_described(width), "doc_id long, n int, set_key binary, tokens binary, s1 long, s2 long"), "described")
-    usable = told.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("v"), *[F.first(c).alias(c) for c in ("n", "tokens", "s1", "s2")]), "classes")
-    rows = _sized(classes.select("v", F.explode(_first_nodes()).alias("node")), classes, "level-1")
-    small, level = [_within(rows.where(F.col("size") <= SMALL_NODE), percent, "level-1-pairs")], 1
-    large = rows.where(F.col("size") > SMALL_NODE)
-    sets = _Sets(src, width)
-    stars = []
-    while not large.isEmpty():
-        if level == MAX_LEVELS:
-            small.append(_within(large, percent, "last-pairs"))
-            break
-        pivots, pairs = _pivot_pairs(large, f"level-{level}")
-        if level == 1:  # one pass over the texts builds the sets of nearly all that will be compared
-            sets.need(_ends(pairs).unionByName(_ends(small[0])))
-        if stars:  # a vertex may be pivot again at a deeper level
-            pairs = materialize(pairs.join(_all(stars).select("a", "b"), ["a", "b"], "left_anti"), f"level-{level}-new-stars")
-        stars.append(sets.verify(pairs, f"level-{level}-checked"))
-        linked = materialize(_all(stars).where(_linked(percent)).select("a", "b"), f"level-{level}-absorbed")
-        rest = _staying(large, pivots, linked)
-        deeper = rest.join(classes.select("v", "tokens"), "v").select(F.explode(_next_nodes()).alias("node"), "v")
-        level += 1
-        rows = _sized(deeper, classes, f"level-{level}")
-        small.append(_within(rows.where(F.col("size") <= SMALL_NODE), percent, f"level-{level}-pairs"))
-        large = rows.where(F.col("size") > SMALL_NODE)
-    pairs = _all(small)
-    if stars:
-        named = _with_pivots(pairs, _all(stars), sets, percent)
-    else:
-        links = sets.verify(pairs, "links").where(_linked(percent))
-        named = _contracted(links, docs.sparkSession.createDataFrame([], "v long, pivot long"))
-    map_ = materialize(classes.select("set_key", "v").join(named, "v", "left").select("set_key", F.coalesce("component", "v").alias("component")), "class-components")
+    with scratch() as kept:
+        usable = told.where("n > 0 AND doc_id IS NOT NULL")
+        classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("v"), *[F.first(c).alias(c) for c in ("n", "tokens", "s1", "s2")]), "classes")
+        named = _joined(classes, _Sets(src, width), percent)
+        # Classes of one id are one vertex.
+        map_ = kept(classes.select("set_key", "v").join(named, "v", "left").select("set_key", F.coalesce("component", "v").alias("component")), "class-components")
     out = told.select("doc_id", "n", "set_key").join(map_, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _with_pivots(pairs: DataFrame, stars: DataFrame, sets: _Sets, percent: int) -> DataFrame:
-    """Components from links of small nodes and of pivots, made exact at the end."""
-    absorbed = materialize(stars.where(_linked(percent)).select(F.col("b").alias("v"), F.col("a").alias("pivot")).distinct(), "absorbed")
-    parent = materialize(absorbed.groupBy("v").agg(F.min("pivot").alias("pivot")), "parents")
-    # Pairs whose ends stand under one pivot are joined already.
-    end = lambda e: parent.select(F.col("v").alias(e), F.col("pivot").alias(f"p{e}"))
-    apart = pairs.distinct().join(end("a"), "a", "left").join(end("b"), "b", "left")
-    apart = materialize(apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b"), "pairs")
-    links = sets.verify(apart, "links").where(_linked(percent)).select("a", "b")
-    named = _contracted(links, absorbed)
-    component = lambda v, to: named.select(F.col("v").alias(v), F.col("component").alias(to))
-    # Gray pairs between components: compare what the pivot stands for with the other end.
-    far = (1 - F.col("shared") / F.col("total")).alias("d")
-    gray = stars.where(~_linked(percent) & (F.col("shared") * 100 >= F.col("total") * GRAY_PERCENT)).select("a", "b", far).distinct()
-    gray = gray.join(component("a", "ca"), "a", "left").join(component("b", "cb"), "b", "left")
-    gray = materialize(gray.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d"), "gray")
-    if gray.isEmpty():
-        return named
-    stood = materialize(stars.where(_linked(percent)).select("a", F.col("b").alias("x"), far.alias("dx")).distinct(), "stood-for")
-    more = gray.join(stood, "a").where(F.col("d") <= F.col("dx") + (1 - percent / 100) + 1e-9).where("x <> b")
-    more = materialize(more.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct(), "gray-pairs")
-    extra = sets.verify(more, "gray-links").where(_linked(percent)).select("a", "b")
-    if extra.isEmpty():
-        return named
-    lift = extra.join(component("a", "ca"), "a", "left").join(component("b", "cb"), "b", "left")
-    joined = materialize(components(lift.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "components-joined")
-    renamed = named.join(joined.select(F.col("v").alias("component"), F.col("component").alias("to")), "component", "left").select("v", F.coalesce("to", "component").alias("component"))
-    fresh = joined.join(named.select("v"), "v", "left_anti").select("v", "component")
-    return materialize(renamed.unionByName(fresh), "components-final")
+def _joined(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """(v, component) of the vertices of ``classes`` that are linked."""
+    spark = classes.sparkSession
+    named = spark.createDataFrame([], "v long, component long")
+    rows, level, limit, stars, small = classes.select("v", F.explode(_first_nodes()).alias("node")), 1, None, [], []
+    while True:
+        shared = _shared(rows, f"level-{level}")
+        pairs = _star_pairs(shared, classes, percent, f"level-{level}-stars")
+        if stars:  # a vertex may be pivot again at a deeper level
+            pairs = materialize(pairs.join(_all(stars).select("a", "b"), ["a", "b"], "left_anti"), f"level-{level}-new-stars")
+        stars.append(sets.verify(pairs, f"level-{level}-checked"))
+        named = _contracted(stars[-1].where(_linked(percent)), named.select("v", F.col("component").alias("pivot")))
+        small.append(shared.where((F.col("size") <= SMALL_NODE) & (F.col("v") != F.col("p"))).select("node", "v"))
+        rest = _staying(shared, _all(stars), named, percent, f"level-{level}")
+        n_rest = rest.count()
+        limit = limit or GROWTH * n_rest
+        if n_rest * PATHS > limit or not n_rest:
+            small.append(rest.select("node", "v"))
+            break
+        rows = materialize(rest.join(classes.select("v", "tokens"), "v").select(F.explode(_next_nodes()).alias("node"), "v"), f"level-{level}-branched")
+        level += 1
+    parts = _all(small).join(named, "v", "left").select("node", "v", F.coalesce("component", "v").alias("c"))
+    pairs = _within(parts, classes, percent, "pairs").join(_all(stars).select("a", "b"), ["a", "b"], "left_anti")
+    links = sets.verify(materialize(pairs, "new-pairs"), "links").where(_linked(percent))
+    return _contracted(links, named.select("v", F.col("component").alias("pivot")))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies of ``documents`` by shingles of four words; see ``near_duplicates`` for nulls, empty texts, ties and repeats."""
     return near_duplicates(documents(spark, sf_dir), width=4)
 
 

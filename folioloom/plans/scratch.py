@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +54,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete all scratch tables made so far; DataFrames over them end."""
-    while _made:
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables made inside when the block ends, but for those made by the function it hands out."""
+    mark, kept = len(_made), []
+
+    def keeper(df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        kept.append(_made.pop())
+        return out
+
+    try:
+        yield keeper
+    finally:
+        release(mark)
+        _made.extend(kept)
+
+
+def release(mark: int = 0) -> None:
+    """Delete the scratch tables made so far, after the first ``mark``; DataFrames over them end."""
+    while len(_made) > mark:
         spark, path = _made.pop()
         try:
             jvm = spark.sparkContext._jvm
