@@ -7,18 +7,21 @@ first three branchings keep one path, the later ones three of two tokens each.
 
 Every node first compares its members with one pivot.  The links so found are joined to
 components at once, and from then on only pairs of different components count: a pair
-inside one cannot change the result.  Nodes of at most 64 vertices then compare all
-other pairs of different components.  Larger ones branch again, without what needs no
-further comparison there: the pivot, which has met all; all of a node that lies in one
-component; and members of the pivot's component at distance d, if every member outside it is
-further than d + 0.2 from the pivot, for by the triangle inequality none of those can
-then be linked to the member.  So a large group of near copies, which no branching
-separates, costs one comparison for each member and pivot, not one for each pair.
+inside one cannot change the result.  Nodes of at most 4096 vertices that lie in several
+components then compare their members exhaustively.  Larger ones branch again, without
+what needs no further comparison there: the pivot, which has met all; all of a node that
+lies in one component; and members of the pivot's component at distance d, if every member
+outside it is further than d + 0.2 from the pivot, for by the triangle inequality none of
+those can then be linked to the member.  So a large group of near copies, which no
+branching separates, costs one comparison for each member and pivot, not one for each pair.
 
 Where members of different components share so many tokens that branching multiplies
-rows instead of separating them, the rest is compared exhaustively, all of it.
+rows instead of separating them, the rest is compared exhaustively, all of it, in pairs of
+blocks that are tasks of their own.
 
-All links are confirmed on the full sets, by ``array_intersect`` in the engine.
+All comparisons are of the full sets: with pivots by ``array_intersect`` in the engine,
+in nodes by products of membership matrices, which hand on only as many links as join
+their node's components, never its pairs.
 
 Recall: averaged over the number of equal positions that the trees share, the first
 branchings of all trees miss a pair of similarity 0.8 with 4e-7, one of 0.9 with less
@@ -38,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +54,9 @@ TREES, FIRST_LEVELS, POSITIONS, BITS = 28, 3, 96, 128
 #: Paths and tokens of each further branching: a pair of 0.8 keeps meeting on two of the three in the mean.
 PATHS, PATH_LEVELS = 3, 2
 #: Nodes of at most this many vertices are compared exhaustively.
-SMALL_NODE = 64
+SMALL_NODE = 4096
+#: Vertices and shingles of one block, about; columns of the matrices of a comparison.
+BLOCK_ROWS, BLOCK_ITEMS, COLUMNS = 1024, 2_000_000, 4096
 #: Branching ends, and the rest is compared exhaustively, when a level has so many times the rows of the first large nodes.
 GROWTH = 4
 #: Standard deviations by which sketch bits of a pair may exceed their mean.
@@ -180,16 +186,6 @@ def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int, label: str)
     return materialize(near.select(F.col("p").alias("a"), F.col("v").alias("b")).distinct(), label)
 
 
-def _within(rows: DataFrame, classes: DataFrame, percent: int, label: str) -> DataFrame:
-    """Distinct (a, b), a < b, of different components inside the nodes of (node, v, c), that may be linked."""
-    mixed = rows.groupBy("node").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("node")
-    rows = materialize(rows.join(mixed, "node"), f"{label}-rows")
-    x = rows.select("node", F.col("v").alias("a"), F.col("c").alias("ca")).join(_described_as(classes, "a", "a"), "a")
-    y = rows.select("node", F.col("v").alias("b"), F.col("c").alias("cb")).join(_described_as(classes, "b", "b"), "b")
-    pairs = x.join(y, (x["node"] == y["node"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like(percent))
-    return materialize(pairs.select("a", "b").distinct(), label)
-
-
 class _Sets:
     """Full sets of the vertices asked for so far, each built once."""
 
@@ -222,6 +218,79 @@ class _Sets:
         return materialize(out.select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("total")), label)
 
 
+def _links(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join the components of one comparison, one less than the vertices they join.
+
+    Members of one block are compared with those of the other, or with each other if
+    there is one block only.
+    """
+    k, rows = len(ids), np.repeat(np.arange(len(ids)), sizes)
+    _, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    shared = n > 1
+    column = np.cumsum(shared) - 1
+    at, rows = column[at[shared[at]]], rows[shared[at]]
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    common = np.zeros((k, k), dtype=np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        here = slice(*np.searchsorted(at, (lo, lo + COLUMNS)))
+        member = np.zeros((k, min(COLUMNS, int(shared.sum()) - lo)), dtype=np.float32)
+        member[rows[here], at[here] - lo] = 1
+        common += member @ member.T
+    common = common.astype(np.int64)
+    linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (comps[:, None] != comps[None, :])
+    if blocks.min() < blocks.max():
+        linked &= blocks[:, None] != blocks[None, :]
+    label, before = np.arange(k), None
+    while before is None or (label != before).any():  # the least member that each reaches
+        before, label = label, np.minimum(label, np.where(linked, label[None, :], k).min(axis=1))
+    joined = label != np.arange(k)
+    return ids[joined], ids[label[joined]]
+
+
+def _comparing(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        key, held = None, []
+
+        def compared() -> pa.RecordBatch:
+            parts = list(zip(*held))
+            a, b = _links(*[np.concatenate(p) for p in parts], percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+        for batch in batches:
+            node, i, j, v, c, block = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "i", "j", "v", "c", "block"))
+            starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(node) else []
+            for lo, hi in zip(starts, [*starts[1:], len(node)]):
+                if key != (node[lo], i[lo], j[lo]):
+                    if held:
+                        yield compared()
+                    key, held = (node[lo], i[lo], j[lo]), []
+                items = batch.column("items").slice(lo, hi - lo)
+                held.append((v[lo:hi], c[lo:hi], block[lo:hi], items.flatten().to_numpy(), items.value_lengths().to_numpy().astype(np.int64)))
+        if held:
+            yield compared()
+
+    return run
+
+
+def _compared(rows: DataFrame, classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """(a, b): links between different components in the nodes of (node, v, c), as many as join them.
+
+    A node whose members are many or long is dealt into blocks, and each pair of
+    blocks is one comparison, so no comparison grows with its node.
+    """
+    rows = rows.join(classes.select("v", "n"), "v")
+    blocks = F.floor(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_ITEMS) - 1e-9) + 1
+    mixed = rows.groupBy("node").agg(blocks.cast("int").alias("blocks"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    rows = materialize(rows.join(mixed.select("node", "blocks"), "node").select("node", "v", "c", "blocks", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block")), "mixed")
+    sets.need(rows.select("v"))
+    dealt = rows.select("node", "v", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", "c", "block")
+    full = dealt.join(sets.table(), "v").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return materialize(full.select("node", "i", "j", "v", "c", "block", "items").mapInArrow(_comparing(percent), "a long, b long").distinct(), "links")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
 
@@ -267,17 +336,20 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame) -> DataFrame:
         return e.join(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
 
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
     before, now = None, e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    tasks = 1 + now[0] // EDGES_PER_TASK
     while now != before and now[0]:
-        e = e.coalesce(1 + now[0] // EDGES_PER_TASK)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = e.coalesce(tasks)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = star(large).select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = materialize(small, "edges")
         before, now = now, e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(e.select("v", F.col("v").alias("component")).distinct())
+    e = e.coalesce(tasks)
+    roots = e.select("v", F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(roots).coalesce(tasks)
 
 
 def _contracted(links: DataFrame, absorbed: DataFrame) -> DataFrame:
@@ -326,6 +398,8 @@ def _joined(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
         stars.append(sets.verify(pairs, f"level-{level}-checked"))
         named = _contracted(stars[-1].where(_linked(percent)), named.select("v", F.col("component").alias("pivot")))
         small.append(shared.where((F.col("size") <= SMALL_NODE) & (F.col("v") != F.col("p"))).select("node", "v"))
+        if shared.where(F.col("size") > SMALL_NODE).isEmpty():
+            break
         rest = _staying(shared, _all(stars), named, percent, f"level-{level}")
         n_rest = rest.count()
         limit = limit or GROWTH * n_rest
@@ -335,9 +409,7 @@ def _joined(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
         rows = materialize(rest.join(classes.select("v", "tokens"), "v").select(F.explode(_next_nodes()).alias("node"), "v"), f"level-{level}-branched")
         level += 1
     parts = _all(small).join(named, "v", "left").select("node", "v", F.coalesce("component", "v").alias("c"))
-    pairs = _within(parts, classes, percent, "pairs").join(_all(stars).select("a", "b"), ["a", "b"], "left_anti")
-    links = sets.verify(materialize(pairs, "new-pairs"), "links").where(_linked(percent))
-    return _contracted(links, named.select("v", F.col("component").alias("pivot")))
+    return _contracted(_compared(parts, classes, sets, percent), named.select("v", F.col("component").alias("pivot")))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
