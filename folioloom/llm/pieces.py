@@ -20,6 +20,7 @@ import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,9 @@ SPACE = "▁"
 _LITERAL = "\udc81"
 #: Pieces with this score or less are not used, but for single characters.
 _UNUSED = -1e8
+#: Chunks that a worker remembers; beyond it the older half is forgotten.
 CACHE_ENTRIES = 700_000
+_EXACT = 1 << 20
 
 
 _BITS = 20
@@ -78,7 +81,8 @@ class PieceLattice:
             plain = not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
             self._raw.append(piece.replace(SPACE, " ").encode() if plain else b"")
             if plain and sp.get_score(i) > _UNUSED:
-                self._prefixes[piece] = (sp.get_score(i), i)
+                # Rounded, so that sums are exact and equal paths have equal scores.
+                self._prefixes[piece] = (round(sp.get_score(i) * _EXACT) / _EXACT, i)
         scored = [v[0] for v in self._prefixes.values()]
         self._unknown = min(scored) - 10
         for i in range(sp.get_piece_size()):  # a single character is never without its piece
@@ -267,31 +271,60 @@ class PieceLattice:
     def nbest(self, s: str, n_best: int, cuts: frozenset[int] = frozenset()) -> list[tuple[float, list]]:
         """The ``n_best`` paths of the lattice of ``s``, best first, by backward A-star.
 
-        No edge crosses a place in ``cuts``.  Equal scores come in the order in
-        which they were reached, which is fixed by the lattice.
+        No edge crosses a place in ``cuts``.  Of equal scores the hypothesis made last
+        goes first, and the longest last piece is made last, so ties are followed to
+        the start one after the other and the first path is that of Viterbi.  No place
+        is left more often than ``n_best`` times, which loses none of the best paths.
         """
-        edges = self.edges(s)
-        if cuts:
-            edges = [e for e in edges if not any(e[0] < c < e[1] for c in cuts)]
-        best, _ = self.forward(len(s), edges)
-        into: list[list] = [[] for _ in range(len(s) + 1)]
-        for e in edges:
-            into[e[1]].append(e)
-        heap, serial, out = [(-best[-1], 0, len(s), 0.0, None)], 0, []
+        best, floor = self._prefix_scores(s, cuts)
+        heap, serial, out, left = [(-best[-1], 0, len(s), 0.0, None)], 0, [], {}
+        get, longest, unknown = self._prefixes.get, self._longest, self._unknown
         while heap and len(out) < n_best:
             _, _, at, tail, path = heapq.heappop(heap)
             if at == 0:
                 edges_of = []
                 while path is not None:
-                    edges_of.append(path[0])
-                    path = path[1]
+                    edges_of.append(path[:4])
+                    path = path[4]
                 out.append((tail, edges_of))
                 continue
-            for e in into[at]:
-                serial += 1
-                heapq.heappush(heap, (-(best[e[0]] + e[2] + tail), serial, e[0], e[2] + tail, (e, path)))
+            if left.get(at, 0) == n_best:
+                continue
+            left[at] = left.get(at, 0) + 1
+            for i in range(at - 1, max(floor[at], at - longest) - 1, -1):
+                hit = get(s[i:at])
+                if hit is None:
+                    if i < at - 1:
+                        continue
+                    hit = (unknown, -1)
+                serial -= 1
+                heapq.heappush(heap, (-(best[i] + hit[0] + tail), serial, i, hit[0] + tail, (i, at, *hit, path)))
         return out
 
+    def _prefix_scores(self, s: str, cuts: frozenset[int]) -> tuple[list[float], list[int]]:
+        """Best score of every prefix, and the last cut before each place."""
+        n, get, low = len(s), self._prefixes.get, float("-inf")
+        best, floor, ends = [low] * (n + 1), [0] * (n + 1), sorted(cuts | {n})
+        best[0], start = 0.0, 0
+        for end in ends:
+            for i in range(start, end):
+                floor[i + 1], a = start, best[i]
+                hit = get(s[i], 0)
+                v = a + (hit[0] if hit else self._unknown)
+                if v > best[i + 1]:
+                    best[i + 1] = v
+                if hit == 0:
+                    continue
+                for j in range(i + 2, end + 1):
+                    hit = get(s[i:j], 0)
+                    if hit:
+                        if a + hit[0] > best[j]:
+                            best[j] = a + hit[0]
+                    elif hit == 0:
+                        break
+            start = end
+        return best, floor
+
     # -- texts ----------------------------------------------------------------
 
     def chunks(self, text: str) -> list[str]:
@@ -322,6 +355,24 @@ class PieceLattice:
 
     def encode_many(self, texts: list[str], n_best: int, block: int = 1 << 20) -> Iterator[tuple[bytes, list[tuple[float, dict[int, list[int]]]]]]:
         """``encode`` for each text; unseen chunks of about ``block`` characters are learned together."""
+        for found, paths in self._many(texts, n_best, block):
+            yield b"".join([f.ids for f in found]), paths
+
+    def segmentations(self, texts: list[str], n_best: int, block: int = 1 << 20) -> Iterator[list[tuple[float, bytes]]]:
+        """(score, ids as 16-bit bytes) of the n best of each text."""
+        for found, paths in self._many(texts, n_best, block):
+            own = [f.ids for f in found]
+            out = [(paths[0][0], b"".join(own))]
+            for score, differ in paths[1:]:
+                was = [own[k] for k in differ]
+                for k, ids in differ.items():
+                    own[k] = array("H", ids).tobytes()
+                out.append((score, b"".join(own)))
+                for k, ids in zip(differ, was):
+                    own[k] = ids
+            yield out
+
+    def _many(self, texts: list[str], n_best: int, block: int) -> Iterator[tuple[list[Chunk], list]]:
         lo = 0
         while lo < len(texts):
             hi, n = lo, 0
@@ -332,23 +383,23 @@ class PieceLattice:
             cache = self._cache
             missing = {s for parts in held for s in parts if s not in cache}
             self._recent = new = self.learn(list(missing)) if missing else {}
-            if len(cache) + len(new) <= CACHE_ENTRIES:
-                cache.update(new)
+            known = cache
+            cache.update(new)
+            if len(cache) > CACHE_ENTRIES:
+                self._cache = dict(islice(cache.items(), len(cache) // 2, None))
             for parts in held:
-                found = list(map(cache.get, parts))
-                if None in found:
-                    found = [new[s] if f is None else f for s, f in zip(parts, found)]
-                yield self._encoded(parts, found, n_best)
+                found = list(map(known.get, parts))
+                yield found, self._paths(parts, found, n_best)
             lo = hi
 
-    def _encoded(self, parts: list[str], found: list[Chunk], n_best: int) -> tuple[bytes, list[tuple[float, dict[int, list[int]]]]]:
-        ids, total = b"".join([f.ids for f in found]), sum([f.score for f in found])
-        near = sorted(heapq.nsmallest(n_best - 1, range(len(found)), key=lambda k: found[k].gap)) if n_best > 1 else []
+    def _paths(self, parts: list[str], found: list[Chunk], n_best: int) -> list[tuple[float, dict[int, list[int]]]]:
+        total = sum([f.score for f in found])
+        near = sorted(heapq.nsmallest(n_best - 1, range(len(found)), key=[f.gap for f in found].__getitem__)) if n_best > 1 else []
         near = [k for k in near if found[k].gap < float("inf")]
         if not near:
-            return ids, [(total, {})]
-        joined = "".join(parts[k] for k in near)
-        ends = np.cumsum([len(parts[k]) for k in near]).tolist()
+            return [(total, {})]
+        joined = "".join([parts[k] for k in near])
+        ends = list(accumulate(len(parts[k]) for k in near))
         rest = total - sum(found[k].score for k in near)
         out = []
         for score, path in self.nbest(joined, n_best, frozenset(ends[:-1])):
@@ -359,10 +410,10 @@ class PieceLattice:
                     own.append(path[at])
                     at += 1
                 got = self.ids_of(joined, own)
-                if np.asarray(got, dtype="<u2").tobytes() != found[k].ids:
+                if array("H", got).tobytes() != found[k].ids:
                     differ[k] = got
             out.append((rest + score, differ))
-        return ids, out
+        return out
 
     def spell(self, text: str, differ: dict[int, list[int]]) -> np.ndarray:
         """All ids of one of the n best."""
@@ -389,16 +440,16 @@ def lattice(path: str) -> PieceLattice:
 def encode_nbest(docs: DataFrame, path: str, n_best: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, segmentations``: an array of (score, ids), best first, for every row.
 
-    A null text is an empty text, whose one chunk is the leading space mark.
+    A null text is an empty text, whose one chunk is the leading space mark.  Rows
+    with a null or repeated id are encoded like others.  Of segmentations with equal
+    scores the one with the longer last piece comes first; a text that has fewer than
+    ``n_best`` gives those it has.  Other columns are not looked at.
     """
 
     @F.pandas_udf("array<struct<score: double, ids: array<int>>>")
     def segment(texts: pd.Series) -> pd.Series:
-        lat, out = lattice(path), []
-        for t in texts:
-            _, paths = lat.encode(t or "", n_best)
-            out.append([{"score": s, "ids": lat.spell(t or "", d).tolist()} for s, d in paths])
-        return pd.Series(out)
+        paths = lattice(path).segmentations([t or "" for t in texts], n_best)
+        return pd.Series([[{"score": s, "ids": np.frombuffer(raw, dtype="<u2").tolist()} for s, raw in of] for of in paths], dtype=object)
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), segment(F.col(f"`{text_col}`")).alias("segmentations"))
 
@@ -414,7 +465,10 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", to: str = "text")
 
 
 def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the four best segmentations of every whole text, and of the text decoded from the best."""
+    """Score, number and crc32 of the ids of each of the four best segmentations of every whole text; see ``encode_nbest``.
+
+    ``ids_crc32`` and ``n_pieces`` are those of the best, ``decoded_sha256`` of the text decoded from it.
+    """
     import public_tokenizers
 
     path, n_best = public_tokenizers.path("piece_bpe_32k.model"), 4
@@ -423,12 +477,14 @@ def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         lat = lattice(path)
         for pdf in batches:
             rows = []
-            for raw, paths in lat.encode_many([t or "" for t in pdf["text"]], n_best):
-                ids = np.frombuffer(raw, dtype="<u2")
-                back = hashlib.sha256(lat.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((len(ids), crc32_u32(ids), [s for s, _ in paths], back))
-            out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "nbest_scores", "decoded_sha256"])
+            for paths in lat.segmentations([t or "" for t in pdf["text"]], n_best):
+                ids = [np.frombuffer(raw, dtype="<u2") for _, raw in paths]
+                back = hashlib.sha256(lat.decode(ids[0]).encode("utf-8", "surrogatepass")).hexdigest()
+                crcs = [crc32_u32(x) for x in ids]
+                rows.append((len(ids[0]), crcs[0], [s for s, _ in paths], list(map(len, ids)), crcs, back))
+            out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "nbest_scores", "nbest_pieces", "nbest_crc32", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object))
             yield out
 
-    return documents(spark, sf_dir).select("doc_id", "text").mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, decoded_sha256 string")
+    schema = "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, nbest_pieces array<long>, nbest_crc32 array<long>, decoded_sha256 string"
+    return documents(spark, sf_dir).select("doc_id", "text").mapInPandas(run, schema)
