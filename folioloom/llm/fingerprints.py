@@ -30,6 +30,8 @@ PIECES = (4, 4, 8, 16, 32, 64)
 SECTION_EVERY = 16
 #: Code points hashed at a time; a longer paragraph is done in several strides.
 _STRIDE = 1 << 20
+#: Ranges that the order of ids is cut into at most: what the driver holds about them is bounded.
+MAX_PARTS = 8192
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW = np.ones(PIECES[-1], dtype=np.uint64)
@@ -106,7 +108,7 @@ def fingerprint(text: str | None) -> str:
 
     def close() -> None:
         if held:
-            digest = hashlib.blake2b(b"".join(raw_held), digest_size=6).digest()
+            digest = hashlib.blake2b(b"".join(raw_held), digest_size=12).digest()
             root.update(digest)
             sections.append(f"{_b64(digest)}:{','.join(held)}")
             held.clear()
@@ -115,7 +117,7 @@ def fingerprint(text: str | None) -> str:
     for p, n, c in zip(paragraphs, lengths.tolist(), counts.tolist()):
         if held and p[:1] == "#":
             close()
-        digest = hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=6).digest()
+        digest = hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=12).digest()
         held.append(f"{_b64(digest)}.{n:x}.{pieces[4 * at : 4 * (at + c)]}")
         raw_held.append(digest)
         at += c
@@ -207,40 +209,51 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 # --- neighbours in descending id order, with one move of the texts ---------
 
 
-def with_next(docs: DataFrame, visit, schema: str, rows_per_part: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, visit, schema: str, rows_per_part: int = 4096) -> DataFrame:
     """Apply ``visit(doc_id, text, next_text)`` to each document in descending id order.
 
-    The order is cut into ranges of about ``rows_per_part`` ids.  A range is a
-    partition; the first document of each range is also sent to the range before,
-    so no task needs another's rows.  Two narrow passes over the ids find the
-    borders; the driver holds two ids for each range.  Rows with equal ids follow
-    each other by descending text; null ids come last; the last row is followed
-    by the first.
+    The order is cut into ranges of about ``rows_per_part`` rows, more where that
+    would make over ``MAX_PARTS`` ranges; a range is sorted outside memory and
+    streamed, so its size is no limit.  A range is a partition; the first document of
+    each is also sent to the range before, so no task needs another's rows.  Two narrow
+    passes over the ids find the borders; the driver holds two ids for each range.
+    Rows with equal ids follow each other by descending text.  Null ids come last, in
+    the order of a hash of their texts, which deals them out evenly too; the last row
+    is followed by the first.  Rows of one repeated id stay in one range.
     """
-    low = -(1 << 63)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = src.select("key").count()
-    parts = max(1, -(-n // rows_per_part))
-    cuts = src.select("key").approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    no_id = F.col("doc_id").isNull()
+    text = F.coalesce("text", F.lit(""))
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), no_id.alias("no_id"), text.alias("text"))
+    n, n_null = src.agg(F.count(F.lit(1)), F.count_if("no_id")).first()
+    ranges = lambda rows: min(-(-rows // rows_per_part), max(1, MAX_PARTS * rows // max(n, 1)))
+    parts, null_parts = ranges(n - n_null), ranges(n_null)
+    cuts = src.where(~F.col("no_id")).approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = np.asarray(sorted({int(c) for c in cuts}), dtype=np.int64)
+    low, width = -(1 << 63), (1 << 64) // max(null_parts, 1) + 1
+    null_bounds = np.asarray([low + k * width for k in range(1, null_parts)], dtype=np.int64)
+    n_parts = len(bounds) + len(null_bounds) + 2
+
+    def place(keys: pd.Series, nulls: pd.Series) -> np.ndarray:  # part 0 holds the largest ids
+        at = keys.to_numpy()
+        null_at = len(bounds) + 1 + len(null_bounds) - np.searchsorted(null_bounds, at, side="left")
+        return np.where(nulls.to_numpy(), null_at, len(bounds) - np.searchsorted(bounds, at, side="left")).astype("int32")
 
     @F.pandas_udf("int")
-    def part_of(keys: pd.Series) -> pd.Series:  # part 0 holds the largest ids
-        return pd.Series((len(bounds) - np.searchsorted(bounds, keys.to_numpy(), side="left")).astype("int32"))
+    def part_of(keys: pd.Series, nulls: pd.Series) -> pd.Series:
+        return pd.Series(place(keys, nulls))
 
-    tops = sorted(src.select("key", part_of("key").alias("part")).groupBy("part").agg(F.max("key").alias("top")).collect())
+    tops = sorted(src.select("key", part_of("key", "no_id").alias("part")).groupBy("part").agg(F.max("key").alias("top")).collect())
     if not tops:
         return docs.sparkSession.createDataFrame([], schema)
     live = [t.part for t in tops]
     # The document at the head of a range closes the range before it.
-    order = np.argsort([t.top for t in tops])
-    top_keys = np.asarray([tops[k].top for k in order], dtype=np.int64)
-    top_parts = np.asarray([live[k - 1] for k in order], dtype=np.int64)
+    top, before = np.zeros(n_parts, dtype=np.int64), np.zeros(n_parts, dtype=np.int32)
+    top[live], before[live] = [t.top for t in tops], [live[k - 1] for k in range(len(live))]
 
     @F.pandas_udf("int")
-    def head_part(keys: pd.Series) -> pd.Series:  # the range that this row closes, if it heads one
-        at = np.minimum(np.searchsorted(top_keys, keys.to_numpy()), len(top_keys) - 1)
-        return pd.Series(top_parts[at]).where(top_keys[at] == keys.to_numpy()).astype("Int32")
+    def head_part(keys: pd.Series, nulls: pd.Series) -> pd.Series:  # the range that this row closes, if it heads one
+        at = place(keys, nulls)
+        return pd.Series(before[at]).where(top[at] == keys.to_numpy()).astype("Int32")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row that waits for the one after it
@@ -260,7 +273,7 @@ def with_next(docs: DataFrame, visit, schema: str, rows_per_part: int = 1024) ->
     here = F.struct("part", F.lit(False).alias("halo"))
     there = F.struct(F.col("closes").alias("part"), F.lit(True).alias("halo"))
     sent = (
-        src.select("key", "no_id", "text", part_of("key").alias("part"), head_part("key").alias("closes"))
+        src.select("key", "no_id", "text", part_of("key", "no_id").alias("part"), head_part("key", "no_id").alias("closes"))
         .select("key", "no_id", "text", F.explode(F.when(F.col("closes").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to"))
         .select(F.col("to.part").alias("part"), F.col("to.halo").alias("halo"), "key", "no_id", "text")
     )
@@ -269,6 +282,11 @@ def with_next(docs: DataFrame, visit, schema: str, rows_per_part: int = 1024) ->
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text, of its edited text, and their likeness to each other and to the next document.
+
+    A null text is empty; for null, repeated and tied ids see ``with_next``.  Other
+    columns are not looked at; no rows give no rows.
+    """
     last = {}  # the next document's fingerprint serves again as its own
 
     def visit(doc_id, text: str, after: str) -> tuple:
