@@ -8,12 +8,14 @@ stored 32-bit fingerprint, the offset and the length.  A lookup hashes a few
 times and reads one range, whatever the number of keys.
 
 Scale: documents are range-partitioned by key once; each task streams one shard
-and holds its index only.  The driver sees one row for each shard.
+and holds its index only.  The driver sees one row for each shard, of which there are at
+most ``MAX_SHARDS``: more documents make larger shards.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ MAGIC_IDS, MAGIC_MPH = b"FLIDS001", b"FLMPH001"
 #: Bits for each key of a level; more bits mean fewer levels.
 GAMMA = 2.0
 MAX_LEVELS = 64
+#: Shards at most; what the driver and the tasks hold about them is bounded.
+MAX_SHARDS = 8192
 _NULL = np.uint64(0xA5A5A5A5_5A5A5A5B)
 
 
@@ -195,14 +199,14 @@ def _keys(pdf: pd.DataFrame, ordinals: _Ordinals) -> tuple[np.ndarray, list]:
     return key_hashes(ids, nulls, ordinals.of(plain)), plain
 
 
-def _writer(out_uri: str, path: str, end_id: int):
+def _writer(out_uri: str, path: str, end_id: int, run_id: str):
     tail = np.asarray([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, task, ordinals = encoder(path, "word"), TaskContext.get(), _Ordinals()
         # The attempt is part of the name: a repeated task writes other files,
         # and the list of shards names those of the attempt that was kept.
-        uri = f"{out_uri}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
+        uri = f"{out_uri}/shard-{run_id}-{task.partitionId():06d}-{task.taskAttemptId()}"
         shard, first, last, n = None, None, None, 0
         for pdf in batches:
             if not len(pdf):
@@ -228,12 +232,18 @@ def write_ids(docs: DataFrame, out_uri: str, path: str, end_id: int = 1, docs_pe
     """
     from pyarrow import fs
 
+    run_id = uuid.uuid4().hex[:12]
     at, root = fs.FileSystem.from_uri(out_uri)
     at.create_dir(root, recursive=True)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    shards = max(1, -(-src.count() // docs_per_shard))
+    shards = max(1, min(-(-src.count() // docs_per_shard), MAX_SHARDS))
     dealt = src.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(dealt.mapInPandas(_writer(out_uri, path, end_id), "uri string, n_docs long, n_ids long, first_id long, last_id long"), "shards")
+    made = materialize(dealt.mapInPandas(_writer(out_uri, path, end_id, run_id), "uri string, n_docs long, n_ids long, first_id long, last_id long"), "shards")
+    named = {r.uri.rpartition("/")[2] for r in made.select("uri").collect()}  # at most MAX_SHARDS
+    for f in at.get_file_info(fs.FileSelector(root)):
+        if f.base_name.startswith(f"shard-{run_id}-") and f.base_name.rpartition(".")[0] not in named:
+            at.delete_file(f.path)  # of an attempt that was lost or repeated
+    return made
 
 
 def read_ids(keys: DataFrame, shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -243,7 +253,7 @@ def read_ids(keys: DataFrame, shards: DataFrame, id_col: str = "doc_id") -> Data
     and ``ids_crc32``; the k-th row of a repeated id finds its k-th document, and
     an id that no shard holds has nulls.
     """
-    # One row for each shard, some thousands of documents: it may go to the driver.
+    # One row for each shard, MAX_SHARDS at most: it may go to the driver and into the tasks.
     listed = sorted(shards.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0))
     firsts = np.asarray([r.first_id if r.first_id is not None else np.iinfo(np.int64).min for r in listed], dtype=np.int64)
     before = np.cumsum([0, *[r.n_ids for r in listed]]).tolist()
@@ -287,6 +297,11 @@ def read_ids(keys: DataFrame, shards: DataFrame, id_col: str = "doc_id") -> Data
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text written as ids in shards, and looked up again by its id.
+
+    A null text is empty and has its end id only; null ids come first, repeated ids
+    are kept apart by their order of text; other columns are not looked at.
+    """
     import public_tokenizers
 
     docs = documents(spark, sf_dir)
