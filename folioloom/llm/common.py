@@ -55,3 +55,9 @@ def uncarry(df: DataFrame, like: DataFrame, id_col: str = "doc_id", text_col: st
     """The columns of ``like`` again, from a carried table."""
     names = {id_col: F.col("doc_id"), text_col: F.col("text")}
     return df.select(*[names[c].alias(c) if c in names else F.col(f"extra.`{c}`").alias(c) for c in like.columns])
+
+
+def piece(id_col: Column, text: Column, most: int) -> Column:
+    """A text, or of one longer than ``most`` code points a piece of that length at a hashed place."""
+    spare = F.greatest(F.length(text) - most + 1, F.lit(1))
+    return F.substr(text, (F.pmod(F.xxhash64(id_col, F.lit("piece")), spare) + 1).cast("int"), F.lit(most))

@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import carry, documents, uncarry
+from folioloom.llm.common import carry, documents, piece, uncarry
 
 BUCKETS = 1 << 16
 DIM = 16
-#: Bounds of the labelled sample: rows of a language, languages, code points of a text.
-ROWS_PER_LANG, MAX_LANGS, SAMPLE_CHARS = 1200, 64, 8000
+#: Bounds of the labelled sample: rows of a language, rows of all languages (but LEAST_ROWS of
+#: each at least), and code points of a text; of a longer one a piece is taken.
+ROWS_PER_LANG, SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS = 1200, 60_000, 30, 8000
 _STRIDE = 1 << 20
 _MULT = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 
@@ -173,26 +174,33 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on a sample of at most about ``ROWS_PER_LANG`` rows of each language.
+    """Train on a bounded sample of the rows of every language.
 
-    The sample is a hash of the id, so it does not depend on how rows are stored.
+    A language has ``ROWS_PER_LANG`` rows or an equal share of ``SAMPLE_ROWS``,
+    whichever is less, and ``LEAST_ROWS`` at least.  The sample is a hash of the id, so it
+    does not depend on how rows are stored.  Rows without id, language or text are not
+    learned from; the driver holds the sample and one count for each language.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        ~held_out(F.col(id_col)) & F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)
-    )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return train([])
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, ROWS_PER_LANG / r["count"])))])
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * 1_000_000
-    sample = rows.where(pick).limit(2 * ROWS_PER_LANG * len(sizes)).collect()
-    return train([(r.text, r.lang) for r in sorted(sample, key=lambda r: (r.doc_id, r.text))])
+    each = max(LEAST_ROWS, min(ROWS_PER_LANG, SAMPLE_ROWS // len(sizes)))
+    rate = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, each / r["count"])))])
+    pick = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000
+    sample = rows.where(pick).select("doc_id", piece(F.col("doc_id"), F.col("text"), SAMPLE_CHARS).alias("text"), "lang").limit(2 * each * len(sizes)).collect()
+    return train([(r.text, r.lang) for r in sorted(sample, key=lambda r: (r.doc_id, r.text, r.lang))])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, extra`` (see ``carry``), ``lang_pred, score, accepted`` for every row.
 
     A text that is null or has no letter is ``und`` with score 0 and not accepted.
+    Rows are judged one by one, so null and repeated ids make no difference; of
+    languages with equal scores the first by name is predicted.  The other columns
+    are in ``extra``, so none can clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -205,11 +213,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and score of every whole text; see ``fit`` and ``identify`` for nulls, ties and repeats."""
     docs = documents(spark, sf_dir)
     out = identify(docs.select("doc_id", "text"), fit(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose language is accepted, with the columns they had."""
+    """The documents whose language is accepted, with the columns they had; without a column ``lang`` nothing can be learned, and none are."""
+    if "lang" not in docs.columns:
+        return docs.limit(0)
     return uncarry(identify(docs, fit(docs)).where("accepted"), docs)
