@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line.  Its hashed word 1- and 2-grams go through a softmax
+A paragraph is a line, or several lines in a row that a licence is wrapped over: those
+that each hold word pairs of templates which other lines of the corpus lack.  Its hashed word 1- and 2-grams go through a softmax
 regression over licence families and "none", trained in numpy on altered
 templates and on a bounded sample of the corpus's own lines.  A temperature and
 a least score are calibrated on rows kept apart: a family with a lower score is
@@ -23,14 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import documents
+from folioloom.llm.common import documents, piece
 
 BUCKETS = 1 << 15
-#: Bounds of the sample of corpus lines that stand for "none".
+#: Bounds of the sample of corpus lines that stand for "none": documents, lines, and code points of
+#: a document; of a longer one a piece is taken.
 SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 2000, 6000, 8000
 #: Share of a template's words that a paragraph must hold in order.
 CONFIRM = 0.8
 NONE = "none"
+#: n-grams weighed at a time, so that a very long line needs no more memory.
+_STRIDE = 1 << 16
 
 #: Sentences that name or grant a licence, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -106,21 +110,48 @@ def _grams(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order].astype(np.int64), np.bincount(owner, minlength=len(lines))
 
 
+def _pairs(lines: list[list[bytes]]) -> np.ndarray:
+    """Buckets of the word pairs of the lines, without those of single words."""
+    both = _grams(lines)[0]
+    return np.setdiff1d(both, _grams([[w] for x in lines for w in x])[0])
+
+
 @dataclass
 class Model:
     table: np.ndarray  # (BUCKETS, families + 1), the last is "none"
     bias: np.ndarray
     temperature: float = 1.0
     min_score: float = 0.5
+    telling: np.ndarray | None = None  # (BUCKETS,) of word pairs of templates that other lines lack
 
     def probabilities(self, lines: list[list[bytes]]) -> np.ndarray:
-        ids, sizes = _grams(lines)
+        return self.of_grams(*_grams(lines))
+
+    def of_grams(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if not len(ids):
-            return np.tile(_softmax(self.bias[None] / self.temperature), (len(lines), 1))
-        sums = np.concatenate([np.zeros((1, self.table.shape[1])), np.cumsum(self.table[ids], axis=0, dtype=np.float64)])
-        ends = np.cumsum(sizes)
-        z = (sums[ends] - sums[ends - sizes]) / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias
-        return _softmax(z / self.temperature)
+            return np.tile(_softmax(self.bias[None] / self.temperature), (len(sizes), 1))
+        owner, z = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), self.table.shape[1]))
+        for lo in range(0, len(ids), _STRIDE):
+            own = owner[lo : lo + _STRIDE]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            sums = np.cumsum(self.table[ids[lo : lo + _STRIDE]], axis=0, dtype=np.float64)[np.r_[first[1:], len(own)] - 1]
+            z[own[first]] += np.diff(sums, axis=0, prepend=0.0)
+        return _softmax((z / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias) / self.temperature)
+
+    def wrapped(self, lines: list[tuple[int, list[bytes]]], ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, list[bytes]]]:
+        """(first line, lines, words) of runs of neighbouring lines that all hold telling pairs."""
+        hits = np.bincount(np.repeat(np.arange(len(lines)), sizes)[self.telling[ids] > 0], minlength=len(lines))
+        if np.count_nonzero(hits) < 2:
+            return []
+        out, k = [], 0
+        while k < len(lines):
+            end = k
+            while end < len(lines) and hits[end] > 0 and lines[end][0] - lines[k][0] == end - k:
+                end += 1
+            if end - k > 1:
+                out.append((lines[k][0], end - k, [w for _, x in lines[k:end] for w in x]))
+            k = max(end, k + 1)
+        return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -159,6 +190,9 @@ def train(lines: list[str], epochs: int = 6, copies: int = 60, seed: int = 3) ->
     rows = [rows[i] for i in rng.permutation(len(rows))]
     fit, dev = rows[len(rows) // 5 :], rows[: len(rows) // 5]
     model = Model(np.zeros((BUCKETS, len(FAMILIES) + 1), dtype=np.float32), np.zeros(len(FAMILIES) + 1))
+    model.telling = np.zeros(BUCKETS, dtype=np.int32)
+    model.telling[_pairs([words_of(t) for ts in TEMPLATES.values() for t in ts])] = 1
+    model.telling[_pairs(plain)] = 0
     grams = [(np.unique(_grams([w])[0], return_counts=True), y) for w, y in fit]
     for epoch in range(epochs):
         lr = 1.0 / (1 + epoch)
@@ -228,31 +262,47 @@ def _telling(family: str, template: tuple[bytes, ...]) -> frozenset[bytes]:
 
 
 def scan_text(model: Model, text: str | None) -> tuple[int, list[tuple[int, str, float, bool]]]:
-    """Paragraphs with words, and (paragraph, family, score, confirmed) of each that is not "none".
+    """Lines with words, and (line, family, score, confirmed) of each paragraph that is not "none".
 
     A family whose score is under the calibrated least, or that no template
-    confirms, is reported as ``unknown`` and not confirmed.
+    confirms, is reported as ``unknown`` and not confirmed.  A licence wrapped over
+    several lines is reported at the first of them, if no single line confirms it.
     """
     lines = [(k, w) for k, w in ((k, words_of(p)) for k, p in enumerate((text or "").split("\n"))) if w]
-    out = []
+    out: list[tuple[int, str, float, bool]] = []
     for lo in range(0, len(lines), 4096):
         part = lines[lo : lo + 4096]
-        p = model.probabilities([w for _, w in part])
-        best = p.argmax(axis=1)
-        for i in np.flatnonzero((best < len(FAMILIES)) | (p[:, -1] < 0.5)):
-            f = int(p[i, :-1].argmax())
-            score = float(p[i, f])
-            sure = score >= model.min_score and holds(part[i][1], FAMILIES[f])
-            out.append((part[i][0], FAMILIES[f] if sure else "unknown", score, bool(sure)))
-    return len(lines), out
+        ids, sizes = _grams([w for _, w in part])
+        found = _found(model, part, model.of_grams(ids, sizes))
+        single = {(k, f) for k, f, _, sure in found if sure}
+        runs = model.wrapped(part, ids, sizes) if model.telling is not None else []
+        joined = [(k, w) for k, _, w in runs]
+        n_lines = {k: n for k, n, _ in runs}
+        for k, family, score, sure in _found(model, joined, model.probabilities([w for _, w in joined])) if joined else []:
+            own = range(k, k + n_lines[k])
+            if sure and not any(n in own and f == family for n, f in single):
+                found = [x for x in found if x[0] not in own or x[3]] + [(k, family, score, sure)]
+        out += found
+    return len(lines), sorted(out)
+
+
+def _found(model: Model, part: list[tuple[int, list[bytes]]], p: np.ndarray) -> list[tuple[int, str, float, bool]]:
+    out, best = [], p.argmax(axis=1)
+    for i in np.flatnonzero((best < len(FAMILIES)) | (p[:, -1] < 0.5)):
+        f = int(p[i, :-1].argmax())
+        score = float(p[i, f])
+        sure = score >= model.min_score and holds(part[i][1], FAMILIES[f])
+        out.append((part[i][0], FAMILIES[f] if sure else "unknown", score, bool(sure)))
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train with at most ``SAMPLE_LINES`` lines of about ``SAMPLE_DOCS`` hashed documents."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
     n = max(1, rows.count())
     part = F.pmod(F.xxhash64("doc_id", F.lit("licence sample")), F.lit(1_000_000)) < min(1.0, SAMPLE_DOCS / n) * 1_000_000
-    picked = sorted((r.doc_id or 0, r.text) for r in rows.where(part).limit(2 * SAMPLE_DOCS).collect())
+    sample = rows.where(part).select("doc_id", piece(F.col("doc_id"), F.col("text"), SAMPLE_CHARS).alias("text"))
+    picked = sorted((r.doc_id or 0, r.text) for r in sample.limit(2 * SAMPLE_DOCS).collect())
     lines = [line for _, text in picked for line in text.split("\n")]
     if len(lines) > SAMPLE_LINES:
         lines = [lines[i] for i in np.random.default_rng(1).permutation(len(lines))[:SAMPLE_LINES]]
@@ -263,7 +313,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``doc_id, n_paragraphs, found`` for every row.
 
     ``found`` has ``paragraph, family, score, confirmed`` of each paragraph that is
-    not "none", in order.  A null or blank text has no paragraphs.
+    not "none", in order.  A null or blank text has no paragraphs.  Rows are scanned
+    one by one, so null and repeated ids make no difference; of families with equal
+    scores the first by name is reported.  Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -281,6 +333,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in every whole text, with the numbers of confirmed and unknown paragraphs; see ``scan``."""
     docs = documents(spark, sf_dir)
     out = scan(docs, fit(docs))
     sure = F.filter("found", lambda x: x["confirmed"])

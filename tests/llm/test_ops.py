@@ -123,7 +123,7 @@ def test_language_edges(spark, edges, none, docs):
 
 
 def test_licences(spark, sf_dir, docs):
-    known = {"GNU General Public License": "gpl", "CC BY-NC 4.0": "cc-by-nc", "the MIT License": "mit", "Apache License, Version 2.0": "apache-2.0"}
+    known = {"GNU General Public License": "gpl", "CC BY-NC 4.0": "cc-by-nc", "the MIT License": "mit", "Apache License, Version 2.0": "apache-2.0", "All rights reserved.": "proprietary"}
     got = license_scan.op3_license_scan(spark, sf_dir).toPandas().set_index("doc_id")
     for d, t in zip(docs.doc_id, docs.text):
         assert set(got.loc[d].families) == {v for k, v in known.items() if k in t}
