@@ -95,31 +95,58 @@ def csv_to_yaml(c: Column) -> Column:
 
 
 def csv_cells(c: Column) -> Column:
-    """Rows of cells by plain splitting: for text without quotes, inside the engine."""
-    lines = F.filter(F.split(c, r"\r?\n"), lambda x: x != "")
-    return F.transform(lines, lambda x: F.split(x, ","))
+    """Rows of cells, empty lines left out.
 
+    Texts with a quote go through the CSV reader; others, by plain splitting, stay
+    inside the engine.
+    """
 
-def csv_to_html(c: Column) -> Column:
-    """A table whose first row is its head; an empty text gives an empty table.
+    @F.pandas_udf("array<array<string>>")
+    def quoted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [r for r in csv.reader(io.StringIO(t, newline="")) if r not in ([], [""])])
+
+    lines = F.filter(F.split(c, r"\r\n|\r|\n"), lambda x: x != "")
+    plain = F.transform(lines, lambda x: F.split(x, ","))
+    has_quote = F.contains(c, F.lit('"'))
+    return F.when(has_quote, quoted(F.when(has_quote, c))).otherwise(plain)
+
+
+# What stands around the rows of a table page.
+TABLE_HEAD = """\
+<!DOCTYPE html>
+<html><head><meta charset="UTF-8">
+<style>
+  body { font-family: sans-serif; padding: 24px; }
+  table { border-collapse: collapse; width: 100%; }
+  th, td { border: 1px solid #ccc; padding: 8px 12px; text-align: left; }
+  th { background: #f0f2f5; font-weight: 600; }
+  tr:nth-child(even) { background: #f9fafb; }
+</style>
+</head><body>
+<table>
+  <thead>"""
+TABLE_MIDDLE, TABLE_GAP, TABLE_END = "</thead>\n  <tbody>\n  ", "\n  ", "\n  </tbody>\n</table>\n</body></html>"
 
-    Quoted cells are read where a quote is in the text, by the CSV reader; other
-    texts stay inside the engine.
-    """
 
-    def table(rows: Column) -> Column:
-        cells = lambda r, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda x: F.concat(F.lit(f"<{tag}>"), escape_html(x), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
-        body = F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda r: cells(r, "td")), "\n")
-        return F.when(F.size(rows) == 0, "<table></table>").otherwise(F.concat(F.lit("<table>\n<thead>"), cells(F.get(rows, F.lit(0)), "th"), F.lit("</thead>\n<tbody>\n"), body, F.lit("\n</tbody>\n</table>")))
+def csv_to_html(c: Column) -> Column:
+    """A page with a table whose first row is its head; an empty text gives an empty table alone."""
+
+    def page(rows: Column) -> Column:
+        escaped = lambda x: F.replace(escape_html(x), F.lit('"'), F.lit("&quot;"))
+        cells = lambda r, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda x: F.concat(F.lit(f"<{tag}>"), escaped(x), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+        body = F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda r: cells(r, "td")), TABLE_GAP)
+        return F.when(F.size(rows) == 0, "<table></table>").otherwise(F.concat(F.lit(TABLE_HEAD), cells(F.get(rows, F.lit(0)), "th"), F.lit(TABLE_MIDDLE), body, F.lit(TABLE_END)))
 
-    return F.element_at(F.transform(F.array(csv_cells(c)), table), 1)
+    return F.element_at(F.transform(F.array(csv_cells(c)), page), 1)
 
 
 def csv_to_html_sql(e: str) -> str:
+    """The same for texts without quotes."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
     rows = f"list_transform(list_filter(string_split(replace({e}, chr(13) || chr(10), chr(10)), chr(10)), lambda x: x <> ''), lambda x: string_split(x, ','))"
-    cells = lambda r, tag: f"'<tr>' || array_to_string(list_transform({r}, lambda x: '<{tag}>' || {escape_html_sql('x')} || '</{tag}>'), '') || '</tr>'"
-    body = f"array_to_string(list_transform(({rows})[2:], lambda r: {cells('r', 'td')}), chr(10))"
-    return f"CASE WHEN len({rows}) = 0 THEN '<table></table>' ELSE '<table>' || chr(10) || '<thead>' || {cells(f'({rows})[1]', 'th')} || '</thead>' || chr(10) || '<tbody>' || chr(10) || {body} || chr(10) || '</tbody>' || chr(10) || '</table>' END"
+    cells = lambda r, tag: f"'<tr>' || array_to_string(list_transform({r}, lambda x: '<{tag}>' || replace({escape_html_sql('x')}, '\"', '&quot;') || '</{tag}>'), '') || '</tr>'"
+    body = f"array_to_string(list_transform(({rows})[2:], lambda r: {cells('r', 'td')}), {text(TABLE_GAP)})"
+    return f"CASE WHEN len({rows}) = 0 THEN '<table></table>' ELSE {text(TABLE_HEAD)} || {cells(f'({rows})[1]', 'th')} || {text(TABLE_MIDDLE)} || {body} || {text(TABLE_END)} END"
 
 
 def preview_rows(c: Column, most: int = 30) -> Column:
@@ -164,28 +191,3 @@ def is_change_request_sql(e: str) -> str:
 def message_text(parts: Column) -> Column:
     """Joined text of the parts (array of type, text) that are text."""
     return F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "")
-
-
-def find_count(c: Column, query: str, regex: bool = False, case: bool = False) -> Column:
-    return F.regexp_count(c, F.lit(_pattern(query, regex, case)))
-
-
-def replace_all(c: Column, query: str, to: str, regex: bool = False, case: bool = False) -> Column:
-    return F.regexp_replace(c, F.lit(_pattern(query, regex, case)), F.lit(to if regex else to.replace("\\", "\\\\").replace("$", "\\$")))
-
-
-def replace_first(c: Column, query: str, to: str, regex: bool = False, case: bool = False) -> Column:
-    """The first match only."""
-    pattern = _pattern(query, regex, case)
-    parts = F.split(c, pattern, 2)
-    return F.when(F.size(parts) == 2, F.concat(parts[0], F.lit(to), parts[1])).otherwise(c)
-
-
-def _pattern(query: str, regex: bool, case: bool) -> str:
-    body = query if regex else "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return ("" if case else "(?i)") + body
-
-
-def edit_selection(c: Column, start: Column, end: Column, before: str, after: str) -> Column:
-    """The text with marks around a selection (positions from 0)."""
-    return F.concat(F.substr(c, F.lit(1), start), F.lit(before), F.substr(c, start + 1, end - start), F.lit(after), F.substr(c, end + 1))

@@ -94,3 +94,17 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm == 0, 0.0).otherwise(F.try_divide(dot(a, b), norm))
+
+
+def percent_shown(score: Column) -> Column:
+    """A score as whole per cent, halves up."""
+    return F.floor(score * 100 + 0.5)
+
+
+def percent_shown_sql(e: str) -> str:
+    return f"floor({e} * 100 + 0.5)::BIGINT"
+
+
+def score_shown(score: Column, places: int = 3) -> Column:
+    """A score with a fixed number of places."""
+    return F.format_number(score, places)

@@ -175,19 +175,85 @@ def line_kind_sql(e: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({e}, '{p}') THEN '{k}'" for k, p in LINE_KINDS) + " ELSE 'paragraph' END"
 
 
-# Shortcodes that are not the character's Unicode name.
+def page_breaks(md: Column) -> Column:
+    """(line, level, breaks) of the headings outside fences, lines from 1: a break stands before each
+    heading of level 2 and each of level 1 but the first."""
+    found = F.filter(
+        F.transform(F.arrays_zip(F.split(md, "\n").alias("line"), block_kinds(md).alias("kind")), lambda x, k: F.struct(
+            (k + 1).alias("line"), F.length(F.regexp_extract(x["line"], r"^(#{1,6})\s+.+", 1)).alias("level"), (x["kind"] == "heading").alias("is"))),
+        lambda x: x["is"],
+    )
+    first = lambda hs: F.array_min(F.transform(F.filter(hs, lambda h: h["level"] == 1), lambda h: h["line"]))
+    marked = lambda hs: F.transform(hs, lambda h: F.struct(h["line"].alias("line"), h["level"].alias("level"), ((h["level"] == 2) | ((h["level"] == 1) & (h["line"] > first(hs)))).alias("breaks")))
+    return F.element_at(F.transform(F.array(found), marked), 1)
+
+
+def _block_kinds(md: str) -> list[str]:
+    import re
+
+    out, lines, fenced, table = [], md.split("\n"), False, False
+    for k, line in enumerate(lines):
+        if fenced:
+            out.append("code")
+            fenced = line != "```"
+        elif line.startswith("```"):
+            out.append("code")
+            fenced, table = True, False
+        else:
+            bars = re.match(r"\|.*\|", line) is not None
+            table = bars and (table or (k + 1 < len(lines) and re.match(r"\|[\s\-:|]+\|", lines[k + 1]) is not None))
+            kind = next((n for n, p in LINE_KINDS if re.search(p.replace(r"\z", r"\Z"), line)), "paragraph")
+            out.append("table" if table else "paragraph" if kind == "table" else kind)
+    return out
+
+
+def block_kinds(md: Column) -> Column:
+    """Kind of each line with the state of fences and tables: lines in a fence are code, lines
+    with bars are a table from one that a separator follows until one without bars."""
+
+    @F.pandas_udf("array<string>")
+    def kinds(texts: pd.Series) -> pd.Series:
+        return texts.map(_block_kinds, na_action="ignore")
+
+    return kinds(md)
+
+
+# Shortcodes that are not the character's Unicode name, or whose character is shown with U+FE0F.
 EMOJI_ALIASES = {
-    "smile": "😊", "laughing": "😆", "grinning": "😀", "grin": "😁", "joy": "😂", "rofl": "🤣", "smiley": "😃", "wink": "😉", "blush": "😊",
-    "heart_eyes": "😍", "thinking": "🤔", "rolling_eyes": "🙄", "sunglasses": "😎", "cry": "😢", "sob": "😭", "rage": "😡", "poop": "💩",
-    "scream": "😱", "thumbsup": "👍", "+1": "👍", "thumbsdown": "👎", "-1": "👎", "clap": "👏", "wave": "👋", "raised_hands": "🙌",
-    "pray": "🙏", "muscle": "💪", "heart": "❤️", "star2": "🌟", "zap": "⚡", "boom": "💥", "sun": "☀️", "check": "✅",
-    "white_check_mark": "✅", "x": "❌", "warning": "⚠️", "exclamation": "❗", "question": "❓", "bulb": "💡", "mag": "🔍", "link": "🔗",
-    "gear": "⚙️", "memo": "📝", "book": "📖", "email": "📧", "tada": "🎉", "100": "💯",
+    # faces
+    "smile": "😊", "laughing": "😆", "grin": "😁", "joy": "😂", "rofl": "🤣", "smiley": "😃", "wink": "😉", "blush": "😊", "heart_eyes": "😍",
+    "kissing_heart": "😘", "raised_eyebrow": "🤨", "rolling_eyes": "🙄", "mask": "😷", "sunglasses": "😎", "open_mouth": "😮", "pleading_face": "🥺",
+    "cry": "😢", "sob": "😭", "rage": "😡", "swear": "🤬", "smiling_imp": "😈", "alien": "👽", "poop": "💩", "scream": "😱", "monocle_face": "🧐",
+    "partying_face": "🥳", "shushing_face": "🤫", "zany_face": "🤪", "smirk": "😏", "persevere": "😣", "sweat": "😓",
+    # people and hearts
+    "thumbsup": "👍", "+1": "👍", "thumbsdown": "👎", "-1": "👎", "clap": "👏", "wave": "👋", "raised_hands": "🙌", "pray": "🙏", "muscle": "💪",
+    "point_up": "☝️", "point_down": "👇", "point_left": "👈", "point_right": "👉", "ok_hand": "👌", "v": "✌️", "crossed_fingers": "🤞", "metal": "🤘",
+    "writing_hand": "✍️", "heart": "❤️", "heartbeat": "💓", "cupid": "💘", "gift_heart": "💝", "kiss": "💋", "gem": "💎",
+    # animals and food
+    "dog": "🐶", "cat": "🐱", "mouse": "🐭", "rabbit": "🐰", "tiger": "🐯", "cow": "🐮", "pig": "🐷", "see_no_evil": "🙈", "hear_no_evil": "🙉",
+    "speak_no_evil": "🙊", "bee": "🐝", "whale": "🐳", "apple": "🍎", "cherry": "🍒", "pizza": "🍕", "fries": "🍟", "hotdog": "🌭", "coffee": "☕",
+    "tea": "🍵", "beer": "🍺", "ice_cream": "🍦", "cake": "🎂",
+    # activities and objects
+    "star": "⭐", "star2": "🌟", "zap": "⚡", "boom": "💥", "collision": "💥", "sweat_drops": "💦", "dash": "💨", "cloud": "☁️", "sun": "☀️",
+    "umbrella": "☂️", "snowflake": "❄️", "comet": "☄️", "earth_americas": "🌎", "airplane": "✈️", "car": "🚗", "medal_sports": "🏅",
+    "medal_military": "🎖️", "soccer": "⚽", "basketball": "🏀", "football": "🏈", "tennis": "🎾", "dart": "🎯", "joystick": "🕹️", "notes": "🎶",
+    "headphones": "🎧", "art": "🎨", "clapper": "🎬",
+    # signs
+    "check": "✅", "white_check_mark": "✅", "heavy_check_mark": "✔️", "x": "❌", "warning": "⚠️", "exclamation": "❗", "question": "❓", "stop_sign": "🛑",
+    "forbidden": "🚫", "construction": "🚧", "unlock": "🔓", "bulb": "💡", "mag": "🔍", "mag_right": "🔎", "no_bell": "🔕", "mega": "📣",
+    "loudspeaker": "📢", "mute": "🔇", "sound": "🔉", "loud_sound": "🔊", "link": "🔗", "chains": "⛓️", "gear": "⚙️", "scissors": "✂️", "pen": "🖊️",
+    "pencil2": "✏️", "book": "📖", "label": "🏷️", "email": "📧", "envelope": "✉️", "wastebasket": "🗑️",
+    # flags, letters and arrows
+    "flag_white": "🏳️", "checkered_flag": "🏁", "triangular_flag": "🚩", "100": "💯", "recycle": "♻️", "infinity": "♾️", "peace": "☮️", "atom": "⚛️",
+    "yin_yang": "☯️", "bangbang": "‼️", "interrobang": "⁉️", "new": "🆕", "free": "🆓", "up": "🆙", "cool": "🆒", "ok": "🆗", "sos": "🆘", "top": "🔝",
+    "end": "🔚", "back": "🔙", "on": "🔛", "soon": "🔜", "arrow_up": "⬆️", "arrow_down": "⬇️", "arrow_left": "⬅️", "arrow_right": "➡️",
+    "arrow_upper_right": "↗️", "arrow_lower_right": "↘️", "arrow_upper_left": "↖️", "arrow_lower_left": "↙️", "repeat": "🔁", "repeat_one": "🔂",
+    "arrows_counterclockwise": "🔄", "heavy_multiplication_x": "✖️", "white_circle": "⚪", "black_circle": "⚫",
 }
 
 
 def emoji_table() -> dict[str, str]:
-    """Shortcodes by rule: the Unicode name in lower case with underscores, less a final "face"; then the aliases."""
+    """Shortcodes by rule: the Unicode name in lower case with underscores, less a final "face" or leading "large"; then the aliases."""
     import unicodedata
 
     out = {}
@@ -196,6 +262,7 @@ def emoji_table() -> dict[str, str]:
         if name:
             out[name] = chr(c)
             out.setdefault(name.removesuffix("_face"), chr(c))
+            out.setdefault(name.removeprefix("large_"), chr(c))
     return out | EMOJI_ALIASES
 
 

@@ -88,3 +88,28 @@ def validate(df: DataFrame) -> DataFrame:
         .when(~F.col("supported"), "conversion not supported")
     )
     return out.withColumn("problem", problem).withColumn("valid", F.col("problem").isNull()).drop("supported")
+
+
+def finished(df: DataFrame, status: str = "status", result: str = "result") -> DataFrame:
+    """Jobs that are done and have a result."""
+    return df.where((F.col(status) == "done") & F.col(result).isNotNull())
+
+
+def tallies(df: DataFrame, status: str = "status") -> DataFrame:
+    """Rows of each status."""
+    return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest_first(df: DataFrame, created: str, key: str) -> DataFrame:
+    """By time of creation, the last first; equal times by descending key."""
+    return df.orderBy(F.desc(created), F.desc(key))
+
+
+def appended(df: DataFrame, more: DataFrame) -> DataFrame:
+    """The jobs and further ones; columns that one side lacks are null."""
+    return df.unionByName(more, allowMissingColumns=True)
+
+
+def removed(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The jobs without those whose key is in ``gone``."""
+    return df.join(gone.select(key), key, "left_anti")

@@ -116,6 +116,11 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(template_rows(), "ordinal int, id string, title string, description string, category string, format string")
 
 
+def templates_of(spark: SparkSession, category: str = "all") -> DataFrame:
+    """Templates of a category, or all."""
+    return templates(spark) if category == "all" else templates(spark).where(F.col("category") == category)
+
+
 def pairs(spark: SparkSession, rows: list[tuple[str, str]] = SCORED_PAIRS) -> DataFrame:
     return spark.createDataFrame(rows, "source string, target string")
 
@@ -153,7 +158,7 @@ def template_counts(spark: SparkSession) -> DataFrame:
 
 
 def conversion_tasks(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``files`` (path, stem, ext) by the pairs that start from their format, numbered by path and target."""
+    """``files`` (path, stem, ext) by the pairs that start from their format, one row for each path and target."""
     joined = files.join(F.broadcast(wanted), F.col("ext") == F.col("source"))
     return joined.select("path", "stem", "source", "target")
 

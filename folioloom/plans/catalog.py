@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioloom.plans import documents, pages, tables
+from folioloom.plans import documents, pages, tables, workspace
 
-QUERIES = pages.QUERIES | documents.QUERIES | tables.QUERIES
-ORACLES = pages.ORACLES | documents.ORACLES | tables.ORACLES
+QUERIES = pages.QUERIES | documents.QUERIES | tables.QUERIES | workspace.QUERIES
+ORACLES = pages.ORACLES | documents.ORACLES | tables.ORACLES | workspace.ORACLES

@@ -5,8 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from folioloom.functions import convert, detect, fidelity, markup, sqlrewrite, structure, textstats
-from folioloom.operators import jobs, media, registry, vectors
+from folioloom.functions import convert, detect, editing, fidelity, markup, sqlrewrite, structure, textstats
+from folioloom.operators import conversion, jobs, media, registry, vectors
 
 
 def one(spark, value, column, kind="string"):
@@ -117,7 +117,67 @@ def test_conversions(spark):
     assert one(spark, "", convert.csv_to_html) == "<table></table>"
     assert "<td>&lt;x&gt;</td>" in one(spark, "h\n<x>", convert.csv_to_html)
     assert one(spark, '<think>{no}</think>ok {"a": 1} end', convert.find_json) == '{"a": 1}'
-    assert one(spark, "a.b.c", lambda c: convert.replace_first(c, ".", "-")) == "a-b.c"
+    assert one(spark, "a.b.c", lambda c: editing.replace_first(c, ".", "-")) == "a-b.c"
+
+
+def test_csv_page(spark):
+    page = one(spark, 'a,b\n"x,y",2\n\n"q ""z""",<3>\n', convert.csv_to_html)
+    assert page.startswith('<!DOCTYPE html>\n<html><head><meta charset="UTF-8">\n<style>\n  body { font-family: sans-serif; padding: 24px; }')
+    rows = "  <thead><tr><th>a</th><th>b</th></tr></thead>\n  <tbody>\n  <tr><td>x,y</td><td>2</td></tr>\n  <tr><td>q &quot;z&quot;</td><td>&lt;3&gt;</td></tr>\n  </tbody>\n</table>\n</body></html>"
+    assert page.endswith("<table>\n" + rows)
+    assert one(spark, 'h\n"two\nlines"', convert.csv_cells) == [["h"], ["two\nlines"]]
+
+
+def test_replace(spark):
+    first = lambda t, *a, **k: one(spark, t, lambda c: editing.replace_first(c, *a, **k))
+    every = lambda t, *a, **k: one(spark, t, lambda c: editing.replace_all(c, *a, **k))
+    assert first("the thing", r"(\w)h", "$1", regex=True) == "te thing" and every("the thing", r"(\w)h", "$1", regex=True) == "te ting"
+    assert first("ab ab", "(a)(b)", "$2$1$&$$$3\\", regex=True) == "baab$$3\\ ab"
+    assert first("a1 A2", "a", "[$&]", case=True) == "[a]1 A2" and every("a1 A2", "a", "[$&]") == "[a]1 [A]2"
+    assert first("x\ny\ny", "^y", "z", regex=True) == "x\ny\ny" and first("no", "yes", "$1") == "no" and first("a.b.c", ".", "$1") == "a$1b.c"
+
+
+def test_toolbar(spark):
+    def run(action, text, start, end):
+        return tuple(one(spark, text, lambda c: editing.toolbar(action, c, F.lit(start), F.lit(end))))
+
+    assert run("bold", "ab cd", 3, 5) == ("ab **cd**", 5, 7) and run("italic", "ab", 0, 2) == ("_ab_", 1, 3)
+    assert run("strikethrough", "ab", 1, 1) == ("a~~~~b", 3, 3) and run("inline_code", "ab", 0, 1) == ("`a`b", 1, 2)
+    assert run("h2", "x\nyz", 3, 4) == ("x\n## yz", 5, 7) and run("bullet_list", "a\nb\nc", 0, 3) == ("- a\n- b\nc", 2, 7)
+    assert run("blockquote", "abc", 1, 2) == ("> abc", 2, 4) and run("h1", "", 0, 0) == ("# ", 2, 2) and run("h3", "a\n", 2, 2) == ("a\n### ", 6, 6)
+    assert run("code_block", "ab", 1, 1) == ("a```\ncode here\n```b", 5, 14) and run("code_block", "ab", 0, 2) == ("```\nab\n```", 4, 6)
+    assert run("link", "ab", 0, 1) == ("[a](https://example.com)b", 1, 2)
+    assert run("horizontal_rule", "ab", 1, 1) == ("a\n\n---\n\nb", 8, 8) and run("horizontal_rule", "", 0, 0) == ("\n---\n\n", 6, 6)
+    text, start, end = run("table", "a", 1, 1)
+    assert text.startswith("a\n\n| Column 1 |") and text[start:end] == "Column 1" and text.endswith("Data     |\n")
+
+
+def test_emoji_table(spark):
+    want = {"dog": "🐶", "pizza": "🍕", "star": "⭐", "soccer": "⚽", "arrow_right": "➡️", "red_circle": "🔴", "purple_square": "🟪", "t_rex": "🦖", "hamster": "🐹", "100": "💯", "bee": "🐝", "wedding": "💒", "clown_face": "🤡"}
+    assert one(spark, " ".join(f":{k}:" for k in want), markup.emoji) == " ".join(want.values())
+
+
+def test_blocks_and_breaks(spark):
+    md = "# A\n```sh\n# no heading\n```js\n```\n# B\n## C\n| a | b |\n|---|---|\n| 1 | 2 |\nend | x\n| not | a table |"
+    assert one(spark, md, markup.block_kinds) == ["heading", "code", "code", "code", "code", "heading", "heading", "table", "table", "table", "paragraph", "paragraph"]
+    assert [tuple(h) for h in one(spark, md, markup.page_breaks)] == [(1, 1, False), (6, 1, True), (7, 2, True)]
+
+
+def test_convert_documents(spark):
+    rows = [(1, "md", "txt", "# A"), (2, "csv", "json", "a\n1"), (3, "json", "yaml", "{bad"), (4, "md", "png", "x"), (5, "md", "txt", None), (6, "mysql", "pgsql", "SELECT IFNULL(a, 0)"), (7, None, "txt", "x")]
+    df = spark.createDataFrame(rows, "k int, source string, target string, content string")
+    got = {r.k: (r.converted, r.error) for r in conversion.convert_documents(df, "content", "source", "target").collect()}
+    assert got[1] == ("A", "") and got[2] == ('[\n  {\n    "a": "1"\n  }\n]', "") and got[3] == (None, "conversion failed")
+    assert got[4] == (None, "conversion not supported") and got[5] == (None, "empty file") and "COALESCE(a, 0)" in got[6][0] and got[7][1] == "conversion not supported"
+
+
+def test_result_errors(spark, tmp_path):
+    from folioloom.plans import pages
+
+    rows = [(1, "http://a/1", "<h1>T</h1><p>x</p>"), (7, "http://a/2", "<p> </p>"), (17, "http://a/1", "<p>words</p>"), (8, "http://a/3", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.file: (r.error, r.sfi_score > 0) for r in pages.result_rows(spark, str(tmp_path)).collect()}
+    assert got == {"page-1": ("", True), "page-7": ("no output", False), "page-17": ("", True), "page-8": ("no output", False)}
 
 
 def test_jobs(spark):
