@@ -67,35 +67,57 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(F.regexp_count(stem, F.lit("[aeiouy]{1,2}")), F.lit(1)))
 
 
+def syllable_total(words: Column) -> Column:
+    """Sum of ``syllables`` over an array of words without spaces, by passes over all of them at once.
+
+    Each word is a space and its letters.  Words of up to three letters count 1, longer
+    ones the vowel groups of their stem, 1 if it has none.
+    """
+    letters = F.regexp_replace(F.lower(F.concat(F.lit(" "), F.array_join(words, " "))), "[^a-z ]", "")
+    longer = F.regexp_replace(letters, r" [a-z]{0,3}(?= |\z)", "")
+    stems = F.regexp_replace(F.regexp_replace(longer, r"([^laeiouy ]es|ed|[^laeiouy ]e)(?= |\z)", ""), " y", " ")
+
+    def total(x: Column) -> Column:
+        n_long = F.length(x["longer"]) - F.length(F.replace(x["longer"], F.lit(" ")))
+        groups = F.regexp_count(x["stems"], F.lit("[aeiouy]{1,2}")) + F.regexp_count(x["stems"], F.lit(r" [^aeiouy ]*(?= |\z)"))
+        return F.size(words) - n_long + groups
+
+    return _let(F.struct(longer.alias("longer"), stems.alias("stems")), total)
+
+
 def text_stats(text: Column) -> Column:
     """Struct of counts and densities.  Densities of a text without sentences are 0; a null text is empty.
 
     The parts that several figures use are bound once, so no tokenizer runs twice.
     """
     text = F.coalesce(text, F.lit(""))
-    lower = F.lower(text)
     # Most texts hold few phrases: a plain search decides whether the pattern has to run.
-    counted = lambda phrases: sum((F.when(F.contains(lower, F.lit(p)), occurrences(lower, rf"\b{p}\b")).otherwise(0) for p in phrases), F.lit(0))
+    counted = lambda low, phrases: sum((F.when(F.contains(low, F.lit(p)), occurrences(low, rf"\b{p}\b")).otherwise(0) for p in phrases), F.lit(0))
+
+    def found(low: Column) -> Column:
+        return F.struct(
+            counted(low, TRANSITIONS).alias("transitions"), counted(low, HEDGES).alias("hedges"),
+            F.when(F.contains(low, F.lit("'")), occurrences(low, rf"\b({CONTRACTIONS})\b")).otherwise(0).alias("contractions"), occurrences(low, rf"\b({FIRST_PERSON})\b").alias("persons"),
+        )
 
     counts = lambda xs: _let(F.transform(xs, lambda x: F.size(words(x)).cast("double")), _spread)
     parts = F.struct(
-        F.size(sentences(text)).alias("n"), counts(sentences(text)).alias("s"), counts(paragraphs(text)).alias("p"),
-        _let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("kinds"), F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x).alias("vowels"))).alias("w"),
-        counted(TRANSITIONS).alias("transitions"), counted(HEDGES).alias("hedges"), occurrences(lower, rf"\b({CONTRACTIONS})\b").alias("contractions"),
-        occurrences(lower, rf"\b({FIRST_PERSON})\b").alias("persons"), F.regexp_count(text, F.lit("[!?]")).alias("signs"),
+        _let(sentences(text), lambda xs: F.struct(F.size(xs).alias("n"), counts(xs).alias("s"))).alias("s"), counts(paragraphs(text)).alias("p"),
+        _let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("kinds"), syllable_total(w).alias("vowels"))).alias("w"),
+        _let(F.lower(text), found).alias("found"), F.regexp_count(text, F.lit("[!?]")).alias("signs"),
     )
 
     def build(t: Column) -> Column:
-        n, w = t["n"], t["w"]["n"]
+        n, w, s = t["s"]["n"], t["w"]["n"], t["s"]["s"]
         per = lambda c: F.when(n > 0, c.cast("double") / n).otherwise(0.0)
         varied = lambda x: F.when(x["mean"] > 0, x["sd"] / x["mean"]).otherwise(0.0)
         flesch = 206.835 - 1.015 * (w / n) - 84.6 * (t["w"]["vowels"] / w)
         return F.struct(
-            n.alias("sentence_count"), t["s"]["mean"].alias("avg_sentence_length"), t["s"]["sd"].alias("sentence_length_sd"), varied(t["s"]).alias("burstiness"),
+            n.alias("sentence_count"), s["mean"].alias("avg_sentence_length"), s["sd"].alias("sentence_length_sd"), varied(s).alias("burstiness"),
             F.when(w > 0, t["w"]["kinds"].cast("double") / F.least(w, F.lit(200))).otherwise(0.0).alias("ttr"),
-            per(t["transitions"]).alias("transition_density"), per(t["hedges"]).alias("hedging_density"), varied(t["p"]).alias("paragraph_uniformity"),
-            F.when((n > 0) & (w > 0), flesch).otherwise(50.0).alias("flesch"), per(t["contractions"]).alias("contraction_rate"),
-            F.when(w > 0, t["persons"].cast("double") / w).otherwise(0.0).alias("first_person_density"), per(t["signs"]).alias("personality_density"),
+            per(t["found"]["transitions"]).alias("transition_density"), per(t["found"]["hedges"]).alias("hedging_density"), varied(t["p"]).alias("paragraph_uniformity"),
+            F.when((n > 0) & (w > 0), flesch).otherwise(50.0).alias("flesch"), per(t["found"]["contractions"]).alias("contraction_rate"),
+            F.when(w > 0, t["found"]["persons"].cast("double") / w).otherwise(0.0).alias("first_person_density"), per(t["signs"]).alias("personality_density"),
         )
 
     return _let(parts, build)
@@ -148,13 +170,12 @@ def preview_stats(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     bare = trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"#+\s", ""))
     parts = F.struct(
-        F.filter(F.split(bare, r"\s+"), lambda w: w != "").alias("w"),
+        _let(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), lambda w: F.struct(F.size(w).alias("n"), syllable_total(w).alias("vowels"))).alias("w"),
         F.greatest(F.lit(1), F.size(F.filter(F.split(bare, r"[.!?]+"), lambda s: F.length(trim(s)) > 3))).alias("n"),
     )
 
     def build(p: Column) -> Column:
-        count = F.size(p["w"])
-        vowels = F.aggregate(F.transform(p["w"], syllables), F.lit(0), lambda a, x: a + x)
+        count, vowels = p["w"]["n"], p["w"]["vowels"]
         ease = F.when(count > 0, F.floor(206.835 - 1.015 * (count / p["n"]) - 84.6 * (vowels / count) + 0.5)).otherwise(F.lit(0))
         band = F
         for least, name in READING_BANDS:
