@@ -191,6 +191,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 ids; see ``pack`` for nulls and repeats."""
     import public_tokenizers
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

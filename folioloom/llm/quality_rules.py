@@ -137,14 +137,15 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     spaces = F.length(text) - F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
     score = let(ngram_hashes(text), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(
         F.aggregate(g, F.lit(0.0), lambda s, x: s + F.get(F.col("w"), bucket(x, buckets))) / F.size(g)))
-    out = base.withColumn("w", w).select(
-        "doc_id", "text", "extra",
+    # In an exploded array, so that a filter on the verdict does not compute it again.
+    found = F.struct(
         (F.length(text) - spaces).cast("long").alias("word_chars"),
         n_symbols(text).cast("long").alias("n_symbols"),
         n_dup_lines(text).cast("long").alias("n_dup_lines"),
         let(words, lambda h: F.struct(F.size(h).cast("long").alias("n"), n_repeat_words(h).cast("long").alias("r"))).alias("ws"),
         score.alias("llr"),
     )
+    out = base.withColumn("w", w).select("doc_id", "text", "extra", F.explode(F.array(found)).alias("found")).select("doc_id", "text", "extra", "found.*")
     n, repeat = F.col("ws.n"), F.col("ws.r")
     failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
     return out.select(
@@ -160,10 +161,11 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every whole text; see ``judge`` for nulls, empty texts and repeats."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return judge(docs, trusted_ids(spark, sf_dir)).drop("text", "extra")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns they had."""
+    """The documents that are kept, with the columns they had; null and blank texts go."""
     return uncarry(judge(docs, trusted).where("kept"), docs)
