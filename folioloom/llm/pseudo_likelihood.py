@@ -1,20 +1,26 @@
 """LM scoring by masked pseudo-likelihood.
 
-Every token is predicted from the two tokens before and the two after it, by a
-small network trained in numpy: embeddings of the window, one hidden layer, and
-a class-factored output, p(token) = p(class | window) p(token | class).  A
+Every token is predicted from the two tokens before and the two after it.  A small
+network trained in numpy gives p(token | window): embeddings of the window, one hidden
+layer, and a class-factored output, p(class | window) p(token | class).  With it is mixed
+what followed the same window elsewhere in the corpus: of the c other places with these
+two words on each side, the share that hold the same word, with weight c / (c + 1).  So a
+word is told from others of its class by its neighbours wherever they occur again.  A
 document's score is the sum of the log-probabilities of all its tokens.
 
-Tokens are lower-cased words hashed to ``VOCAB`` buckets.  Classes hold equal
-shares of all tokens, and p(token | class) comes from the counts of the whole
-corpus.  Training is local stochastic gradient descent from one common start:
-each partition goes once through all its documents, and the parameters are
-averaged, weighted by tokens.  The model thus depends on all rows, and slightly
-on how files are split into partitions.
-
-Scale: three passes over the texts, none of which moves them.  A partition hands
-on ``VOCAB`` counts and one set of parameters, which are summed in the engine;
-only the sums, of fixed size, reach the driver.
+The network's tokens are lower-cased words hashed to ``VOCAB`` buckets.  Classes hold
+equal shares of all tokens, and p(token | class) comes from the counts of the whole
+corpus.  Training is local stochastic gradient descent from one common start: each
+partition goes once through all its documents, and the parameters are averaged, weighted
+by tokens.  The network thus depends on all rows, and slightly on how files are split into
+partitions; the counts of windows, which use 64-bit hashes of the words, do not.
+
+Scale: three passes over the texts, none of which moves them.  Of counts and parameters
+only sums, of fixed size, reach the driver.  The third pass gives one record for each
+token, which grows with the corpus: the hash of its window, 16 bits of its word, its
+log-probability and its document, about nine bytes packed.  Records of one window meet
+in a task by their hash; equal windows of a block are one record for each document
+beforehand.  Each task adds up its share of every document's score.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +44,19 @@ _STEP = 4096
 _FIXED = 1 << 24
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Buckets 1 to VOCAB - 1 of the words of a whole text, ASCII letters lower-cased."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a whole text, ASCII letters lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).__mod__(np.uint64(VOCAB - 1)).astype(np.int32) + 1
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(VOCAB - 1)).astype(np.int32) + 1
+
+
+def tokens(text: str | None) -> np.ndarray:
+    """Buckets 1 to VOCAB - 1 of the words of a whole text."""
+    return buckets_of(word_hashes(text))
 
 
 def _shapes() -> list[tuple[int, ...]]:
@@ -79,10 +96,10 @@ _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
 class Stream:
-    """Tokens of several documents with pads between, and where the tokens are."""
+    """Tokens (or hashes) of several documents with pads between, and where the tokens are."""
 
     def __init__(self, docs: list[np.ndarray]):
-        pad = np.full(SIDE, PAD, dtype=np.int32)
+        pad = np.full(SIDE, PAD, dtype=docs[0].dtype if docs else np.int32)
         parts = [pad]
         for d in docs:
             parts += [d, pad]
@@ -136,27 +153,32 @@ def train_on(flat: np.ndarray, streams: Iterator[Stream], cls: np.ndarray, rate:
     return flat, seen
 
 
-def score_docs(flat: np.ndarray, docs: list[np.ndarray], cls: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """Sum of conditional log-probabilities of each document."""
-    stream = Stream(docs)
-    if not len(stream.at):
-        return np.zeros(len(docs))
-    params, parts = _split(flat), []
+def token_scores(flat: np.ndarray, stream: Stream, cls: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """The network's log-probability of each token of the stream."""
+    params, parts = _split(flat), [np.zeros(0)]
     for window, target in stream.batches():
         _, h = _hidden(params, window)
         logp = _log_softmax(h @ params[3] + params[4])
         parts.append((logp[np.arange(len(target)), cls[target]] + within[target]).astype(np.float64))
-    ends = np.concatenate([[0.0], np.cumsum(np.concatenate(parts))])
+    return np.concatenate(parts)
+
+
+def score_docs(flat: np.ndarray, docs: list[np.ndarray], cls: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Sum of the network's log-probabilities of each document."""
+    stream = Stream(docs)
+    if not len(stream.at):
+        return np.zeros(len(docs))
+    ends = np.concatenate([[0.0], np.cumsum(token_scores(flat, stream, cls, within))])
     last = np.cumsum(stream.sizes)
     return ends[last] - ends[last - stream.sizes]
 
 
-def _blocks(batches: Iterator[pd.DataFrame], most: int = 1 << 18) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Rows with their tokens, at most about ``most`` tokens at a time."""
+def _blocks(batches: Iterator[pd.DataFrame], most: int = 1 << 18, of=tokens) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows with their tokens (or hashes), at most about ``most`` tokens at a time."""
     for pdf in batches:
         lo, held, n = 0, [], 0
         for k, text in enumerate(pdf["text"]):
-            held.append(tokens(text))
+            held.append(of(text))
             n += len(held[-1])
             if n >= most or k == len(pdf) - 1:
                 yield pdf.iloc[lo : k + 1], held
@@ -201,9 +223,10 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, pll, pll_per_token`` for every row.
+    """``doc_id, n_tokens, pll, pll_per_token`` for every row, by the network alone.
 
-    A text without words has no tokens, sum 0 and a null mean.
+    A text without words has no tokens, sum 0 and a null mean.  Rows are scored one by
+    one, so null and repeated ids make no difference; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -219,6 +242,138 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_
     return src.mapInPandas(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
 
 
+# --- with the counts of windows over the whole corpus --------------------------
+
+_ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_LOW = np.uint64((1 << 48) - 1)
+#: Fields of a packed record behind the six bytes of its window.
+_FIELDS = [("word", "<u2"), ("logp", "<u2"), ("doc", "<u2"), ("times", "<u4")]
+#: Steps of a unit in packed log-probabilities, and of sums.
+_LOGP_STEPS, _SUM_STEPS = 2048, 1 << 20
+#: Documents of one block at most.
+_DOCS = 1 << 16
+
+
+def windows_of(stream: Stream) -> np.ndarray:
+    """A 64-bit hash of the words around each token."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(stream.at), dtype=np.uint64)
+        for odd, o in zip(_ODD, _OFFSETS):
+            x = (stream.ids[stream.at + o] + np.uint64(1)) * odd
+            h += x ^ (x >> np.uint64(31))
+        h *= _ODD[0]
+        return h ^ (h >> np.uint64(29))
+
+
+def packed(hashes: list[np.ndarray], logp: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, records) of the tokens of a block: one record for each window, word and document."""
+    stream = Stream(hashes)
+    window, own = windows_of(stream), stream.ids[stream.at]
+    key = (window >> np.uint64(48)) % np.uint64(n_buckets) << np.uint64(48) | window & _LOW
+    doc = np.repeat(np.arange(len(hashes), dtype=np.uint64), stream.sizes)
+    rest = own >> np.uint64(48) << np.uint64(16) | doc
+    order = np.lexsort((rest, key))
+    key, rest = key[order], rest[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])])
+    times = np.diff(np.r_[first, len(key)])
+    key, rest, at = key[first], rest[first], order[first]
+    cost = np.rint(np.minimum(-logp[at] * _LOGP_STEPS, 65535))
+    columns = [(rest >> np.uint64(16)), cost, rest & np.uint64(0xFFFF), times]
+    bucket = (key >> np.uint64(48)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for lo, hi in zip(cuts, [*cuts[1:], len(key)]):
+        head = np.ascontiguousarray(key[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+        body = b"".join(np.ascontiguousarray(c[lo:hi].astype(t).view(np.uint8).reshape(hi - lo, -1).T).tobytes() for c, (_, t) in zip(columns, _FIELDS))
+        yield int(bucket[lo]), pack(head + body)
+
+
+def unpacked(bucket: int, raw: bytes) -> tuple[np.ndarray, ...]:
+    """Window keys, words, log-probabilities, documents and times of packed records."""
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = len(raw) // 16
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(16, n)
+    whole = np.zeros((n, 8), dtype=np.uint8)
+    whole[:, :6] = planes[:6].T
+    out, at = [whole.view("<u8").ravel() | np.uint64(bucket << 48)], 6
+    for _, t in _FIELDS:
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(planes[at : at + size].T).view(t).ravel())
+        at += size
+    return out[0], out[1], -out[2].astype(np.float64) / _LOGP_STEPS, out[3], out[4].astype(np.int64)
+
+
+def mixed(key: np.ndarray, word: np.ndarray, logp: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Log-probability of the token of each record, with what its window holds elsewhere.
+
+    Of the c other places of the window the share with the same word has weight c / (c + 1).
+    """
+    order = np.lexsort((word, key))
+    k, w, n = key[order], word[order], times[order]
+    new_key = np.r_[True, k[1:] != k[:-1]]
+    new_word = new_key | np.r_[True, w[1:] != w[:-1]]
+    places = np.add.reduceat(n, np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
+    same = np.add.reduceat(n, np.flatnonzero(new_word))[np.cumsum(new_word) - 1]
+    out = np.empty(len(key))
+    # c / (c + 1) * (same - 1) / c + 1 / (c + 1) * p, with c = places - 1
+    out[order] = np.log((same - 1 + np.exp(logp[order])) / places)
+    return out
+
+
+def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, pll, pll_per_token`` for every row, by the network and the counts of windows.
+
+    A text without words has no tokens, sum 0 and a null mean.  Rows with null or
+    repeated ids are documents of their own; other columns are not looked at; no rows
+    give no rows.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n_buckets = min(8 * tasks, 65535)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat, cls, within = shared.value
+        key = TaskContext.get().partitionId() << 32  # rows by their place, which a repeated task gives again
+        for pdf, held in _blocks(batches, of=word_hashes):
+            for lo in range(0, len(pdf), _DOCS):
+                part, ids = held[lo : lo + _DOCS], pdf["doc_id"].iloc[lo : lo + _DOCS]
+                rows = [(key % n_buckets, key, 0, pd.array(ids, dtype="Int64").to_numpy(dtype="<i8", na_value=0).tobytes() + ids.isna().to_numpy().tobytes())]
+                if sum(map(len, part)):
+                    logp = token_scores(flat, Stream([buckets_of(h) for h in part]), cls, within)
+                    rows += [(bucket, key, 1, raw) for bucket, raw in packed(part, logp, n_buckets)]
+                key += len(part)
+                yield pd.DataFrame(rows, columns=["bucket", "key", "kind", "raw"])
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, starts, counts = [], [], []
+        for pdf in batches:
+            for bucket, key, kind, raw in pdf.itertuples(index=False, name=None):
+                if kind == 1:
+                    held.append(unpacked(bucket, raw))
+                    starts.append(key)
+                    counts.append(len(held[-1][0]))
+                    continue
+                n = len(raw) // 9
+                ids = pd.Series(np.frombuffer(raw[: 8 * n], dtype="<i8")).astype("Int64").mask(np.frombuffer(raw[8 * n :], dtype=bool))
+                yield pd.DataFrame({"key": key + np.arange(n), "doc_id": ids, "n": 0, "cost": 0})
+        if held:
+            window, word, logp, doc, times = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            cost = np.rint(mixed(window, word, logp, times) * times * _SUM_STEPS).astype(np.int64)
+            at, where = np.unique(np.repeat(np.asarray(starts, dtype=np.int64), counts) + doc, return_inverse=True)
+            # Sums of whole numbers below 2 ** 53 are exact, so their order makes no difference.
+            n, total = np.bincount(where, weights=times), np.bincount(where, weights=cost)
+            yield pd.DataFrame({"key": at, "doc_id": pd.array([None] * len(at), dtype="Int64"), "n": n.astype(np.int64), "cost": total.astype(np.int64)})
+
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    sent = src.mapInPandas(run, "bucket int, key long, kind int, raw binary").repartition(tasks, "bucket")
+    sums = sent.mapInPandas(added, "key long, doc_id long, n long, cost long").groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("cost").alias("cost"))
+    pll = F.col("cost") / _SUM_STEPS
+    return sums.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("pll_per_token"))
+
+
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text under a model of all of them; see ``score_in_corpus``."""
     docs = documents(spark, sf_dir)
-    return score(docs, fit(docs))
+    return score_in_corpus(docs, fit(docs))
