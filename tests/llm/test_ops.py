@@ -129,6 +129,40 @@ def test_licences(spark, sf_dir, docs):
         assert set(got.loc[d].families) == {v for k, v in known.items() if k in t}
 
 
+def test_licence_wrapped_over_lines():
+    model = license_scan.train([f"plain line {k} of other words" for k in range(300)], epochs=3, copies=30)
+    text = "first line\nPermission is hereby granted, free of\ncharge, to any person obtaining a copy of this\nsoftware and associated documentation files\nlast line"
+    assert [(k, f) for k, f, _, sure in license_scan.scan_text(model, text)[1] if sure] == [(1, "mit")]
+    apart = text.replace("free of\n", "free of\n\n")
+    assert not any(sure for *_, sure in license_scan.scan_text(model, apart)[1])
+    assert license_scan.scan_text(model, "word other " * 300_000)[0] == 1
+
+
+def test_language_samples_pieces_and_all_languages(spark):
+    rows = [(k, f"wort{k % 50} der die das " * (1 if k % 2 else 4000), f"l{k % 90:02d}") for k in range(1, 721)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 90
+
+
+def test_language_predictions_by_hand(spark, sf_dir, docs):
+    """Each prediction again from the n-grams of the text, counted in plain Python."""
+    model = language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for t in docs.text[:15]:
+        points = language_id._points(t)
+        z, n = np.zeros(len(model.langs)), 0
+        for k in (2, 3, 4):
+            for i in range(len(points) - k + 1):
+                h = points[i]
+                with np.errstate(over="ignore"):
+                    for m in range(1, k):
+                        h = (h * language_id._MULT[m - 1]) ^ (points[i + m] + np.uint32(m * 0x1F123BB5 & 0xFFFFFFFF))
+                    g = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
+                z, n = z + model.table[g], n + 1
+        p = np.exp((z / n + model.bias) / model.temperature)
+        lang, score, _ = model.predict(t)
+        assert model.langs[int(p.argmax())] == lang and score == pytest.approx(p.max() / p.sum(), rel=1e-3)
+
+
 def test_licence_unknown_and_edges(spark, edges, none, docs):
     model = license_scan.train([line for t in docs.text[:60] for line in t.split("\n")], epochs=3, copies=30)
     assert license_scan.scan_text(model, "Licensed under the Frobnicate License, version 9.")[1] == [] or not license_scan.scan_text(model, "Licensed under the Frobnicate License, version 9.")[1][0][3]
@@ -268,7 +302,55 @@ def test_pseudo_likelihood_learns():
     assert pseudo_likelihood.score_docs(flat, walk[:10], cls, within).mean() > before + 50
 
 
+def test_pseudo_likelihood_in_corpus(spark, sf_dir, docs):
+    """Windows counted by their words, against the packed and shuffled records."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = pseudo_likelihood.fit(df)
+    got = pseudo_likelihood.score_in_corpus(df, model).toPandas().set_index("doc_id")
+    words = {d: [""] * 2 + re.findall(r"[^\x20\x09-\x0d]+", t.translate({c: c + 32 for c in range(65, 91)})) + [""] * 2 for d, t in zip(docs.doc_id, docs.text)}
+    places, same = collections.Counter(), collections.Counter()
+    for w in words.values():
+        for k in range(2, len(w) - 2):
+            around = (w[k - 2], w[k - 1], w[k + 1], w[k + 2])
+            places[around] += 1
+            same[around, w[k]] += 1
+    for d, t in list(zip(docs.doc_id, docs.text))[::3]:
+        w, ids = words[d], pseudo_likelihood.tokens(t)
+        net = pseudo_likelihood.token_scores(model[0], pseudo_likelihood.Stream([ids]), *model[1:]) if len(ids) else []
+        total = 0.0
+        for k, logp in zip(range(2, len(w) - 2), net):
+            around = (w[k - 2], w[k - 1], w[k + 1], w[k + 2])
+            total += np.log((same[around, w[k]] - 1 + np.exp(logp)) / places[around])
+        assert got.loc[d].n_tokens == len(ids) and got.loc[d].pll == pytest.approx(total, rel=1e-3, abs=1e-2)
+
+
+def test_pseudo_likelihood_context_decides_within_a_class(spark):
+    """Two words of equal counts, so of one class: the neighbours tell which."""
+    rows = [(k, f"p{k} left one {w} right two q{k}" if (k + right) % 2 else f"p{k} other three {w} more four q{k}") for k in range(60) for right, w in ((0, "alpha"), (1, "beta"))]
+    rows += [(500, "pp left one alpha right two qq"), (501, "pp left one beta right two qq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.pll for r in pseudo_likelihood.score_in_corpus(df, pseudo_likelihood.fit(df)).where("doc_id >= 500").collect()}
+    assert len(got) == 2 and abs(got[500] - got[501]) < 5
+    skewed = spark.createDataFrame([(k, f"p{k} left one alpha right two q{k}") for k in range(60)] + [(k, f"p{k} other three beta more four q{k}") for k in range(60)] + rows[-2:], "doc_id long, text string")
+    got = {r.doc_id: r.pll for r in pseudo_likelihood.score_in_corpus(skewed, pseudo_likelihood.fit(skewed)).where("doc_id >= 500").collect()}
+    assert got[500] > got[501] + 1
+
+
+def test_pseudo_likelihood_tells_repeated_documents(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 80)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i]) for i in range(6)] + [(None, texts[6]), (200, None), (200, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pseudo_likelihood.score_in_corpus(df, pseudo_likelihood.fit(df)).toPandas()
+    assert len(got) == len(rows) and got.doc_id.isna().sum() == 1 and list(got[got.doc_id == 200].n_tokens) == [0, 0]
+    mean = got.dropna(subset=["doc_id"]).set_index("doc_id").pll_per_token
+    twice = [*range(7), *range(100, 106)]
+    assert mean[twice].min() > mean.drop([*twice, 200]).max() + 2
+
+
 def test_pseudo_likelihood_edges(edges, none):
+    got = pseudo_likelihood.score_in_corpus(edges, pseudo_likelihood.fit(edges)).collect()
+    assert len(got) == len(EDGES) and pseudo_likelihood.score_in_corpus(none, pseudo_likelihood.fit(none)).count() == 0
     rows = pseudo_likelihood.score(edges, pseudo_likelihood.fit(edges)).collect()
     assert len(rows) == len(EDGES) and all((r.n_tokens > 0) == (r.pll_per_token is not None) for r in rows)
     assert pseudo_likelihood.score(none, pseudo_likelihood.fit(none)).count() == 0
@@ -341,6 +423,32 @@ def test_nbest_query_and_edges(spark, sf_dir, docs, edges, none):
     assert pieces.encode_nbest(none, path).count() == 0
 
 
+def test_nbest_of_long_runs():
+    lat = pieces.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    run = "x" * 100_000
+    paths = next(lat.segmentations([run], 4))
+    assert len(paths) == 4 and len({raw for _, raw in paths}) == 4 and all(lat.decode(np.frombuffer(raw, "<u2")) == run for _, raw in paths)
+    assert [s for s, _ in paths] == sorted((s for s, _ in paths), reverse=True)
+
+
+def test_nbest_query_digests(spark, sf_dir, docs):
+    """Numbers and checks of all four, from a search over the whole lattice of a text."""
+    got = pieces.op7_nbest_pieces(spark, sf_dir).toPandas().set_index("doc_id")
+    lat = pieces.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    for d, t in [x for x in zip(docs.doc_id, docs.text) if len(x[1]) < 400][:25]:
+        marked = pieces.SPACE + t.replace(" ", pieces.SPACE)
+        best = [[] for _ in range(len(marked) + 1)]
+        best[0] = [(0.0, ())]
+        for i, j, w, piece in lat.edges(marked):  # in order of i: the four best of every prefix
+            ids = (piece,) if piece >= 0 else tuple(lat.ids_of(marked, [(i, j, w, piece)]))
+            best[j] = sorted(best[j] + [(s + w, p + ids) for s, p in best[i]], key=lambda x: -x[0])[:40]
+        r = got.loc[d]
+        scores = [s for s, _ in best[-1][:4]]
+        assert list(r.nbest_scores) == pytest.approx(scores) and r.nbest_crc32[0] == r.ids_crc32 and r.nbest_pieces[0] == r.n_pieces
+        crcs = {encoding.crc32_u32(np.asarray(p)): (s, len(p)) for s, p in best[-1]}
+        assert all(crcs[c] == (pytest.approx(s), n) for c, s, n in zip(r.nbest_crc32, r.nbest_scores, r.nbest_pieces) if s > best[-1][-1][0])
+
+
 # --- 8 near-dedup -------------------------------------------------------------
 
 
@@ -419,6 +527,51 @@ def test_near_dedup_of_a_large_drifting_family(spark):
     assert all(r.n_shingles == sizes[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def matrix_components(rows, width, percent):
+    """Components by the product of the membership matrix with itself."""
+    sets = [frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) for w in (t.split() for _, t in rows)]
+    column = {x: k for k, x in enumerate({x for s in sets for x in s})}
+    member = np.zeros((len(rows), len(column)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        member[k, [column[x] for x in s]] = 1
+    common, n = member @ member.T, member.sum(axis=1)
+    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    label, before = np.arange(len(rows)), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(linked, label[None, :], len(rows)).min(axis=1)
+    least = {}
+    for (i, _), c in zip(rows, label):
+        least[c] = min(i, least.get(c, i))
+    return {i: least[c] for (i, _), c in zip(rows, label)}
+
+
+@pytest.mark.parametrize("small, block", [(4096, 1024), (300, 100)])
+def test_near_dedup_of_one_group_around_the_threshold(spark, monkeypatch, small, block):
+    """1500 copies of one text with so many edits that links, chains and singles mix."""
+    rng = np.random.default_rng(9)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for i in rng.permutation(1500).tolist():
+        words = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(0, 9))):
+            words[int(at)] = f"e{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    want = matrix_components(rows, 4, 80)
+    assert 20 < len(set(want.values())) < 1400
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", small)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_dedup_links_of_a_comparison():
+    ids, sets = np.asarray([7, 3, 9, 4]), [[1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [9, 8], [2, 3, 4, 5, 6]]
+    values, sizes = np.concatenate([np.asarray(x) for x in sets]), np.asarray(list(map(len, sets)))
+    a, b = near_dedup._links(ids, np.arange(4), np.zeros(4, int), values, sizes, 80)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(3, 7), (4, 7)]  # 4 is linked to 3 only, and 3 to 7
+    assert len(near_dedup._links(ids, np.zeros(4), np.zeros(4, int), values, sizes, 80)[0]) == 0  # one component
+    assert len(near_dedup._links(ids, np.arange(4), np.asarray([0, 1, 0, 1]), values, sizes, 80)[0]) == 1  # two blocks: 3 and 4 are of one
+
+
 def test_near_dedup_absorbed_stay_in_nodes_of_other_pivots(spark, monkeypatch):
     """2 is absorbed by 1 in a node without 3, and the node of 2 and 3 has a pivot that neither is linked to."""
     words = lambda name, n=120: [f"{name}{k}" for k in range(n)]
