@@ -201,9 +201,9 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, classes and log p(bucket | class) from all documents."""
-    cls, within = classes_of(corpus_counts(docs))
+def fit(docs: DataFrame, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, classes and log p(bucket | class) from all documents, whose ``corpus_counts`` may be given."""
+    cls, within = classes_of(corpus_counts(docs) if counts is None else counts)
     first = start()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,6 +252,8 @@ _FIELDS = [("word", "<u2"), ("logp", "<u2"), ("doc", "<u2"), ("times", "<u4")]
 _LOGP_STEPS, _SUM_STEPS = 2048, 1 << 20
 #: Documents of one block at most.
 _DOCS = 1 << 16
+#: Tokens whose records one task holds, about.
+TOKENS_PER_TASK = 8_000_000
 
 
 def windows_of(stream: Stream) -> np.ndarray:
@@ -320,16 +322,19 @@ def mixed(key: np.ndarray, word: np.ndarray, logp: np.ndarray, times: np.ndarray
     return out
 
 
-def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", n_tokens: int = 0) -> DataFrame:
     """``doc_id, n_tokens, pll, pll_per_token`` for every row, by the network and the counts of windows.
 
+    The records go to a task for every ``TOKENS_PER_TASK`` of ``n_tokens``, the session's
+    number of shuffle partitions at least.
+
     A text without words has no tokens, sum 0 and a null mean.  Rows with null or
     repeated ids are documents of their own; other columns are not looked at; no rows
     give no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tokens // TOKENS_PER_TASK, 1)
     n_buckets = min(8 * tasks, 65535)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,4 +381,5 @@ def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text under a model of all of them; see ``score_in_corpus``."""
     docs = documents(spark, sf_dir)
-    return score_in_corpus(docs, fit(docs))
+    counts = corpus_counts(docs)
+    return score_in_corpus(docs, fit(docs, counts), n_tokens=int(counts.sum()))
