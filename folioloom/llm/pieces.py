@@ -9,8 +9,9 @@ k-th best segmentation.
 No piece crosses the start of a run of spaces or a line end, so the lattice is a
 chain of chunk lattices.  For each chunk, forward and backward scores give the
 gap to its second-best path.  A path among the N best leaves the best path only
-in chunks with one of the N - 1 smallest gaps; the search runs over the lattice
-of those chunks, the rest is fixed, and the result is that of the whole lattice.
+in chunks with one of the N - 1 smallest gaps; the search runs over the lattices
+of those chunks, the best sums of their paths are taken, the rest is fixed, and the
+result is that of the whole lattice.
 Chunks are remembered in a bounded cache of each worker.
 """
 
@@ -20,7 +21,7 @@ import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ _LITERAL = "\udc81"
 _UNUSED = -1e8
 #: Chunks that a worker remembers; beyond it the older half is forgotten.
 CACHE_ENTRIES = 700_000
+#: Chunks whose further paths a worker remembers.
+ALTERNATIVES = 50_000
 _EXACT = 1 << 20
 
 
@@ -94,6 +97,7 @@ class PieceLattice:
                 self._prefixes.setdefault(piece[:k], None)
         self._cache: dict[str, Chunk] = {}
         self._recent: dict[str, Chunk] = {}
+        self._alternatives: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
         self._longest = max(map(len, self._prefixes))
         self._tables()
 
@@ -362,14 +366,14 @@ class PieceLattice:
         """(score, ids as 16-bit bytes) of the n best of each text."""
         for found, paths in self._many(texts, n_best, block):
             own = [f.ids for f in found]
-            out = [(paths[0][0], b"".join(own))]
+            whole = b"".join(own)
+            out, begin = [(paths[0][0], whole)], {k: sum(map(len, own[:k])) for k in {k for _, differ in paths[1:] for k in differ}}
             for score, differ in paths[1:]:
-                was = [own[k] for k in differ]
-                for k, ids in differ.items():
-                    own[k] = array("H", ids).tobytes()
-                out.append((score, b"".join(own)))
-                for k, ids in zip(differ, was):
-                    own[k] = ids
+                parts, at = [], 0
+                for k in sorted(differ):
+                    parts += [whole[at : begin[k]], array("H", differ[k]).tobytes()]
+                    at = begin[k] + len(own[k])
+                out.append((score, b"".join([*parts, whole[at:]])))
             yield out
 
     def _many(self, texts: list[str], n_best: int, block: int) -> Iterator[tuple[list[Chunk], list]]:
@@ -381,39 +385,40 @@ class PieceLattice:
                 hi += 1
             held = [self.chunks(t) for t in texts[lo:hi]]
             cache = self._cache
-            missing = {s for parts in held for s in parts if s not in cache}
+            got = [list(map(cache.get, parts)) for parts in held]
+            missing = {s for parts, found in zip(held, got) if None in found for s, f in zip(parts, found) if f is None}
             self._recent = new = self.learn(list(missing)) if missing else {}
-            known = cache
             cache.update(new)
             if len(cache) > CACHE_ENTRIES:
                 self._cache = dict(islice(cache.items(), len(cache) // 2, None))
-            for parts in held:
-                found = list(map(known.get, parts))
+            for parts, found in zip(held, got):
+                if None in found:
+                    found = [new[s] if f is None else f for s, f in zip(parts, found)]
                 yield found, self._paths(parts, found, n_best)
             lo = hi
 
     def _paths(self, parts: list[str], found: list[Chunk], n_best: int) -> list[tuple[float, dict[int, list[int]]]]:
         total = sum([f.score for f in found])
-        near = sorted(heapq.nsmallest(n_best - 1, range(len(found)), key=[f.gap for f in found].__getitem__)) if n_best > 1 else []
+        gaps = np.asarray([f.gap for f in found])
+        near = sorted(np.argsort(gaps, kind="stable")[: n_best - 1].tolist())
         near = [k for k in near if found[k].gap < float("inf")]
         if not near:
             return [(total, {})]
-        joined = "".join([parts[k] for k in near])
-        ends = list(accumulate(len(parts[k]) for k in near))
-        rest = total - sum(found[k].score for k in near)
-        out = []
-        for score, path in self.nbest(joined, n_best, frozenset(ends[:-1])):
-            differ, at = {}, 0
-            for k, end in zip(near, ends):
-                own = []
-                while at < len(path) and path[at][1] <= end:
-                    own.append(path[at])
-                    at += 1
-                got = self.ids_of(joined, own)
-                if array("H", got).tobytes() != found[k].ids:
-                    differ[k] = got
-            out.append((rest + score, differ))
-        return out
+        rest = total - sum([found[k].score for k in near])
+        kinds = [self._best_of(parts[k], n_best) for k in near]
+        best: list[tuple[float, tuple[int, ...]]] = [(rest, ())]
+        for of in kinds:  # the best of all choices so far; of equal ones the earlier paths
+            best = sorted([(v + score, picks + (j,)) for v, picks in best for j, (score, _) in enumerate(of)], key=lambda x: (-x[0], x[1]))[:n_best]
+        return [(v, {k: of[j][1] for k, of, j in zip(near, kinds, picks) if j}) for v, picks in best]
+
+    def _best_of(self, s: str, n_best: int) -> list[tuple[float, list[int]]]:
+        """Scores and ids of the ``n_best`` paths of one chunk, remembered like chunks."""
+        known = self._alternatives.get((s, n_best))
+        if known is None:
+            if len(self._alternatives) >= ALTERNATIVES:
+                self._alternatives.clear()
+            known = self._alternatives[s, n_best] = [(score, self.ids_of(s, path)) for score, path in self.nbest(s, n_best)]
+        return known
 
     def spell(self, text: str, differ: dict[int, list[int]]) -> np.ndarray:
         """All ids of one of the n best."""
