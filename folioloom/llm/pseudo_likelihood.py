@@ -20,7 +20,8 @@ only sums, of fixed size, reach the driver.  The third pass gives one record for
 token, which grows with the corpus: the hash of its window, 16 bits of its word, its
 log-probability and its document, about nine bytes packed.  Records of one window meet
 in a task by their hash; equal windows of a block are one record for each document
-beforehand.  Each task adds up its share of every document's score.
+beforehand.  Each task hands on, packed by block, what windows found elsewhere add to the
+scores of its documents; most windows are nowhere else and add nothing.
 """
 
 from __future__ import annotations
@@ -343,39 +344,62 @@ def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
         for pdf, held in _blocks(batches, of=word_hashes):
             for lo in range(0, len(pdf), _DOCS):
                 part, ids = held[lo : lo + _DOCS], pdf["doc_id"].iloc[lo : lo + _DOCS]
-                rows = [(key % n_buckets, key, 0, pd.array(ids, dtype="Int64").to_numpy(dtype="<i8", na_value=0).tobytes() + ids.isna().to_numpy().tobytes())]
-                if sum(map(len, part)):
-                    logp = token_scores(flat, Stream([buckets_of(h) for h in part]), cls, within)
-                    rows += [(bucket, key, 1, raw) for bucket, raw in packed(part, logp, n_buckets)]
+                n, rows = np.asarray([len(h) for h in part], dtype="<i8"), []
+                logp = token_scores(flat, Stream([buckets_of(h) for h in part]), cls, within) if n.sum() else np.zeros(0)
+                if n.sum():
+                    rows = [(bucket, key, 1, raw) for bucket, raw in packed(part, logp, n_buckets)]
+                ends = np.concatenate([[0.0], np.cumsum(logp)])
+                cost = np.rint((ends[np.cumsum(n)] - ends[np.cumsum(n) - n]) * _SUM_STEPS).astype("<i8")
+                known = pd.array(ids, dtype="Int64").to_numpy(dtype="<i8", na_value=0)
+                rows.append((key % n_buckets, key, 0, b"".join(x.tobytes() for x in (known, n, cost, ids.isna().to_numpy()))))
                 key += len(part)
                 yield pd.DataFrame(rows, columns=["bucket", "key", "kind", "raw"])
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Passes on the documents of each block, and what windows found elsewhere add to them: a row for each block."""
         held, starts, counts = [], [], []
         for pdf in batches:
-            for bucket, key, kind, raw in pdf.itertuples(index=False, name=None):
-                if kind == 1:
-                    held.append(unpacked(bucket, raw))
-                    starts.append(key)
-                    counts.append(len(held[-1][0]))
-                    continue
-                n = len(raw) // 9
-                ids = pd.Series(np.frombuffer(raw[: 8 * n], dtype="<i8")).astype("Int64").mask(np.frombuffer(raw[8 * n :], dtype=bool))
-                yield pd.DataFrame({"key": key + np.arange(n), "doc_id": ids, "n": 0, "cost": 0})
+            yield pdf.loc[pdf["kind"] == 0, ["key", "kind", "raw"]]
+            for bucket, key, _, raw in pdf[pdf["kind"] == 1].itertuples(index=False, name=None):
+                held.append(unpacked(bucket, raw))
+                starts.append(key)
+                counts.append(len(held[-1][0]))
         if held:
             window, word, logp, doc, times = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            cost = np.rint(mixed(window, word, logp, times) * times * _SUM_STEPS).astype(np.int64)
-            at, where = np.unique(np.repeat(np.asarray(starts, dtype=np.int64), counts) + doc, return_inverse=True)
+            gain = np.rint((mixed(window, word, logp, times) - logp) * times * _SUM_STEPS).astype(np.int64)
+            more = gain != 0  # a window that is nowhere else adds nothing
+            key = np.repeat(np.asarray(starts, dtype=np.int64), counts)[more] + doc[more]
+            at, where = np.unique(key, return_inverse=True)
             # Sums of whole numbers below 2 ** 53 are exact, so their order makes no difference.
-            n, total = np.bincount(where, weights=times), np.bincount(where, weights=cost)
-            yield pd.DataFrame({"key": at, "doc_id": pd.array([None] * len(at), dtype="Int64"), "n": n.astype(np.int64), "cost": total.astype(np.int64)})
+            total = np.bincount(where, weights=gain[more], minlength=len(at)).astype("<i8")
+            of = np.unique(starts)
+            block = of[np.searchsorted(of, at, side="right") - 1]
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(at) else []
+            rows = [(block[lo], 1, (at[lo:hi] - block[lo]).astype("<i8").tobytes() + total[lo:hi].tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(at)])]
+            yield pd.DataFrame(rows, columns=["key", "kind", "raw"])
+
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads, gains = {}, {}
+        for pdf in batches:
+            for key, kind, raw in pdf.itertuples(index=False, name=None):
+                if kind == 0:
+                    heads[key] = raw
+                else:
+                    gains.setdefault(key, []).append(np.frombuffer(raw, dtype="<i8").reshape(2, -1))
+        for key, raw in heads.items():
+            n_docs = len(raw) // 25
+            ids, n, cost = np.frombuffer(raw[: 24 * n_docs], dtype="<i8").reshape(3, n_docs).copy()
+            for doc, gain in gains.get(key, []):
+                cost[doc] += gain  # a document is in a row once
+            ids = pd.Series(ids).astype("Int64").mask(np.frombuffer(raw[24 * n_docs :], dtype=bool))
+            yield pd.DataFrame({"doc_id": ids, "n_tokens": n, "pll": cost / _SUM_STEPS})
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sent = src.mapInPandas(run, "bucket int, key long, kind int, raw binary").repartition(tasks, "bucket")
-    sums = sent.mapInPandas(added, "key long, doc_id long, n long, cost long").groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("cost").alias("cost"))
-    pll = F.col("cost") / _SUM_STEPS
-    return sums.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("pll_per_token"))
+    sums = sent.mapInPandas(added, "key long, kind int, raw binary").repartition(tasks, "key")
+    out = sums.mapInPandas(finished, "doc_id long, n_tokens long, pll double")
+    return out.withColumn("pll_per_token", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
 
 
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
