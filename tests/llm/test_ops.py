@@ -519,7 +519,8 @@ def test_near_dedup_contracts_links_of_absorbed(spark):
     assert sorted((r.v, r.component) for r in got) == [(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 7)]
 
 
-def test_near_dedup_of_a_large_drifting_family(spark):
+def test_near_dedup_of_a_large_drifting_family(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 64)  # families of over twice a small node stay within reach of brute force
     rows = drifting_copies(np.random.default_rng(4), 3, 2 * near_dedup.SMALL_NODE + 40, 4)
     want, sizes = brute_components(rows, 4, 80)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
