@@ -2,14 +2,15 @@
 
 Every token is predicted from the two tokens before and the two after it.  A small
 network trained in numpy gives p(token | window): embeddings of the window, one hidden
-layer, and a class-factored output, p(class | window) p(token | class).  With it is mixed
-what followed the same window elsewhere in the corpus: of the c other places with these
+layer, and an output in two levels, p(class | window) p(token | class, window), each a
+softmax over the hidden layer (without ``words`` the second level is p(token | class)).
+With it is mixed what followed the same window elsewhere in the corpus: of the c other places with these
 two words on each side, the share that hold the same word, with weight c / (c + 1).  So a
 word is told from others of its class by its neighbours wherever they occur again.  A
 document's score is the sum of the log-probabilities of all its tokens.
 
 The network's tokens are lower-cased words hashed to ``VOCAB`` buckets.  Classes hold
-equal shares of all tokens, and p(token | class) comes from the counts of the whole
+equal shares of all tokens, and p(token | class) starts from the counts of the whole
 corpus.  Training is local stochastic gradient descent from one common start: each
 partition goes once through all its documents, and the parameters are averaged, weighted
 by tokens.  The network thus depends on all rows, and slightly on how files are split into
@@ -42,6 +43,8 @@ VOCAB, DIM, HIDDEN, CLASSES, SIDE = 4096, 8, 24, 32, 2
 #: Token of the places beyond the ends of a document.
 PAD = 0
 _STEP = 4096
+#: Steps of the words within their classes, in those of the classes.
+WORD_RATE = 4
 _FIXED = 1 << 24
 
 
@@ -60,8 +63,9 @@ def tokens(text: str | None) -> np.ndarray:
     return buckets_of(word_hashes(text))
 
 
-def _shapes() -> list[tuple[int, ...]]:
-    return [(VOCAB, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+def _shapes(words: bool = False) -> list[tuple[int, ...]]:
+    base = [(VOCAB, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+    return base + [(VOCAB, HIDDEN + 1)] * words
 
 
 N_PARAMS = sum(int(np.prod(s)) for s in _shapes())
@@ -69,16 +73,20 @@ N_PARAMS = sum(int(np.prod(s)) for s in _shapes())
 
 def _split(flat: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
-    for s in _shapes():
+    for s in _shapes(len(flat) > N_PARAMS):
         n = int(np.prod(s))
         out.append(flat[at : at + n].reshape(s))
         at += n
     return out
 
 
-def start(seed: int = 11) -> np.ndarray:
+def start(seed: int = 11, words: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Random parameters; ``words``, classes and log p(bucket | class), adds those of the words within their classes."""
     rng = np.random.default_rng(seed)
     parts = [rng.standard_normal(s) * (1 / np.sqrt(s[0]) if len(s) == 2 and s[0] != VOCAB else 0.3 if len(s) == 2 else 0.0) for s in _shapes()]
+    if words:
+        order = np.argsort(words[0], kind="stable")
+        parts.append(np.c_[np.zeros((VOCAB, HIDDEN)), words[1][order]])
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
@@ -110,10 +118,10 @@ class Stream:
         self.at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         self.sizes = sizes
 
-    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def batches(self, step: int = _STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window ids, target ids) in order."""
-        for lo in range(0, len(self.at), _STEP):
-            at = self.at[lo : lo + _STEP]
+        for lo in range(0, len(self.at), step):
+            at = self.at[lo : lo + step]
             yield np.stack([self.ids[at + o] for o in _OFFSETS], axis=1), self.ids[at]
 
 
@@ -127,10 +135,62 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+class Words:
+    """The second level of the output: a softmax over the words of each class.
+
+    Weights, with the biases behind them, lie in the order of the classes.
+    """
+
+    def __init__(self, weight: np.ndarray, cls: np.ndarray):
+        order = np.argsort(cls, kind="stable")
+        self.weight, self.cls, self.place = weight, cls.astype(np.uint8), np.argsort(order, kind="stable")
+        self.edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        self.measure()
+
+    def measure(self) -> None:
+        """Whether logits are small enough for exp as they are; no hidden value is over 1."""
+        self.small = bool(np.abs(self.weight).sum(axis=1).max() < 40)
+
+    def by_class(self, target: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each class of the targets: their rows, hidden layer with a 1 behind it, weights, place of their words
+        in the class, and exp of the logits of its words, up to a factor for each row, with their sums."""
+        c = self.cls[target]
+        by = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c[by], np.arange(CLASSES + 1))
+        h, own = np.c_[h[by], np.ones(len(h), dtype=h.dtype)], self.place[target[by]]
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            rows, at = slice(cuts[k], cuts[k + 1]), self.edges[k]
+            w = self.weight[at : self.edges[k + 1]]
+            e = h[rows] @ w.T
+            if not self.small:
+                e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            yield by[rows], h[rows], w, own[rows] - at, e, e @ np.ones(len(w), dtype=e.dtype)
+
+    def scores(self, target: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """log p(word | class, window) of each target."""
+        out = np.empty(len(target), dtype=h.dtype)
+        for rows, _, _, own, e, total in self.by_class(target, h):
+            out[rows] = e[np.arange(len(e)), own] / total
+        return np.log(np.maximum(out, 1e-30))
+
+    def learn(self, target: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+        """One step of each class by its own tokens; returns the gradient of the hidden layer."""
+        dh = np.empty_like(h)
+        self.measure()
+        for rows, h1, w, own, e, total in self.by_class(target, h):
+            e[np.arange(len(e)), own] -= total
+            scale = (1 / total)[:, None]
+            dh[rows] = (e @ w)[:, :-1] * scale
+            w -= np.float32(rate / len(e)) * (e.T @ (h1 * scale))
+        return dh
+
+
 def train_on(flat: np.ndarray, streams: Iterator[Stream], cls: np.ndarray, rate: float = 0.4) -> tuple[np.ndarray, int]:
     """One pass of gradient descent; returns the parameters and the tokens seen."""
     flat = flat.copy()
     params, seen = _split(flat), 0
+    words = Words(params[5], cls) if len(params) > 5 else None
     lanes = np.arange(DIM)
     for stream in streams:
         for window, target in stream.batches():
@@ -140,7 +200,10 @@ def train_on(flat: np.ndarray, streams: Iterator[Stream], cls: np.ndarray, rate:
             d[np.arange(n), cls[target]] -= 1
             lr = rate / (1 + seen / 2e6) ** 0.5
             d /= n
-            dh = (d @ params[3].T) * (1 - h * h)
+            dh = d @ params[3].T
+            if words:
+                dh += words.learn(target, h, lr * WORD_RATE) / n
+            dh *= 1 - h * h
             dx = (dh @ params[1].T).reshape(-1, DIM)
             params[3] -= lr * (h.T @ d)
             params[4] -= lr * d.sum(axis=0)
@@ -157,10 +220,12 @@ def train_on(flat: np.ndarray, streams: Iterator[Stream], cls: np.ndarray, rate:
 def token_scores(flat: np.ndarray, stream: Stream, cls: np.ndarray, within: np.ndarray) -> np.ndarray:
     """The network's log-probability of each token of the stream."""
     params, parts = _split(flat), [np.zeros(0)]
-    for window, target in stream.batches():
+    words = Words(params[5], cls) if len(params) > 5 else None
+    for window, target in stream.batches(4 * _STEP):
         _, h = _hidden(params, window)
         logp = _log_softmax(h @ params[3] + params[4])
-        parts.append((logp[np.arange(len(target)), cls[target]] + within[target]).astype(np.float64))
+        own = words.scores(target, h) if words else within[target]
+        parts.append((logp[np.arange(len(target)), cls[target]] + own).astype(np.float64))
     return np.concatenate(parts)
 
 
@@ -202,22 +267,25 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def fit(docs: DataFrame, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, classes and log p(bucket | class) from all documents, whose ``corpus_counts`` may be given."""
+def fit(docs: DataFrame, counts: np.ndarray | None = None, words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, classes and log p(bucket | class) from all documents, whose ``corpus_counts`` may be given.
+
+    With ``words`` the window predicts the word within its class, too.
+    """
     cls, within = classes_of(corpus_counts(docs) if counts is None else counts)
-    first = start()
+    first = start(words=(cls, within) if words else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, seen = train_on(first, (Stream(held) for _, held in _blocks(batches)), cls)
         # Sums of whole numbers do not depend on their order.
         fixed = np.rint(flat.astype(np.float64) * _FIXED * (seen / 1000)).astype(np.int64)
         if seen:
-            yield pd.DataFrame({"k": np.arange(-1, N_PARAMS, dtype=np.int32), "v": np.concatenate([[np.int64(seen)], fixed])})
+            yield pd.DataFrame({"k": np.arange(-1, len(first), dtype=np.int32), "v": np.concatenate([[np.int64(seen)], fixed])})
 
     rows = docs.select("text").mapInPandas(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
     if not rows:
         return first, cls, within
-    sums = np.zeros(N_PARAMS + 1)
+    sums = np.zeros(len(first) + 1)
     for r in rows:
         sums[r.k + 1] = r.v
     return (sums[1:] / _FIXED / (sums[0] / 1000)).astype(np.float32), cls, within
@@ -406,4 +474,4 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text under a model of all of them; see ``score_in_corpus``."""
     docs = documents(spark, sf_dir)
     counts = corpus_counts(docs)
-    return score_in_corpus(docs, fit(docs, counts), n_tokens=int(counts.sum()))
+    return score_in_corpus(docs, fit(docs, counts, words=True), n_tokens=int(counts.sum()))

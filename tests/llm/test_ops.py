@@ -302,6 +302,54 @@ def test_pseudo_likelihood_learns():
     assert pseudo_likelihood.score_docs(flat, walk[:10], cls, within).mean() > before + 50
 
 
+def test_pseudo_likelihood_words_within_a_class(spark, sf_dir, docs):
+    """The second level token by token; and two words of one class that only the window tells apart."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    flat, cls, within = pseudo_likelihood.fit(df, words=True)
+    params, place = pseudo_likelihood._split(flat), np.argsort(np.argsort(cls, kind="stable"))
+    for t in docs.text[:8]:
+        ids = pseudo_likelihood.tokens(t)
+        got = pseudo_likelihood.token_scores(flat, pseudo_likelihood.Stream([ids]), cls, within) if len(ids) else []
+        padded = np.concatenate([[0, 0], ids, [0, 0]]).astype(int)
+        for k, logp in zip(range(2, len(padded) - 2), got):
+            h = np.tanh(params[0][padded[[k - 2, k - 1, k + 1, k + 2]]].ravel() @ params[1] + params[2])
+            z = (h @ params[3] + params[4]).astype(float)
+            mine = np.flatnonzero(cls == cls[padded[k]])
+            rows = params[5][place[mine]]
+            y = (rows[:, :-1] @ h + rows[:, -1]).astype(float)
+            want = z[cls[padded[k]]] - np.log(np.exp(z).sum()) + y[list(mine).index(padded[k])] - np.log(np.exp(y).sum())
+            assert logp == pytest.approx(want, rel=1e-3, abs=1e-3)
+    assert np.array_equal(pseudo_likelihood.fit(df, words=True)[0], flat)
+
+
+def test_pseudo_likelihood_window_tells_words_of_a_class_apart():
+    """Neighbours decide between two words of one class; the pairs of neighbours that are asked for were not seen."""
+    rng = np.random.default_rng(3)
+    counts = np.zeros(pseudo_likelihood.VOCAB, int)
+    walk = []
+    for _ in range(200):
+        side = rng.integers(0, 2, 100)
+        a, b = rng.integers(0, 40, (2, 100))
+        seen = (a + b) % 5 > 0
+        walk.append(np.stack([100 + side * 40 + a, 1 + side, 300 + side * 40 + b], axis=1)[seen].ravel().astype(np.int32))
+    counts += np.bincount(np.concatenate(walk), minlength=len(counts))
+    cls, within = pseudo_likelihood.classes_of(counts)
+    cls[:3] = cls[1]
+    flat = pseudo_likelihood.start(words=(cls, within))
+    for _ in range(6):
+        flat, _ = pseudo_likelihood.train_on(flat, [pseudo_likelihood.Stream(walk)], cls)
+
+    def score(left, word, right):
+        return pseudo_likelihood.token_scores(flat, pseudo_likelihood.Stream([np.asarray([1, left, word, right, 1], np.int32)]), cls, within)[2]
+
+    for side in (0, 1):
+        right = [score(100 + side * 40 + a, 1 + side, 300 + side * 40 + 5 - a) > score(100 + side * 40 + a, 2 - side, 300 + side * 40 + 5 - a) for a in range(6)]
+        assert all(right)
+    big = flat.copy()
+    pseudo_likelihood._split(big)[5][:, :-1] *= 1e4  # logits beyond the range of exp
+    assert np.isfinite(pseudo_likelihood.token_scores(big, pseudo_likelihood.Stream(walk[:3]), cls, within)).all()
+
+
 def test_pseudo_likelihood_in_corpus(spark, sf_dir, docs):
     """Windows counted by their words, against the packed and shuffled records."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
