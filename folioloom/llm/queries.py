@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioloom.llm import fingerprints, language_id, license_scan, line_dedup, near_dedup, packing, pieces, prefix_trie, pseudo_likelihood, quality_rules, token_files
+from folioloom.llm import collocations, fingerprints, language_id, license_scan, line_dedup, near_dedup, packing, pieces, prefix_trie, pseudo_likelihood, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLES = {
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
