@@ -288,9 +288,10 @@ WITH pieces AS (
     JOIN counts l ON l.lang = c.lang AND l.g = c.g[1:j.j] JOIN counts r ON r.lang = c.lang AND r.g = c.g[j.j + 1:]
 ), best AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, f, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: g[i:i + m - 1])))) AS g FROM counts WHERE k > 2
 ), covered AS (
-  SELECT DISTINCT s.lang, s.g FROM counts s JOIN counts o ON o.lang = s.lang AND o.k > s.k AND o.f >= s.f
-  WHERE s.k >= 2 AND list_contains(list_transform(range(1, o.k - s.k + 2), lambda i: o.g[i:i + s.k - 1]), s.g)
+  SELECT DISTINCT s.lang, s.g FROM counts s JOIN inside o ON o.lang = s.lang AND o.g = s.g AND o.f >= s.f
 ), named AS (
   SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b ANTI JOIN covered USING (lang, g)
 )
