@@ -5,15 +5,16 @@ order of its suffixes by their first words comes from prefix doubling in numpy.
 neighbours whose longest common prefix is at least k words are the distinct k-grams of the
 shard with their counts; these are merged by key over all shards.
 
-A phrase can only be frequent if all its parts are, so shards are read three times: for
-words, for pairs of frequent words, and for three and more words that frequent pairs link.
-Each pass hands to a shard what is frequent of its own words or pairs, so what comes back
-is bounded by the shard, and all counts stay exact: only n-grams with an infrequent part are
-left out, whose counts nothing needs.
+A phrase can only be frequent if all its parts are, so shards are read four times: for words,
+for pairs of frequent words, for three words that frequent pairs link, and for four and five
+that frequent triples link.  Each pass hands to a shard what is frequent of its own words,
+pairs or triples, so what comes back is bounded by the shard, and all counts stay exact: only
+n-grams with an infrequent part are left out, whose counts nothing needs.
 
 Scale: a shard has ``SHARD_TOKENS`` words, or those of one document if that is longer.  The
 rows of a key in a merge are at most one for each shard.  Texts are read once; shards
-travel as arrays of numbers.
+travel as arrays of numbers, their bytes in planes, which compress.  Across shards a word is
+told by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import documents
-from folioloom.operators.ranges import running
 from folioloom.plans.scratch import materialize
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
@@ -40,9 +40,22 @@ _TO_BORDER = bytes.maketrans(_PUNCTUATION, _BORDER * len(_PUNCTUATION))
 _ROWS = 1 << 16
 
 _SHARDS = pa.schema([("shard", pa.int64()), ("id", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
-_PAIRS = pa.schema([("shard", pa.int64()), ("w1", pa.int32()), ("w2", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
 _WORDS = [f"w{k + 1}" for k in range(LONGEST)]
-_LONG = pa.schema([*[(w, pa.int32()) for w in _WORDS], ("n", pa.int64())])
+
+
+def _ngrams(length: int) -> pa.Schema:
+    """Rows of n-grams of a shard, and the shard itself: local ids and the numbers they stand for."""
+    words = [(w, pa.int64()) for w in _WORDS[:length]]
+    return pa.schema([("shard", pa.int64()), *words, ("n", pa.int64()), ("ids", pa.binary()), ("numbers", pa.binary())])
+
+
+def _planes(seq: np.ndarray) -> bytes:
+    """First all low bytes, then all second ones, and so on: the high planes are nearly empty."""
+    return np.ascontiguousarray(seq.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -109,7 +122,7 @@ def _sharded(tokens: int):
         def closed() -> Iterator[pa.RecordBatch]:
             seq = _without_repeated_borders(np.concatenate(parts))
             counts = np.bincount(seq, minlength=len(names) + 1)
-            columns = [[first + made], [0], [None], [None], [None], [seq.tobytes()]]
+            columns = [[first + made], [0], [None], [None], [None], [_planes(seq)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARDS)], schema=_SHARDS)
             for lo in range(0, len(names), _ROWS):
                 part = names[lo : lo + _ROWS]
@@ -137,47 +150,73 @@ def _sharded(tokens: int):
     return run
 
 
-def _entries(batch: pa.RecordBatch, name: str, row: int, fields: tuple[str, ...]) -> list[np.ndarray]:
-    entries = batch.column(name)[row].values
-    return [np.asarray(entries.field(f)) for f in fields] if entries is not None else [np.zeros(0, dtype=np.int64) for _ in fields]
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of frequent words of each shard with their counts, and the shard in global numbers."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            shard, seq = batch.column("shard")[row].as_py(), np.frombuffer(batch.column("ids")[row].as_py(), dtype=np.int32)
-            local, number = _entries(batch, "frequent", row, ("id", "number"))
-            to = np.zeros(int(seq.max(initial=0)) + 1, dtype=np.int32)
-            to[local] = number
-            seq = _without_repeated_borders(to[seq])
-            columns = [[shard], [None], [None], [None], [seq.tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS)], schema=_PAIRS)
-            grams, counts = ngram_counts(seq, (2,))[2]
-            for lo in range(0, len(counts), _ROWS):
-                part, n = grams[lo : lo + _ROWS], counts[lo : lo + _ROWS]
-                columns = [pa.array(np.full(len(n), shard)), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.array(n), pa.nulls(len(n), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=_PAIRS)
-
-
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of three and more words, all of whose pairs are frequent, with their counts."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            seq = np.frombuffer(batch.column("ids")[row].as_py(), dtype=np.int32)
-            w1, w2 = _entries(batch, "frequent", row, ("w1", "w2"))
-            known = np.unique(w1.astype(np.int64) << 32 | w2)
-            pairs = seq[:-1].astype(np.int64) << 32 | seq[1:]
-            at = np.searchsorted(known, pairs)
-            linked = np.r_[(known[np.minimum(at, len(known) - 1)] == pairs) if len(known) else np.zeros(len(pairs), dtype=bool), False]
-            # Words that no frequent pair holds become borders; where one pair ends without the next, a border is put in.
-            seq = np.where(linked | np.r_[False, linked[:-1]], seq, 0)
-            seq = _without_repeated_borders(np.insert(seq, np.flatnonzero(~linked & (seq > 0)) + 1, 0))
-            for grams, counts in ngram_counts(seq, tuple(range(3, LONGEST + 1))).values():
-                for lo in range(0, len(counts), _ROWS):
-                    part, n = grams[lo : lo + _ROWS], counts[lo : lo + _ROWS]
-                    columns = [pa.array(part[:, k].copy()) if k < part.shape[1] else pa.array(np.zeros(len(n), dtype=np.int32)) for k in range(LONGEST)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], schema=_LONG)
+def _entries(batch: pa.RecordBatch, row: int, fields: list[str]) -> list[np.ndarray]:
+    entries = batch.column("frequent")[row].values
+    return [np.asarray(entries.field(f)) for f in fields]
+
+
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    """One number for a row of words; it may stand for several rows, which lets more through and loses nothing."""
+    out = np.zeros(len(words[0]), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for w in words:
+            out = (out ^ w.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def _linked(seq: np.ndarray, numbers: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """The stretches of ``seq`` whose windows of so many words are all known, where they hold more than one window."""
+    k = len(known)
+    if len(seq) < k:
+        return seq[:0]
+    windows = len(seq) - k + 1
+    at = [seq[i : windows + i] for i in range(k)]
+    whole = np.logical_and.reduce([a > 0 for a in at])
+    good = whole & np.isin(_mixed([numbers[a] for a in at]), _mixed(known))
+    turns = np.diff(np.r_[0, good.astype(np.int8), 0])
+    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    longer = ends - starts > 1
+    starts, sizes = starts[longer], (ends - starts)[longer] + k - 1
+    firsts = np.r_[0, np.cumsum(sizes + 1)]  # a border after each stretch
+    take = np.arange(firsts[-1]) + np.repeat(starts - firsts[:-1], sizes + 1)
+    out = seq[np.minimum(take, len(seq) - 1)]
+    out[firsts[1:] - 1] = 0
+    return out
+
+
+def _counted(known: int, lengths: tuple[int, ...]):
+    """N-grams of these lengths in the stretches of each shard that its known n-grams link, and what is left of the shard.
+
+    With 1 known word the shard's own words are numbered: those not frequent become borders.
+    """
+    schema = _ngrams(max(lengths))
+    words = len(schema) - 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard, seq = batch.column("shard")[row].as_py(), _from_planes(batch.column("ids")[row].as_py())
+                if known == 1:
+                    local, number = _entries(batch, row, ["id", "number"])
+                    to, numbers = np.zeros(int(seq.max(initial=0)) + 1, dtype=np.int32), np.r_[0, number]
+                    to[local] = np.arange(1, len(local) + 1)
+                    seq = _without_repeated_borders(to[seq])
+                else:
+                    numbers = np.frombuffer(batch.column("numbers")[row].as_py(), dtype=np.int64)
+                    seq = _linked(seq, numbers, _entries(batch, row, _WORDS[:known]))
+                    used, seq = np.unique(np.r_[0, seq], return_inverse=True)
+                    numbers, seq = numbers[used], seq[1:].astype(np.int32)
+                columns = [[shard], *[[None]] * (words + 1), [_planes(seq)], [numbers.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                for grams, counts in ngram_counts(seq, lengths).values():
+                    for lo in range(0, len(counts), _ROWS):
+                        part, n = numbers[grams[lo : lo + _ROWS]], counts[lo : lo + _ROWS]
+                        of = [pa.array(part[:, k].copy()) if k < part.shape[1] else pa.nulls(len(n), pa.int64()) for k in range(words)]
+                        none = pa.nulls(len(n), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard)), *of, pa.array(n), none, none], schema=schema)
+
+    return run
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -188,33 +227,43 @@ def _ddl(schema: pa.Schema) -> str:
 def frequent_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, shard_tokens: int = SHARD_TOKENS, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """N-grams of 1 to 5 words that a language holds ``min_count`` times, the names of words, and the words of each language.
 
-    Returns (words array<int>, f), (number, lang, word) and (lang, n).  A to Z are
+    Returns (words array<bigint>, f), (number, lang, word) and (lang, n).  A to Z are
     lower-cased, texts are cut at ``[.,;:!?\\x0A-\\x0D]``, words are runs of other signs than
     space and tab.  A null language is ``und``, a null or empty text has no words; repeated rows
     count as often as they stand.  Other columns are not looked at.
     """
     src = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
     shards = materialize(src.mapInArrow(_sharded(shard_tokens), _ddl(_SHARDS)), "shards")
-    vocabulary = shards.where(F.col("ids").isNull())
-    found = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).withColumn("all", F.lit(1))
-    names = running(found, ["all"], ["lang", "word"], sums={"number": F.lit(1)}, label="frequent-words")
-    names = materialize(names.select(F.col("number").cast("int").alias("number"), "lang", "word", "f"), "words")
-
-    known = vocabulary.join(names.select("lang", "word", "number"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("id", "number")).alias("frequent"))
-    seqs = shards.where(F.col("ids").isNotNull()).select("shard", "ids").join(known, "shard")
-    pairs = materialize(seqs.mapInArrow(_pairs, _ddl(_PAIRS)), "pairs")
-    total = F.sum("n").over(Window.partitionBy("w1", "w2"))
-    linked = pairs.where(F.col("ids").isNull()).select("shard", "w1", "w2", "n").withColumn("f", total).where(F.col("f") >= min_count)
-    linked = materialize(linked.select("shard", "w1", "w2", "f"), "frequent-pairs")
-
-    known = linked.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("frequent"))
-    seqs = pairs.where(F.col("ids").isNotNull()).select("shard", "ids").join(known, "shard")
-    longer = seqs.mapInArrow(_longer, _ddl(_LONG)).groupBy(*_WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    words = F.filter(F.array(*_WORDS), lambda w: w > 0)
+    vocabulary = shards.where(F.col("ids").isNull()).select("shard", "id", "lang", "word", "n")
+    # Every word of a shard learns its count over all; the first shard of a word names it.
+    of_word = Window.partitionBy("lang", "word").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = vocabulary.withColumn("f", F.sum("n").over(of_word)).withColumn("first", F.first("shard").over(of_word)).where(F.col("f") >= min_count)
+    first, number = F.col("shard") == F.col("first"), F.xxhash64("lang", "word").alias("number")
+    found = materialize(found.select("shard", "id", number, "f", F.when(first, F.col("lang")).alias("lang"), F.when(first, F.col("word")).alias("word")), "words")
+    names = found.where(F.col("word").isNotNull()).select("number", "lang", "word", "f")
     grams = names.select(F.array("number").alias("words"), "f")
-    grams = grams.unionByName(linked.groupBy("w1", "w2").agg(F.first("f").alias("f")).select(F.array("w1", "w2").alias("words"), "f"))
-    grams = materialize(grams.unionByName(longer.select(words.alias("words"), "f")), "ngrams")
-    return grams, names.select("number", "lang", "word"), vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
+
+    known, rows = found.select("shard", "id", "number"), shards
+    for k in (2, 3):
+        of = [F.col(w) for w in _WORDS[:k]]
+        rows = materialize(_with_known(rows, known).mapInArrow(_counted(k - 1, (k,)), _ddl(_ngrams(k))), f"counts-{k}")
+        total = F.sum("n").over(Window.partitionBy(*of))
+        known = rows.where(F.col("ids").isNull()).select("shard", *of, "n").withColumn("f", total).where(F.col("f") >= min_count)
+        known = materialize(known.select("shard", *of, "f"), f"frequent-{k}")
+        grams = grams.unionByName(known.groupBy(*of).agg(F.first("f").alias("f")).select(F.array(*of).alias("words"), "f"))
+    long = tuple(range(4, LONGEST + 1))
+    last = _with_known(rows, known).mapInArrow(_counted(3, long), _ddl(_ngrams(LONGEST))).where(F.col("ids").isNull())
+    last = last.groupBy(*_WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    grams = grams.unionByName(last.select(F.array_compact(F.array(*_WORDS)).alias("words"), "f"))
+    return materialize(grams, "ngrams"), names.select("number", "lang", "word"), vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def _with_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Each shard with the list of what is frequent of its own; merged by shard at every size, as both sides grow."""
+    entries = [c for c in known.columns if c not in ("shard", "f")]
+    lists = known.groupBy("shard").agg(F.collect_list(F.struct(*entries)).alias("frequent"))
+    shard = [c for c in rows.columns if c in ("shard", "ids", "numbers")]
+    return rows.where(F.col("ids").isNotNull()).select(*shard).join(lists.hint("merge"), "shard")
 
 
 def _wide(c: str) -> Column:
