@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,21 +65,32 @@ def _csv_of(value) -> str:
     return out.getvalue().removesuffix("\r\n")
 
 
+#: Conversions that need a reader or a writer, as text-to-text functions.
+IN_PYTHON = {
+    ("json", "txt"): lambda t: _pretty(json.loads(t)),
+    ("json", "yaml"): lambda t: _yaml_of(json.loads(t)),
+    ("json", "csv"): lambda t: _csv_of(json.loads(t)),
+    ("yaml", "json"): lambda t: _pretty(_read_yaml(t)),
+    ("csv", "json"): lambda t: _pretty(_rows(t)),
+    ("csv", "yaml"): lambda t: _yaml_of(_rows(t)),
+}
+
+
 def json_to_txt(c: Column) -> Column:
-    return _text_udf(lambda t: _pretty(json.loads(t)))(c)
+    return _text_udf(IN_PYTHON["json", "txt"])(c)
 
 
 def json_to_yaml(c: Column) -> Column:
-    return _text_udf(lambda t: _yaml_of(json.loads(t)))(c)
+    return _text_udf(IN_PYTHON["json", "yaml"])(c)
 
 
 def json_to_csv(c: Column) -> Column:
     """Columns come from the first object; a root that is no array is one row."""
-    return _text_udf(lambda t: _csv_of(json.loads(t)))(c)
+    return _text_udf(IN_PYTHON["json", "csv"])(c)
 
 
 def yaml_to_json(c: Column) -> Column:
-    return _text_udf(lambda t: _pretty(_read_yaml(t)))(c)
+    return _text_udf(IN_PYTHON["yaml", "json"])(c)
 
 
 def yaml_to_txt(c: Column) -> Column:
@@ -87,11 +99,29 @@ def yaml_to_txt(c: Column) -> Column:
 
 def csv_to_json(c: Column) -> Column:
     """Header names, all values as strings, blank lines skipped."""
-    return _text_udf(lambda t: _pretty(_rows(t)))(c)
+    return _text_udf(IN_PYTHON["csv", "json"])(c)
 
 
 def csv_to_yaml(c: Column) -> Column:
-    return _text_udf(lambda t: _yaml_of(_rows(t)))(c)
+    return _text_udf(IN_PYTHON["csv", "yaml"])(c)
+
+
+def by_pair(source: Column, target: Column, content: Column, more: dict[tuple[str, str], Callable[[str], str]] | None = None) -> Column:
+    """The conversion of each row's own pair, all in one Python function; null for other pairs and what cannot be read."""
+    known = {f"{a} {b}": f for (a, b), f in (IN_PYTHON | (more or {})).items()}
+
+    @F.pandas_udf("string")
+    def run(pairs: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(pair, t):
+            try:
+                return None if t is None or pair not in known else known[pair](t)
+            except Exception:  # noqa: BLE001 - a bad document is a null, not a failed job
+                return None
+
+        return pd.Series([one(p, t) for p, t in zip(pairs, texts)], dtype=object)
+
+    pair = F.concat_ws(" ", source, target)
+    return run(pair, F.when(pair.isin(*known), content))
 
 
 def csv_cells(c: Column) -> Column:

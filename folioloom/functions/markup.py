@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioloom.functions.rules import Rule, apply, java_pattern, matches, to_sql, trim, trim_sql
+from folioloom.functions.blocks import render
+from folioloom.functions.rules import Rule, apply, java_pattern, matches, re2_pattern, sql_string, to_sql, trim, trim_sql
 
 # The patterns of each conversion, in the order that gives its results.
 MD_TO_TXT = [
@@ -188,34 +189,73 @@ def page_breaks(md: Column) -> Column:
     return F.element_at(F.transform(F.array(found), marked), 1)
 
 
-def _block_kinds(md: str) -> list[str]:
-    import re
+#: A table starts at a line with bars that such a line follows.
+SEPARATOR = r"^\|[\s\-:|]+\|"
+
+
+def _regions(lines: Column) -> Column:
+    """(kind, before, start, end) of the fences and tables among the lines, in order; ``before`` is where the last one ended.
+
+    One pass with a state: outside, in a fence or in a table, and where that began.
+    """
+    facts = F.transform(lines, lambda x, k: F.struct(
+        k.alias("at"), x.startswith("```").alias("fence"), (x == "```").alias("closes"), matches(x, dict(LINE_KINDS)["table"]).alias("bars"),
+        F.coalesce(matches(F.get(lines, k + 1), SEPARATOR), F.lit(False)).alias("headed")))
+    region = "struct<kind:string,before:int,start:int,end:int>"
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("before"), F.array().cast(f"array<{region}>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fenced, table = acc["kind"] == "code", acc["kind"] == "table"
+        fenced, table = F.coalesce(fenced, F.lit(False)), F.coalesce(table, F.lit(False))
+        opens = ~fenced & x["fence"]
+        ends = (fenced & x["closes"]) | (table & (x["fence"] | ~x["bars"]))
+        end = F.when(fenced, x["at"] + 1).otherwise(x["at"])
+        heads = ~fenced & ~table & ~x["fence"] & x["bars"] & x["headed"]
+        kind = F.when(opens, "code").when(heads, "table").when(~ends, acc["kind"])
+        start = F.when(opens | heads, x["at"]).otherwise(acc["start"])
+        closed = F.struct(acc["kind"].alias("kind"), acc["before"].alias("before"), acc["start"].alias("start"), end.alias("end"))
+        found = F.when(ends, F.concat(acc["found"], F.array(closed.cast(region)))).otherwise(acc["found"])
+        return F.struct(kind.alias("kind"), start.alias("start"), F.when(ends, end).otherwise(acc["before"]).alias("before"), found.alias("found"))
 
-    out, lines, fenced, table = [], md.split("\n"), False, False
-    for k, line in enumerate(lines):
-        if fenced:
-            out.append("code")
-            fenced = line != "```"
-        elif line.startswith("```"):
-            out.append("code")
-            fenced, table = True, False
-        else:
-            bars = re.match(r"\|.*\|", line) is not None
-            table = bars and (table or (k + 1 < len(lines) and re.match(r"\|[\s\-:|]+\|", lines[k + 1]) is not None))
-            kind = next((n for n, p in LINE_KINDS if re.search(p.replace(r"\z", r"\Z"), line)), "paragraph")
-            out.append("table" if table else "paragraph" if kind == "table" else kind)
-    return out
+    def finish(acc: Column) -> Column:
+        rest = F.struct(acc["kind"].alias("kind"), acc["before"].alias("before"), F.when(acc["kind"].isNull(), F.size(lines)).otherwise(acc["start"]).alias("start"), F.size(lines).alias("end"))
+        return F.concat(acc["found"], F.array(rest.cast(region)))
+
+    return F.aggregate(facts, none, step, finish)
 
 
 def block_kinds(md: Column) -> Column:
     """Kind of each line with the state of fences and tables: lines in a fence are code, lines
     with bars are a table from one that a separator follows until one without bars."""
 
-    @F.pandas_udf("array<string>")
-    def kinds(texts: pd.Series) -> pd.Series:
-        return texts.map(_block_kinds, na_action="ignore")
-
-    return kinds(md)
+    def kinds(lines: Column) -> Column:
+        plain = lambda x: F.when(line_kind(x) == "table", "paragraph").otherwise(line_kind(x))
+        part = lambda r: F.concat(
+            F.transform(F.slice(lines, r["before"] + 1, r["start"] - r["before"]), plain),
+            F.array_repeat(r["kind"], r["end"] - r["start"]),
+        )
+        return F.flatten(F.transform(_regions(lines), part))
+
+    return F.element_at(F.transform(F.array(F.split(md, "\n")), kinds), 1)
+
+
+def block_kinds_sql(e: str) -> str:
+    """The same for DuckDB: a letter for each line out of one pass with a state, then names."""
+    lines = f"string_split({e}, chr(10))"
+    bars, sep = sql_string(re2_pattern(dict(LINE_KINDS)["table"])), sql_string(re2_pattern(SEPARATOR))
+    names = {k: chr(97 + i) for i, k in enumerate([*[k for k, _ in LINE_KINDS if k not in ("fence", "table")], "paragraph", "table", "code"])}
+    plain = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{names.get('paragraph' if k == 'table' else k, names['code'])}'" for k, p in LINE_KINDS) + f" ELSE '{names['paragraph']}' END"
+    facts = (
+        f"list_transform({lines}, lambda x, k: {{'state': '', 'out': '', 'plain': {plain}, 'fence': starts_with(x, '```'), 'closes': x = '```', "
+        f"'bars': regexp_matches(x, {bars}), 'headed': coalesce(regexp_matches(({lines})[k + 1], {sep}), false)}})"
+    )
+    table = "x.bars AND (a.state = 't' OR x.headed)"
+    state = f"CASE WHEN a.state = 'f' THEN CASE WHEN x.closes THEN '' ELSE 'f' END WHEN x.fence THEN 'f' WHEN {table} THEN 't' ELSE '' END"
+    letter = f"CASE WHEN a.state = 'f' OR x.fence THEN '{names['code']}' WHEN {table} THEN '{names['table']}' ELSE x.plain END"
+    start = "{'state': '', 'out': '', 'plain': '', 'fence': false, 'closes': false, 'bars': false, 'headed': false}"
+    folded = f"list_reduce({facts}, lambda a, x: {{'state': {state}, 'out': a.out || {letter}, 'plain': '', 'fence': false, 'closes': false, 'bars': false, 'headed': false}}, {start}).out"
+    named = "CASE c " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in names.items()) + " END"
+    return f"list_transform(string_split({folded}, ''), lambda c: {named})"
 
 
 # Shortcodes that are not the character's Unicode name, or whose character is shown with U+FE0F.
@@ -279,80 +319,20 @@ def emoji(c: Column, table: dict[str, str] | None = None) -> Column:
     return swap(c)
 
 
-# --- Markdown to HTML: block structure needs a parser, so this one is Python ---
-
-
-def _render(md: str | None) -> str | None:
-    import html
-    import re
-
-    if md is None:
-        return None
-
-    def inline(s: str) -> str:
-        s = html.escape(s, quote=False)
-        s = re.sub(r"`([^`]+)`", r"<code>\1</code>", s)
-        s = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img src="\2" alt="\1">', s)
-        s = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', s)
-        s = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", s)
-        return re.sub(r"\*(.+?)\*", r"<em>\1</em>", s)
-
-    def cells(row: str) -> list[str]:
-        return [c.strip() for c in row.strip().strip("|").split("|")]
-
-    out, lines, i = [], md.split("\n"), 0
-    while i < len(lines):
-        line = lines[i]
-        if line.startswith("```"):
-            kind, body, i = line[3:].strip(), [], i + 1
-            while i < len(lines) and lines[i].strip() != "```":
-                body.append(lines[i])
-                i += 1
-            text = "\n".join(body)
-            out.append(f'<div class="mermaid">{text}</div>' if kind == "mermaid" else f"<pre><code>{html.escape(text, quote=False)}\n</code></pre>")
-        elif m := re.match(r"(#{1,6})\s+(.+)", line):
-            text = re.sub(r"[*_`#]", "", m[2]).strip()
-            anchor = re.sub(r"^-|-$", "", re.sub(r"[^a-z0-9]+", "-", text.lower()))
-            out.append(f'<h{len(m[1])} id="{anchor}">{inline(m[2])}</h{len(m[1])}>')
-        elif re.match(r"\|.*\|", line) and i + 1 < len(lines) and re.match(r"\|[\s\-:|]+\|", lines[i + 1]):
-            out.append("<table><tr>" + "".join(f"<th>{inline(c)}</th>" for c in cells(line)) + "</tr>")
-            i += 2
-            while i < len(lines) and re.match(r"\|.*\|", lines[i]):
-                out.append("<tr>" + "".join(f"<td>{inline(c)}</td>" for c in cells(lines[i])) + "</tr>")
-                i += 1
-            out.append("</table>")
-            continue
-        elif re.match(r"(---+|\*\*\*+|___+)\s*$", line):
-            out.append("<hr>")
-        elif m := re.match(r"\s*([-*+]|\d+\.)\s+", line):
-            tag = "ol" if m[1][0].isdigit() else "ul"
-            out.append(f"<{tag}>")
-            while i < len(lines) and (m := re.match(r"\s*([-*+]|\d+\.)\s+(.*)", lines[i])) and (m[1][0].isdigit()) == (tag == "ol"):
-                out.append(f"<li>{inline(m[2])}</li>")
-                i += 1
-            out.append(f"</{tag}>")
-            continue
-        elif line.startswith(">"):
-            out.append(f"<blockquote><p>{inline(line[1:].strip())}</p></blockquote>")
-        elif line.strip():
-            body = [line]
-            while i + 1 < len(lines) and lines[i + 1].strip() and not re.match(r"```|#{1,6}\s|\||>|\s*([-*+]|\d+\.)\s", lines[i + 1]):
-                i += 1
-                body.append(lines[i])
-            out.append(f"<p>{inline(chr(10).join(body))}</p>")
-        i += 1
-    return "\n".join(out)
+def page(md: Column, body: Column, date: Column | None = None) -> Column:
+    """A whole page around a rendered body: title, cover (with ``date``, where given) and contents."""
+    cover = F.concat(F.lit('<div class="cover-page"><div class="cover-title">'), title(md), F.lit('</div><div class="cover-date">'), cover_date(date), F.lit("</div></div>")) if date is not None else F.lit("")
+    return F.concat(
+        F.lit('<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="UTF-8" /><title>'), title(md), F.lit("</title></head>\n<body>\n"),
+        cover, toc_html(md), body, F.lit("\n</body>\n</html>"),
+    )
 
 
 def md_to_html(md: Column, date: Column | None = None) -> Column:
-    """A whole page: title, cover (with ``date``, where given), contents and body."""
+    """The page of a Markdown text; see ``page`` and ``blocks.render``."""
 
     @F.pandas_udf("string")
     def body(texts: pd.Series) -> pd.Series:
-        return texts.map(_render, na_action="ignore")
+        return texts.map(render, na_action="ignore")
 
-    cover = F.concat(F.lit('<div class="cover-page"><div class="cover-title">'), title(md), F.lit('</div><div class="cover-date">'), cover_date(date), F.lit("</div></div>")) if date is not None else F.lit("")
-    return F.concat(
-        F.lit('<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="UTF-8" /><title>'), title(md), F.lit("</title></head>\n<body>\n"),
-        cover, toc_html(md), body(md), F.lit("\n</body>\n</html>"),
-    )
+    return page(md, body(md), date)

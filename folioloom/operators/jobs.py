@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.plans.scratch import materialize
+from folioloom.functions.detect import detect_text_format
+from folioloom.functions.rules import trim
+from folioloom.operators.ranges import running
 
 
 def with_extension(name: Column, extension: Column) -> Column:
@@ -14,20 +16,8 @@ def with_extension(name: Column, extension: Column) -> Column:
 
 
 def ranked(df: DataFrame, key: str, order: str, to: str) -> DataFrame:
-    """Row numbers by key in an order, from 1; the rows of one key may be any share of all.
-
-    Rows are dealt by ranges of (key, order), so a key with many rows spans several
-    parts.  Each part is numbered alone and shifted by the counts of those before
-    it, which are a row for each key and part.  Equal orders of a key stay in one part.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(df.repartitionByRange(parts, key, order).withColumn("_part", F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inner = dealt.withColumn(to, F.row_number().over(Window.partitionBy("_part", key).orderBy(order)))
-    out = inner.join(shifts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
-    return out.withColumn(to, F.col(to) + F.col("_shift")).drop("_part", "_key", "_of", "_shift")
+    """Row numbers by key in an order, from 1; the rows of one key may be any share of all (see ``ranges``)."""
+    return running(df, [key], [order], sums={to: F.lit(1)}, label="ranked")
 
 
 def dedupe_names(df: DataFrame, name: str, order: str, to: str = "unique_name") -> DataFrame:
@@ -41,9 +31,12 @@ def dedupe_names(df: DataFrame, name: str, order: str, to: str = "unique_name")
 
 
 def transitions(df: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
-    """Rows whose status differs from the one before, with that one."""
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != F.col(status)))
+    """Rows whose status differs from the one before, with that one.
+
+    Keys may hold any share of the rows.  A null status is no change, nor is the row after it.
+    """
+    out = running(df, [key], order, previous={"before": F.col(status)}, label="transitions")
+    return out.where(F.col("before").isNotNull() & (F.col("before") != F.col(status)))
 
 
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -58,8 +51,31 @@ def debounce(df: DataFrame, key: str, ts: str, content: str, quiet: str) -> Data
 
 
 def progress(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Position and size within each key, as in ``[3/10]``."""
-    return df.withColumn("done", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    """Position and size within each key, as in ``[3/10]``; keys may hold any share of the rows."""
+    return running(df, [key], order, sums={"done": F.lit(1)}, totals={"total": F.lit(1)}, label="progress")
+
+
+def detections(edits: DataFrame, key: str, ts: str, content: str, quiet_ms: int = 300, least_chars: int = 10) -> DataFrame:
+    """``key, ts, format`` after each pause of ``quiet_ms`` or more in the edits of a text.
+
+    The content before the pause decides: over ``least_chars`` characters without
+    white space at the ends, its format is detected; a blank or null one has none; between
+    the two the last decision stays (null at first).  Edits of one key and time are taken in
+    the order of their content, a null one first.  Keys may hold any share of the rows.
+    """
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    rows = edits.select(key, ts, F.col(content).alias("_content"), ms.alias("_ms"))
+    rows = running(rows, [key], [ts, "_content"], following={"_next": F.col("_ms")}, label="edits")
+    rows = rows.where(F.col("_next").isNull() | (F.col("_next") - F.col("_ms") >= quiet_ms))
+    size, found = decided(F.col("_content"), least_chars)
+    rows = rows.select(key, ts, F.when((size > least_chars) | (size == 0), F.struct(found.alias("format"))).alias("_decided"))
+    return running(rows, [key], [ts], latest={"_last": F.col("_decided")}, label="pauses").select(key, ts, F.col("_last.format").alias("format"))
+
+
+def decided(content: Column, least_chars: int) -> tuple[Column, Column]:
+    """Characters of a content without white space at its ends, and its format if they are over ``least_chars``."""
+    size = F.length(trim(F.coalesce(content, F.lit(""))))
+    return size, F.when(size > least_chars, detect_text_format(content))
 
 
 def simulated_progress(ticks: Column) -> Column:

@@ -1,8 +1,12 @@
 """Best cosine matches between two sets of vectors, and semantic fidelity on top of them.
 
-Vectors are matched within a key.  A block of a key's left vectors is multiplied
-with a block of its right ones, and only the best of each left vector is handed
-on, so no pair ever becomes a row and a key of any size is spread over tasks.
+Vectors are matched within a key.  Those of the right side are dealt into clusters around
+pivots; each left vector is first held against its own cluster, and after that only against
+clusters that may hold a better match: the angle to a pivot less the angle the cluster
+reaches bounds every angle to its members (the triangle inequality on the sphere), so what is
+passed over cannot change the result.  Clusters are cut into blocks, a block of left
+vectors is multiplied with a block of right ones, and only the best of each left vector is
+handed on: no pair ever becomes a row, and a key of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -14,46 +18,128 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in one block of one side.
-BLOCK = 1024
+from folioloom.plans.scratch import materialize
 
+#: Vectors in one block of one side, and most pivots of a key.
+BLOCK, MOST_PIVOTS = 1024, 1024
+#: By how much angles are widened, far above their rounding errors.
+_SLACK = 1e-6
 
-def best_match(left: DataFrame, right: DataFrame, key: str, id_col: str, vec_col: str, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """``key, id, best``: the highest cosine of each left vector over the right vectors of its key.
 
-    With ``skip_self`` a vector is not matched with the one of its own id.  A null
-    or zero vector has cosine 0 with everything.  A left vector without partners is left out.
-    """
-    dealt = lambda df: df.withColumn("block", F.pmod(F.xxhash64(id_col), F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("long")))
-    sized = lambda df: df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("size")), key)
-    packed = lambda df, side: dealt(sized(df.select(key, id_col, vec_col))).groupBy(key, "block").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))).alias(side)).withColumnRenamed("block", f"{side}_block")
-    pairs = packed(left, "a").join(packed(right, "b"), key)
+def _blocks(df: DataFrame, keys: list[str], block: int, to: str) -> DataFrame:
+    """(keys, part, to): the vectors of each key in lists of about ``block`` (id, v)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    dealt = df.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.ceil(F.col("_size") / block).cast("long")))
+    entry = F.struct(*[c for c in df.columns if c not in keys])
+    return dealt.groupBy(*keys, "part").agg(F.collect_list(entry).alias(to))
+
+
+def _unit(rows: list, width: int | None = None) -> np.ndarray:
+    width = width or max((len(r["v"]) for r in rows if r["v"] is not None), default=1)
+    m = np.asarray([r["v"] if r["v"] is not None else np.zeros(width) for r in rows], dtype=np.float64)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles of unit vectors; a zero vector is at a right angle to all."""
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each vector with the cluster of its nearest pivot, and the angle to it."""
+    for pdf in batches:
+        for key, rows, pivots in zip(pdf["key"], pdf["rows"], pdf["pivots"]):
+            pivots = sorted(pivots, key=lambda r: r["n"])
+            x = _unit(rows)
+            angle = _angles(x, _unit(pivots, x.shape[1]))
+            home = angle.argmin(axis=1)
+            yield pd.DataFrame({"key": [key] * len(rows), "id": [r["id"] for r in rows], "v": [r["v"] for r in rows], "cluster": home, "angle": angle[np.arange(len(rows)), home]})
+
+
+def _others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each vector once for every further cluster that may hold a better match than its own did."""
+    for pdf in batches:
+        for key, rows, clusters in zip(pdf["key"], pdf["rows"], pdf["clusters"]):
+            x = _unit(rows)
+            least = _angles(x, _unit(clusters, x.shape[1])) - np.asarray([c["reach"] for c in clusters]) - _SLACK
+            best = np.asarray([-2.0 if r["best"] is None or np.isnan(r["best"]) else r["best"] for r in rows])
+            other = np.asarray([r["cluster"] for r in rows])[:, None] != np.asarray([c["cluster"] for c in clusters])
+            # A vector of length 0 has cosine 0 with all, which no angle bounds.
+            zero = (~x.any(axis=1))[:, None] | np.asarray([c["zero"] for c in clusters])
+            i, j = np.nonzero(other & (zero | (np.cos(np.maximum(least, 0)) > best[:, None])))
+            if not len(i):
+                continue
+            yield pd.DataFrame({"key": [key] * len(i), "id": [rows[k]["id"] for k in i], "v": [rows[k]["v"] for k in i], "cluster": [clusters[k]["cluster"] for k in j]})
 
+
+def _compared(skip_self: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, a, b in zip(pdf[key], pdf["a"], pdf["b"]):
-                ids, best = _best(a, b, skip_self)
-                yield pd.DataFrame({key: [k] * len(ids), "id": ids, "best": best})
+            for key, a, b in zip(pdf["key"], pdf["a"], pdf["b"]):
+                width = max((len(r["v"]) for r in (*a, *b) if r["v"] is not None), default=1)
+                cos = _unit(a, width) @ _unit(b, width).T
+                ids = [r["id"] for r in a]
+                if skip_self:
+                    cos[np.asarray(ids)[:, None] == np.asarray([r["id"] for r in b])[None, :]] = -np.inf
+                best = [float(x) if np.isfinite(x) else None for x in cos.max(axis=1)]
+                yield pd.DataFrame({"key": [key] * len(ids), "id": ids, "best": best, "pairs": [len(b)] * len(ids)})
 
-    kind = dict(left.dtypes)
-    out = pairs.select(key, "a", "b").mapInPandas(run, f"{key} {kind[key]}, id {kind[id_col]}, best double")
-    return out.groupBy(key, "id").agg(F.max("best").alias("best")).where(F.col("best").isNotNull()).withColumnRenamed("id", id_col)
+    return run
 
 
-def _unit(rows: list) -> np.ndarray:
-    width = max((len(r["v"]) for r in rows if r["v"] is not None), default=1)
-    m = np.asarray([r["v"] if r["v"] is not None else np.zeros(width) for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+def matched(left: DataFrame, right: DataFrame, key: str, id_col: str, vec_col: str, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """``key, id, best, pairs`` of every comparison of a left vector with a block; its best cosine there and the pairs looked at.
+
+    See ``best_match``, whose result is the greatest of each left vector.
+    """
+    kinds = dict(left.dtypes)
+    vec = F.col(vec_col).cast("array<double>")
+    slim = lambda df: df.select(F.col(key).alias("key"), F.col(id_col).alias("id"), vec.alias("v")).where(F.col("key").isNotNull()).distinct()
+    left, right = slim(left), slim(right)
+    row = f"key {kinds[key]}, id {kinds[id_col]}"
+
+    # The pivots of a key: right vectors first by hash, one for each block, no more than MOST_PIVOTS.
+    sizes = right.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("size") / block)).cast("int")
+    drawn = right.where(F.col("v").isNotNull()).join(sizes, "key")
+    drawn = drawn.withColumn("n", F.xxhash64("id", F.lit("pivot"), "v"))
+    share = F.lit(1 << 62) / F.col("size") * (4.0 * wanted + 40) * 2  # a few times as many as wanted are looked at
+    drawn = drawn.where(F.col("n").cast("double") + float(1 << 63) < share).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "v"))), F.lit(1), F.max(wanted)).alias("pivots"))
+    none = F.array(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("array<double>").alias("v")))
+    pivots = materialize(sizes.join(drawn, "key", "left").select("key", F.coalesce("pivots", none).alias("pivots")), "pivots")
+
+    def clustered(df: DataFrame, label: str) -> DataFrame:
+        rows = _blocks(df, ["key"], block, "rows").join(pivots, "key")
+        return materialize(rows.select("key", "rows", "pivots").mapInPandas(_nearest, f"{row}, v array<double>, cluster int, angle double"), label)
+
+    of, a = clustered(right, "right-clusters"), clustered(left, "left-clusters")
+    blocks = materialize(_blocks(of.select("key", "cluster", "id", "v"), ["key", "cluster"], block, "b"), "right-blocks")
+    reach = of.groupBy("key", "cluster").agg(F.max("angle").alias("reach"), F.max(F.coalesce(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), F.lit(0.0)) == 0).alias("zero"))
+    centre = pivots.select("key", F.posexplode("pivots").alias("cluster", "p")).select("key", "cluster", "p.v")
+    reach = reach.join(centre, ["key", "cluster"]).groupBy("key").agg(F.collect_list(F.struct("cluster", "reach", "zero", "v")).alias("clusters"))
+
+    def compared(rows: DataFrame, label: str) -> DataFrame:
+        both = _blocks(rows.select("key", "cluster", "id", "v"), ["key", "cluster"], block, "a").drop("part").join(blocks.drop("part"), ["key", "cluster"])
+        return materialize(both.select("key", "a", "b").mapInPandas(_compared(skip_self), f"{row}, best double, pairs long"), label)
+
+    first = compared(a, "own-clusters")
+    known = a.select("key", "id", "v", "cluster").join(first.groupBy("key", "id").agg(F.max("best").alias("best")), ["key", "id"], "left")
+    more = _blocks(known, ["key"], block, "rows").join(reach, "key").select("key", "rows", "clusters")
+    more = materialize(more.mapInPandas(_others, f"{row}, v array<double>, cluster int"), "further-clusters")
+    return first.unionByName(compared(more, "further"))
 
 
-def _best(a: list, b: list, skip_self: bool) -> tuple[list, list]:
-    cos = _unit(a) @ _unit(b).T
-    ids = [r["id"] for r in a]
-    if skip_self:
-        cos[np.asarray(ids)[:, None] == np.asarray([r["id"] for r in b])[None, :]] = -np.inf
-    best = cos.max(axis=1)
-    return ids, [float(x) if np.isfinite(x) else None for x in best]
+def best_match(left: DataFrame, right: DataFrame, key: str, id_col: str, vec_col: str, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """``key, id, best``: the highest cosine of each left vector over the right vectors of its key.
+
+    With ``skip_self`` a vector is not matched with the one of its own id.  A null
+    or zero vector has cosine 0 with everything.  A left vector without partners, or
+    without a key, is left out; rows that share an id give one row, with the best of all.
+    """
+    found = matched(left, right, key, id_col, vec_col, skip_self, block)
+    out = found.groupBy("key", "id").agg(F.max("best").alias("best")).where(F.col("best").isNotNull())
+    return out.select(F.col("key").alias(key), F.col("id").alias(id_col), "best")
 
 
 def match_stats(best: DataFrame, key: str) -> DataFrame:

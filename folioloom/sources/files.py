@@ -13,17 +13,34 @@ from pyspark.sql import functions as F
 DOCUMENTS = ("md", "html", "docx", "pdf", "txt")
 #: Largest file that is taken in, in bytes.
 MAX_BYTES = 500 * 1024 * 1024
+_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = DOCUMENTS) -> DataFrame:
-    """``path, stem, ext, content`` of the files in a folder, not below it.
+def incoming(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None, most_bytes: int = MAX_BYTES, stream: bool = False, files_per_trigger: int = 1000) -> DataFrame:
+    """``path, name, stem, ext, length, content, problem`` of the files in a folder, not below it; as a table or a stream.
 
-    Files over ``MAX_BYTES`` are left out by a filter on the length, which is
-    known before a file is read.
+    A file over ``most_bytes`` is not read: its content is null and ``problem`` says
+    ``too large``.  ``ext`` is in lower case, empty without a dot; ``extensions`` leaves other
+    files out, whatever the case of theirs.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path).where(F.col("length") <= MAX_BYTES)
-    name = F.substring_index("path", "/", -1)
-    return raw.select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.lower(F.substring_index(name, ".", -1)).alias("ext"), "content")
+
+    def read() -> DataFrame:
+        source = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).schema(_FILE) if stream else spark.read
+        return source.format("binaryFile").load(path)
+
+    # Two readings, so that the length alone of a large file is looked at.
+    small = read().where(F.col("length") <= most_bytes).select("path", "length", "content", F.lit(None).cast("string").alias("problem"))
+    large = read().where(F.col("length") > most_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("problem"))
+    both = small.unionByName(large)
+    name = F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B")))
+    out = both.withColumn("name", name).withColumn("ext", F.when(F.contains("name", F.lit(".")), F.lower(F.substring_index("name", ".", -1))).otherwise(""))
+    out = out.select("path", "name", F.regexp_replace("name", r"\.[^.]+$", "").alias("stem"), "ext", "length", "content", "problem")
+    return out if extensions is None else out.where(F.col("ext").isin(*[e.lower() for e in extensions]))
+
+
+def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = DOCUMENTS) -> DataFrame:
+    """``path, stem, ext, content, problem`` of the documents in a folder; see ``incoming`` for files that are too large."""
+    return incoming(spark, path, extensions).select("path", "stem", "ext", "content", "problem")
 
 
 def text_of(content: Column) -> Column:

@@ -210,3 +210,36 @@ def test_best_match_in_blocks(spark):
     for k in range(60):
         want = max(u[k] @ u[j] for j in range(60) if j != k and j % 2 == k % 2)
         assert got[k] == pytest.approx(want)
+
+
+def clustered_vectors(rng, n, centres, spread):
+    c = rng.standard_normal((centres, 16))
+    return c[rng.integers(0, centres, n)] + spread * rng.standard_normal((n, 16))
+
+
+@pytest.mark.parametrize("centres, spread, most", [(12, 0.05, 0.2), (400, 2.0, 1.0)])
+def test_best_match_passes_over_far_clusters(spark, centres, spread, most):
+    """Exact on clustered and on scattered vectors; of the first, few pairs are looked at."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = clustered_vectors(rng, 500, centres, spread), clustered_vectors(np.random.default_rng(5), 900, centres, spread)
+    a[3], b[7] = 0, 0
+    frame = lambda m: spark.createDataFrame([("k", i, [float(x) for x in r]) for i, r in enumerate(m)] + [("k", 7, None), (None, 1, [1.0] * 16), ("alone", 2, [1.0] * 16)][: 2 if m is b else 3], "g string, id long, e array<double>")
+    left, right = frame(a), frame(b)
+    found = vectors.matched(left, right, "g", "id", "e", block=30)
+    pairs = found.agg({"pairs": "sum"}).first()[0]
+    assert pairs <= most * 501 * 901
+    got = {(r.g, r.id): r.best for r in vectors.best_match(left, right, "g", "id", "e", block=30).collect()}
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    want = np.maximum((unit(a) @ unit(b).T).max(axis=1), 0)  # one right vector is null, another zero
+    assert set(got) == {("k", i) for i in range(500)}
+    assert [got["k", i] for i in range(500)] == pytest.approx(list(want))
+
+
+def test_best_match_of_repeats_and_nothing(spark):
+    rows = [("k", 1, [1.0, 0.0]), ("k", 1, [1.0, 0.0]), ("k", 1, [0.0, 1.0]), ("k", 2, [1.0, 0.0]), ("k", 3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "g string, id long, e array<double>")
+    got = {r.id: round(r.best, 9) for r in vectors.best_match(df, df, "g", "id", "e", skip_self=True, block=2).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.0}
+    assert vectors.best_match(df.limit(0), df, "g", "id", "e").count() == 0 and vectors.best_match(df, df.limit(0), "g", "id", "e").count() == 0
