@@ -32,7 +32,7 @@ from folioloom.plans.scratch import materialize
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: A shard is closed when it holds so many words.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 _PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 #: Not a byte of UTF-8.
 _BORDER = b"\xff"
