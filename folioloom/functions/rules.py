@@ -32,7 +32,8 @@ def java_pattern(pattern: str, flags: str = "") -> str:
 
 
 def re2_pattern(pattern: str, flags: str = "") -> str:
-    return (f"(?{flags})" if flags else "") + pattern
+    """The pattern for RE2, which never goes back over what it has read and so has no possessive ``++``."""
+    return (f"(?{flags})" if flags else "") + re.sub(r"(?<!\\)\+\+", "+", pattern)
 
 
 def _java_to(to: str) -> str:

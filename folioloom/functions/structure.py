@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioloom.functions.rules import Rule, apply, matches, occurrences, occurrences_sql, to_sql, trim, trim_sql
+from folioloom.functions.rules import Rule, apply, java_pattern, matches, occurrences, occurrences_sql, re2_pattern, sql_string, to_sql, trim, trim_sql
 
 # What counts as an element in each format.
 MD_COUNTS = {
@@ -66,21 +66,88 @@ def html_counts_sql(e: str) -> dict[str, str]:
     return {k: occurrences_sql(e, *v) for k, v in HTML_COUNTS.items()}
 
 
-#: Tags are line ends; what is left is the visible text, with entities read.
-HTML_PLAIN = [
-    Rule(r"<(script|style)[^>]*>[\s\S]*?</(script|style)>", "", "i"),
-    Rule(r"<[^>]+>", "\n"),
-    *[Rule(f"&{n};", t) for n, t in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&"))],
-    Rule(r"[ \t]*\n\s*", "\n"),
-]
+
+
+def _markup(values: str) -> str:
+    """Markup as a parser reads it, the first that fits: comments, elements whose content is no text, tags with quoted values, declarations."""
+    attributes = rf"""(?:[\s/](?:[^"'>]++|"[^"]*"|'[^']*'){values})?>"""
+    return "|".join([
+        r"<!--[\s\S]*?-->",
+        *[rf"<{tag}{attributes}[\s\S]*?</{tag}[\s/]*>" for tag in ("script", "style", "template")],
+        rf"</?[A-Za-z][^\s>/]*{attributes}",
+        r"</?[A-Za-z][^>]*>", r"<![^>]*>", r"<\?[^>]*>", r"</[^>]*>",
+    ])
+
+
+#: Java goes one call deeper for each value: a tag with over 200 of them ends at its first ``>``.
+MARKUP_JAVA, MARKUP_RE2 = _markup("{0,400}"), _markup("*")
+_CUT = "\x01"
+#: References to characters, the text between them, and a lone ampersand.
+REFERENCES = r"&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+#: What Python and browsers count as white space.
+_WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = rf"\A{_WHITE}+|{_WHITE}+\z"
+
+
+def named_characters() -> dict[str, str]:
+    """Characters by name, with the semicolon: the short list of HTML 4 first, as its names are the common ones."""
+    from html.entities import html5, name2codepoint
+
+    out = {f"&{n};": chr(c) for n, c in name2codepoint.items()}
+    return out | {f"&{n}": c for n, c in html5.items() if n.endswith(";") and f"&{n}" not in out}
+
+
+def numbered_characters() -> dict[int, str]:
+    """What stands for codes that are no characters: those of Windows, and U+FFFD for others."""
+    out = {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)}
+    return out | {0: "\ufffd"}
+
+
+def _decoded(text: Column) -> Column:
+    """A text with its character references read, each once."""
+    names = F.create_map(*[F.lit(x) for kv in named_characters().items() for x in kv])
+    codes = F.create_map(*[F.lit(x) for kv in numbered_characters().items() for x in kv])
+
+    def character(code: Column) -> Column:
+        valid = (code < 0xD800) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(codes, code), F.when(valid, plain), F.lit("\ufffd"))
+
+    def one(x: Column) -> Column:
+        bare = F.regexp_replace(x, ";$", "")
+        hexadecimal = F.conv(F.substr(bare, F.lit(4)), 16, 10).cast("int")
+        decimal = F.substr(bare, F.lit(3)).try_cast("int")
+        name = F.coalesce(F.try_element_at(names, F.concat(bare, F.lit(";"))), x)
+        is_hex, is_decimal = x.rlike("(?i)^&#x"), x.startswith("&#")
+        return F.when(is_hex, character(hexadecimal)).when(is_decimal, character(decimal)).when(x.startswith("&") & (F.length(x) > 1), name).otherwise(x)
+
+    parts = F.regexp_extract_all(text, F.lit(java_pattern(REFERENCES)), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def html_plain(c: Column) -> Column:
-    return trim(apply(c, HTML_PLAIN))
+    """The visible text of a page as a parser gives it: the pieces between markup, stripped, one to a line.
+
+    Comments, scripts, styles and templates are no text, a ``>`` in a quoted value ends no tag,
+    and a ``<`` that starts none is text.  Named and numeric references are read once.
+    """
+    cut = F.regexp_replace(F.replace(c, F.lit(_CUT), F.lit("")), java_pattern(MARKUP_JAVA, "i"), _CUT)
+    nodes = F.transform(F.filter(F.split(cut, _CUT), lambda x: trim(x) != ""), lambda x: F.regexp_replace(_decoded(x), java_pattern(_ENDS), ""))
+    return F.array_join(F.filter(nodes, lambda x: x != ""), "\n")
 
 
 def html_plain_sql(e: str) -> str:
-    return trim_sql(to_sql(e, HTML_PLAIN))
+    """The same for DuckDB."""
+    cut = f"regexp_replace(replace({e}, chr(1), ''), {sql_string(re2_pattern(MARKUP_RE2, 'i'))}, chr(1), 'g')"
+    names, codes = named_characters(), numbered_characters()
+    listed = lambda keys: "[" + ", ".join(sql_string(k) if isinstance(k, str) else str(k) for k in keys) + "]"
+    name = f"coalesce(map({listed(names)}, {listed(names.values())})[rtrim(x, ';') || ';'], x)"
+    number = lambda n: f"coalesce(map({listed(codes)}, {listed(codes.values())})[{n}], CASE WHEN {n} < 55296 OR ({n} > 57343 AND {n} <= 1114111) THEN chr({n}) END, chr(65533))"
+    decimal, hexadecimal = "TRY_CAST(rtrim(x[3:], ';') AS INT)", "('0x' || rtrim(x[4:], ';'))::INT"
+    one = f"CASE WHEN regexp_matches(x, '(?i)^&#x') THEN {number(hexadecimal)} WHEN starts_with(x, '&#') THEN {number(decimal)} WHEN starts_with(x, '&') AND length(x) > 1 THEN {name} ELSE x END"
+    decoded = f"CASE WHEN contains(t, '&') THEN array_to_string(list_transform(regexp_extract_all(t, {sql_string(REFERENCES)}), lambda x: {one}), '') ELSE t END"
+    nodes = f"list_transform(list_filter(string_split({cut}, chr(1)), lambda t: {trim_sql('t')} <> ''), lambda t: regexp_replace({decoded}, {sql_string(_ENDS)}, '', 'g'))"
+    return f"array_to_string(list_filter({nodes}, lambda t: t <> ''), chr(10))"
 
 
 def txt_counts(c: Column) -> Column:
