@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions.fidelity import grade
+from folioloom.operators.ranges import running
 
 
 def no_error() -> Column:
@@ -44,19 +45,22 @@ def pair_summary(rows: DataFrame) -> DataFrame:
 
 
 def global_stats(rows: DataFrame) -> DataFrame:
-    """One row: mean, grade, pairs, mean time, best and worst pair (of equal ones the last and first by name), errors."""
-    pairs = pair_summary(rows).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.max_by("pair", F.struct("mean_sfi", "pair")).alias("best_pair"),
-        F.min_by("pair", F.struct("mean_sfi", "pair")).alias("worst_pair"),
-    )
-    whole = rows.agg(
-        F.round(F.coalesce(F.avg(F.when(shown(), F.col("sfi_score"))), F.lit(0.0)), 6).alias("mean_sfi"),
-        F.round(F.coalesce(F.avg(F.when(shown(), F.col("processing_ms"))), F.lit(0.0)), 6).alias("mean_ms"),
-        F.count_if(~no_error()).alias("n_errors"),
-    )
-    one = F.lit(1)
-    return whole.withColumn("k", one).join(F.broadcast(pairs.withColumn("k", one)), "k").drop("k").withColumn("grade", grade(F.col("mean_sfi")))
+    """One row: mean, grade, pairs, mean time, best and worst pair (of equal ones the last and first by name), errors.
+
+    The rows are read once: sums by pair, then sums of those.
+    """
+    of = lambda c: F.when(shown(), F.col(c))
+    sums = rows.groupBy(pair().alias("pair")).agg(
+        F.sum(of("sfi_score")).alias("sfi"), F.sum(of("processing_ms")).alias("ms"), F.count_if(shown()).alias("n"), F.count(of("processing_ms")).alias("n_ms"),
+        F.count_if(~no_error()).alias("errors"), F.round(F.avg(of("sfi_score")), 6).alias("mean"),
+    )
+    ranked = F.when(F.col("n") > 0, F.struct("mean", "pair"))
+    mean = lambda s, n: F.round(F.coalesce(F.try_divide(F.sum(s), F.sum(n)), F.lit(0.0)), 6)
+    out = sums.agg(
+        mean("sfi", "n").alias("mean_sfi"), mean("ms", "n_ms").alias("mean_ms"), F.coalesce(F.sum("errors"), F.lit(0)).alias("n_errors"),
+        F.count_if(F.col("n") > 0).alias("n_pairs"), F.max_by("pair", ranked).alias("best_pair"), F.min_by("pair", ranked).alias("worst_pair"),
+    )
+    return out.withColumn("grade", grade(F.col("mean_sfi")))
 
 
 def search(rows: DataFrame, text: str) -> DataFrame:
@@ -65,9 +69,21 @@ def search(rows: DataFrame, text: str) -> DataFrame:
     return rows if not q else rows.where(F.contains(F.lower("file"), F.lit(q)) | F.contains(pair(), F.lit(q)))
 
 
+def in_locale(c: Column) -> Column:
+    """Text that compares as a reader of names expects: letters before case, accents beside their letters."""
+    return F.collate(c, "UNICODE")
+
+
 def ordered(rows: DataFrame, by: str = "sfi") -> DataFrame:
-    keys = {"sfi": [F.desc("sfi_score"), F.col("file")], "file": [F.col("file")], "pair": [pair(), F.col("file")]}
-    return rows.orderBy(*keys[by])
+    """By score, the highest first, or by file or pair in the order of names; equal ones by file, byte by byte."""
+    keys = {"sfi": [F.desc("sfi_score")], "file": [in_locale(F.col("file"))], "pair": [in_locale(pair())]}
+    return rows.orderBy(*keys[by], "file")
+
+
+def places(rows: DataFrame, name: str, to: str = "place") -> DataFrame:
+    """The place of each row in the order of names, from 1, equal ones byte by byte; no task holds them all."""
+    keyed = rows.withColumn("_all", F.lit(1)).withColumn("_name", in_locale(F.col(name)))
+    return running(keyed, ["_all"], ["_name", name], sums={to: F.lit(1)}, label="places").drop("_all", "_name")
 
 
 def read_results(text_rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioloom.functions import markup
 from folioloom.functions.detect import detect_text_format_sql
 from folioloom.functions.rules import trim_sql
-from folioloom.operators import jobs
+from folioloom.operators import jobs, report
 from folioloom.streaming import lifecycle
 
 # Events read as steps of jobs; a job is silent for a day before it is stuck, and kept for three.
@@ -105,5 +105,17 @@ l AS (SELECT c_custkey, unnest(kinds) AS kind, generate_subscripts(kinds, 1) - 1
 SELECT c_custkey, kind, count(*)::BIGINT AS n, sum(line)::BIGINT AS places FROM l GROUP BY 1, 2
 """
 
-QUERIES = {"events_job_lives": job_lives, "events_editor_formats": editor_formats, "orders_report_kinds": report_kinds}
-ORACLES = {"events_job_lives": JOB_LIVES_SQL, "events_editor_formats": EDITOR_SQL, "orders_report_kinds": REPORT_KINDS_SQL}
+def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different first word of the documents with its place in the order of names."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = d.select(F.regexp_extract("text", r"[^\x00-\x20]+", 0).alias("word")).where(F.col("word") != "").distinct()
+    return report.places(words, "word")
+
+
+LOCALE_SQL = r"""
+WITH w AS (SELECT DISTINCT regexp_extract(text, '[^\x00-\x20]+') AS word FROM documents)
+SELECT word, row_number() OVER (ORDER BY icu_sort_key(word, 'en'), word) AS place FROM w WHERE word <> ''
+"""
+
+QUERIES = {"documents_locale_order": locale_order, "events_job_lives": job_lives, "events_editor_formats": editor_formats, "orders_report_kinds": report_kinds}
+ORACLES = {"documents_locale_order": LOCALE_SQL, "events_job_lives": JOB_LIVES_SQL, "events_editor_formats": EDITOR_SQL, "orders_report_kinds": REPORT_KINDS_SQL}

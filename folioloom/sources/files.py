@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.sources import docx
+
 #: Extensions of documents that are scored.
 DOCUMENTS = ("md", "html", "docx", "pdf", "txt")
 #: Largest file that is taken in, in bytes.
@@ -71,55 +72,17 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def _docx(data: bytes) -> tuple[str, int, int, int, int, str]:
-    """Text, headings, tables, lists, links and simple HTML of a DOCX file."""
-    import html
-    import io
-    from xml.etree import ElementTree
-
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    texts, parts, heads, lists = [], [], 0, 0
-    for p in body.iter(f"{_W}p"):
-        text = "".join(t.text or "" for t in p.iter(f"{_W}t"))
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        name = style.get(f"{_W}val", "") if style is not None else ""
-        head = name.lower().startswith("heading")
-        item = name.lower().startswith("list") or p.find(f"{_W}pPr/{_W}numPr") is not None
-        heads, lists = heads + head, lists + item
-        if text:
-            texts.append(text)
-            level = "".join(c for c in name if c.isdigit()) or "1"
-            tag = f"h{level}" if head else "li" if item else "p"
-            parts.append(f"<{tag}>{html.escape(text, quote=False)}</{tag}>")
-    links = sum(1 for _ in body.iter(f"{_W}hyperlink"))
-    return "\n".join(texts), heads, sum(1 for _ in body.iter(f"{_W}tbl")), lists, links, "".join(parts)
-
-
 def read_docx(files: DataFrame) -> DataFrame:
-    """``path, plain, headings, tables, lists, links, html, problem`` of DOCX contents."""
+    """``path, plain, headings, tables, lists, links, html, problem`` of DOCX contents; see ``docx.read``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows.append((path, *_docx(data), None))
+                    rows.append((path, *docx.read(data), None))
                 except Exception as e:  # noqa: BLE001 - a broken file is reported, not fatal
                     rows.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "plain", "headings", "tables", "lists", "links", "html", "problem"])
 
     return files.select("path", "content").mapInPandas(run, "path string, plain string, headings int, tables int, lists int, links int, html string, problem string")
-
-
-def write_zip(df: DataFrame, name: str, data: str, to: str) -> None:
-    """Pack named contents into one zip file on the driver, one row at a time.
-
-    Rows are streamed a partition at a time, so the driver holds one partition.
-    """
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for row in df.select(name, data).toLocalIterator():
-            z.writestr(row[0], row[1] if isinstance(row[1], (str, bytes)) else bytes(row[1]))
