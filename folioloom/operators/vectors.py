@@ -22,6 +22,8 @@ from folioloom.plans.scratch import materialize
 
 #: Vectors in one block of one side, and most pivots of a key.
 BLOCK, MOST_PIVOTS = 1024, 1024
+#: Texts that the encoder gets in one call, about.
+ENCODED_AT_ONCE = 1024
 #: By how much angles are widened, far above their rounding errors.
 _SLACK = 1e-6
 
@@ -163,25 +165,35 @@ def hashed_bag(texts: list[str], dim: int = 512) -> np.ndarray:
 def score_semantic(source: Column, target: Column, encoder: Callable[[list[str]], np.ndarray] = hashed_bag) -> Column:
     """Struct of chunks, mean, min and max similarity of two texts' chunks.
 
-    Each source chunk counts with its best target chunk.  Without chunks on a
+    Each source chunk counts with its best target chunk; the encoder is called with the
+    chunks of many rows at once.  Without chunks on a
     side the first 3000 characters stand for it; a blank text gives zeros.
     """
     from folioloom.functions.fidelity import split_chunks
 
     @F.pandas_udf("chunks long, mean double, min double, max double")
     def compare(a: pd.Series, b: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.DataFrame:
-        rows = []
+        sides = []
         for x, y, tx, ty in zip(a, b, ta, tb):
             x, y = list(x if x is not None else []), list(y if y is not None else [])
             if not x or not y:
                 x, y = ([t[:3000]] if t and t.strip() else [] for t in (tx, ty))
-            if not x or not y:
-                rows.append((0, 0.0, 0.0, 0.0))
-                continue
-            ex, ey = encoder(x), encoder(y)
-            n = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
-            best = (n(ex) @ n(ey).T).max(axis=1)
-            rows.append((len(x), round(float(best.mean()), 4), round(float(best.min()), 4), round(float(best.max()), 4)))
+            sides.append((x, y) if x and y else ([], []))
+        rows, lo = [], 0
+        while lo < len(sides):  # the encoder sees the chunks of many rows at once
+            hi, texts = lo, []
+            while hi < len(sides) and len(texts) < ENCODED_AT_ONCE:
+                texts += sides[hi][0] + sides[hi][1]
+                hi += 1
+            vectors, at = encoder(texts) if texts else np.zeros((0, 1)), 0
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            vectors = np.divide(vectors, norms, out=np.zeros_like(vectors, dtype=np.float64), where=norms > 0)
+            for x, y in sides[lo:hi]:
+                left, right = vectors[at : at + len(x)], vectors[at + len(x) : at + len(x) + len(y)]
+                at += len(x) + len(y)
+                best = (left @ right.T).max(axis=1) if x else np.zeros(1)
+                rows.append((len(x), *(round(float(f(best)), 4) for f in (np.mean, np.min, np.max))))
+            lo = hi
         return pd.DataFrame(rows, columns=["chunks", "mean", "min", "max"])
 
     return compare(split_chunks(source), split_chunks(target), source, target)

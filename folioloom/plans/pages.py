@@ -54,7 +54,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.regexp_replace("t.md", r"\s", ""), F.lit("")) == "").alias("blank"), F.coalesce(F.length("html"), F.lit(0)).alias("n_chars"),
         F.regexp_count("t.plain", F.lit(java_pattern(*structure.FORMULAS_ELSEWHERE))).alias("f"),
     )
-    return out.withColumn("s", F.col("s").withField("formulas", F.col("f")))
+    # Bound again, or the scores, which use each count several times, would count again each time.
+    out = out.withColumn("s", F.col("s").withField("formulas", F.col("f"))).drop("f")
+    return out.select(F.explode(F.array(F.struct(*out.columns))).alias("b")).select("b.*")
 
 
 _MD, _HTML = structure.md_counts_sql("md"), structure.html_counts_sql("html")
@@ -107,9 +109,8 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     the score is the mean of the two others; the thousands of characters read stand for
     the milliseconds, which no two runs would share.
     """
-    one = F.struct("page_id", "url", "blank", "n_chars", "structural", "functional", F.round(F.col("structural") * 0.5 + F.col("functional") * 0.5, 4).alias("sfi"))
-    s = with_scores(scored(spark, sf_dir)).select(F.explode(F.array(one)).alias("s")).select("s.*")
-    sfi, failed = F.col("sfi"), F.col("blank")
+    s = with_scores(scored(spark, sf_dir))
+    sfi, failed = F.round(F.col("structural") * 0.5 + F.col("functional") * 0.5, 4), F.col("blank")
     return s.select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("file"), _group().alias("src_format"), F.lit("md").alias("tgt_format"),
         F.when(failed, 0.0).otherwise(sfi).alias("sfi_score"), F.when(failed, "").otherwise(fidelity.grade(sfi)).alias("grade"), "structural",
