@@ -40,18 +40,25 @@ _STRIDE = 1 << 16
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Subject to the Apache 2.0 license",
+        "Apache License, Version 2.0, January 2004",
+        "Unless required by applicable law or agreed to in writing, software distributed under the Apache License is distributed on an AS IS basis",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "MIT License, Copyright (c)",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
     "bsd": [
         "Licensed under the BSD License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer",
         "Released under the 3-Clause BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license",
@@ -61,6 +68,9 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Licensed under the GNU General Public License, version 2.",
+        "Permission is granted under GPLv3",
+        "Licensed under the GNU GPL v3",
+        "Licensed under the GPLv2 or later",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
@@ -85,13 +95,15 @@ TEMPLATES: dict[str, list[str]] = {
     "proprietary": ["All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission.", "This document is confidential and proprietary; unauthorized copying is prohibited."],
 }
 FAMILIES = sorted(TEMPLATES)
+#: Lines of a text that are scored at once; a licence that goes on is left to the next ones.
+LINES_AT_ONCE = 4096
 
 _SIGNS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def words_of(paragraph: str) -> list[bytes]:
-    """Lower-cased words; ASCII signs are spaces."""
-    return paragraph.encode("utf-8", "surrogatepass").lower().translate(_SIGNS).split()
+    """Lower-cased words, "licence" as "license"; ASCII signs are spaces."""
+    return paragraph.encode("utf-8", "surrogatepass").lower().replace(b"licence", b"license").translate(_SIGNS).split()
 
 
 def _grams(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,20 +150,24 @@ class Model:
             z[own[first]] += np.diff(sums, axis=0, prepend=0.0)
         return _softmax((z / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias) / self.temperature)
 
-    def wrapped(self, lines: list[tuple[int, list[bytes]]], ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, list[bytes]]]:
-        """(first line, lines, words) of runs of neighbouring lines that all hold telling pairs."""
-        hits = np.bincount(np.repeat(np.arange(len(lines)), sizes)[self.telling[ids] > 0], minlength=len(lines))
-        if np.count_nonzero(hits) < 2:
-            return []
-        out, k = [], 0
-        while k < len(lines):
-            end = k
-            while end < len(lines) and hits[end] > 0 and lines[end][0] - lines[k][0] == end - k:
-                end += 1
-            if end - k > 1:
-                out.append((lines[k][0], end - k, [w for _, x in lines[k:end] for w in x]))
-            k = max(end, k + 1)
-        return out
+    def telling_lines(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which lines hold a telling pair."""
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes)[self.telling[ids] > 0], minlength=len(sizes)) > 0
+
+
+def _runs(lines: list[tuple[int, list[bytes]]], telling: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of more than one line that may be a wrapped licence, and of the last one, whatever its length.
+
+    Lines with telling pairs belong together if at most one line without stands between two
+    of them; a line without words ends a paragraph.
+    """
+    at = np.flatnonzero(telling)
+    if not len(at):
+        return []
+    numbers = np.asarray([lines[i][0] for i in at])
+    cut = np.flatnonzero((np.diff(at) > 2) | (np.diff(numbers) != np.diff(at))) + 1
+    ends = np.r_[cut, len(at)]
+    return [(int(at[i]), int(at[j - 1]) + 1) for i, j in zip(np.r_[0, cut], ends)]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -266,23 +282,32 @@ def scan_text(model: Model, text: str | None) -> tuple[int, list[tuple[int, str,
 
     A family whose score is under the calibrated least, or that no template
     confirms, is reported as ``unknown`` and not confirmed.  A licence wrapped over
-    several lines is reported at the first of them, if no single line confirms it.
+    several lines, with at most one odd line between two of its own, is reported at the
+    first of them, if no single line confirms it; it may stand anywhere in the text.
     """
     lines = [(k, w) for k, w in ((k, words_of(p)) for k, p in enumerate((text or "").split("\n"))) if w]
     out: list[tuple[int, str, float, bool]] = []
-    for lo in range(0, len(lines), 4096):
-        part = lines[lo : lo + 4096]
+    lo, size = 0, LINES_AT_ONCE
+    while lo < len(lines):
+        part = lines[lo : lo + size]
         ids, sizes = _grams([w for _, w in part])
+        runs = _runs(part, model.telling_lines(ids, sizes)) if model.telling is not None else []
+        if runs and lo + size < len(lines) and runs[-1][1] >= len(part) - 1:  # the last run may go on: it is left to the next lines
+            if runs[-1][0] == 0:
+                size *= 2
+                continue
+            part, runs = part[: runs[-1][0]], runs[:-1]
+            ids, sizes = ids[: sizes[: len(part)].sum()], sizes[: len(part)]
         found = _found(model, part, model.of_grams(ids, sizes))
         single = {(k, f) for k, f, _, sure in found if sure}
-        runs = model.wrapped(part, ids, sizes) if model.telling is not None else []
-        joined = [(k, w) for k, _, w in runs]
-        n_lines = {k: n for k, n, _ in runs}
+        joined = [(part[i][0], [w for _, x in part[i:j] for w in x]) for i, j in runs if j - i > 1]
+        last = {part[i][0]: part[j - 1][0] for i, j in runs}
         for k, family, score, sure in _found(model, joined, model.probabilities([w for _, w in joined])) if joined else []:
-            own = range(k, k + n_lines[k])
+            own = range(k, last[k] + 1)
             if sure and not any(n in own and f == family for n, f in single):
                 found = [x for x in found if x[0] not in own or x[3]] + [(k, family, score, sure)]
         out += found
+        lo, size = lo + len(part), LINES_AT_ONCE
     return len(lines), sorted(out)
 
 

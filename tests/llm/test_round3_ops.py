@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioloom.llm import collocations, prefix_trie, queries, simhash
+from folioloom.llm import collocations, license_scan, prefix_trie, queries, simhash
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -284,3 +284,46 @@ def test_manhattan_is_a_lower_bound(spark):
 def test_larger_distance_is_an_error(spark):
     with pytest.raises(ValueError):
         simhash.linked_fingerprints(spark.createDataFrame([(1,)], "v long"), 4)
+
+
+# --- 3 licence scan: borders, odd lines and wordings that no template spells ----
+
+BSD = ["Redistribution and use in source and binary", "forms, with or without modification, are permitted", "provided that the following conditions are met"]
+
+
+@pytest.fixture(scope="module")
+def licences(spark, sf_dir):
+    return license_scan.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def confirmed(model, text):
+    return [(k, f) for k, f, _, sure in license_scan.scan_text(model, text)[1] if sure]
+
+
+def test_wrapped_licence_at_every_border(licences, monkeypatch):
+    monkeypatch.setattr(license_scan, "LINES_AT_ONCE", 8)
+    for at in range(30):
+        lines = [f"plain words number {k} here" for k in range(40)]
+        lines[at : at + 3] = BSD
+        assert confirmed(licences, "\n".join(lines)) == [(at, "bsd")], at
+    assert confirmed(licences, "\n".join(["plain words", *BSD * 20, "end"]))  # a run longer than any block
+
+
+def test_wrapped_licence_around_odd_lines(licences):
+    assert confirmed(licences, "\n".join(["a b", BSD[0], "plain words stand between", BSD[1], BSD[2], "c d"])) == [(1, "bsd")]
+    assert confirmed(licences, "\n".join([BSD[0], "plain words", "more of them", "and more", BSD[1]])) == []
+
+
+@pytest.mark.parametrize("text, family", [
+    ("Copyright 2020. Licensed under the MIT Licence", "mit"), ("Subject to the Apache 2.0 license", "apache-2.0"), ("Permission is granted under GPLv3", "gpl"),
+    ("This software is released under the MIT licence, see the file.", "mit"), ("Code is licensed under the Apache License, version 2.0, by its authors", "apache-2.0"),
+    ("(c) 2019, distributed and licensed under the BSD license", "bsd"), ("It is licensed under the GNU GPL v3 as a whole", "gpl"),
+    ("All text here is licensed under CC BY-SA 4.0 unless noted", "cc-by-sa"),
+])
+def test_held_out_wordings(licences, text, family):
+    assert [f for _, f in confirmed(licences, text)] == [family]
+
+
+@pytest.mark.parametrize("text", ["Licensed under the Frobnicate License, version 9.", "the license of the driver was renewed in 2020", "permission is granted to enter the building"])
+def test_no_licence(licences, text):
+    assert confirmed(licences, text) == []
