@@ -5,16 +5,17 @@ order of its suffixes by their first words comes from prefix doubling in numpy.
 neighbours whose longest common prefix is at least k words are the distinct k-grams of the
 shard with their counts; these are merged by key over all shards.
 
-A phrase can only be frequent if all its parts are, so shards are read four times: for words,
-for pairs of frequent words, for three words that frequent pairs link, and for four and five
-that frequent triples link.  Each pass hands to a shard what is frequent of its own words,
-pairs or triples, so what comes back is bounded by the shard, and all counts stay exact: only
-n-grams with an infrequent part are left out, whose counts nothing needs.
-
-Scale: a shard has ``SHARD_TOKENS`` words, or those of one document if that is longer.  The
-rows of a key in a merge are at most one for each shard.  Texts are read once; shards
-travel as arrays of numbers, their bytes in planes, which compress.  Across shards a word is
-told by 64 bits of hash.
+A phrase can only be frequent if the pairs in it are, so shards are read twice.  First every
+pair of every shard is counted, under 48 bits of hash, and each shard is told which of its
+pairs may be frequent.  Then the shard's stretches of such pairs are mined for 2 to 5 words, and
+these are merged by their words.  The hash lets a few pairs too many through, none too few, and the
+counts are those of the second reading, so they are exact; only n-grams with an infrequent
+part are left out, whose counts nothing needs.
+
+Scale: a shard has ``SHARD_TOKENS`` words, or those of one document if that is longer, and the
+pairs that come back to it are some of its own.  The rows of a key in a merge are at most one
+for each shard.  Texts are read once; shards travel as packed arrays of numbers.  Across shards a
+word is told by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,30 +35,27 @@ from folioloom.plans.scratch import materialize
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: A shard is closed when it holds so many words.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 3 << 19
 _PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 #: Not a byte of UTF-8.
 _BORDER = b"\xff"
 _TO_BORDER = bytes.maketrans(_PUNCTUATION, _BORDER * len(_PUNCTUATION))
 _ROWS = 1 << 16
 
-_SHARDS = pa.schema([("shard", pa.int64()), ("id", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 _WORDS = [f"w{k + 1}" for k in range(LONGEST)]
+_SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary()), ("numbers", pa.binary())])
+_PAIRS = pa.schema([("shard", pa.int64()), ("pair", pa.int64()), ("n", pa.int64())])
+_NGRAMS = pa.schema([*[(w, pa.int64()) for w in _WORDS], ("n", pa.int64())])
+_PAIR_BITS = np.uint64((1 << 48) - 1)
 
 
-def _ngrams(length: int) -> pa.Schema:
-    """Rows of n-grams of a shard, and the shard itself: local ids and the numbers they stand for."""
-    words = [(w, pa.int64()) for w in _WORDS[:length]]
-    return pa.schema([("shard", pa.int64()), *words, ("n", pa.int64()), ("ids", pa.binary()), ("numbers", pa.binary())])
+def _packed(seq: np.ndarray) -> bytes:
+    """First all low bytes, then all second ones, and so on, compressed: the high ones are nearly all alike."""
+    return zstandard.compress(np.ascontiguousarray(seq.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _planes(seq: np.ndarray) -> bytes:
-    """First all low bytes, then all second ones, and so on: the high planes are nearly empty."""
-    return np.ascontiguousarray(seq.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -122,13 +122,15 @@ def _sharded(tokens: int):
         def closed() -> Iterator[pa.RecordBatch]:
             seq = _without_repeated_borders(np.concatenate(parts))
             counts = np.bincount(seq, minlength=len(names) + 1)
-            columns = [[first + made], [0], [None], [None], [None], [_planes(seq)]]
+            seeds = {lang: xxhash.xxh64_intdigest(lang, 42) for lang in numbers}
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seeds[lang]) for lang, w in names), dtype=np.uint64, count=len(names))
+            columns = [[first + made], [None], [None], [None], [_packed(seq)], [np.r_[np.uint64(0), hashes].tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARDS)], schema=_SHARDS)
             for lo in range(0, len(names), _ROWS):
-                part = names[lo : lo + _ROWS]
-                ids = np.arange(lo + 1, lo + len(part) + 1, dtype=np.int32)
+                part, none = names[lo : lo + _ROWS], pa.nulls(len(names[lo : lo + _ROWS]), pa.binary())
                 words = pa.array([w for _, w in part], pa.binary()).cast(pa.string())
-                columns = [pa.array(np.full(len(part), first + made)), pa.array(ids), pa.array([lang for lang, _ in part], pa.string()), words, pa.array(counts[ids]), pa.nulls(len(part), pa.binary())]
+                n = counts[lo + 1 : lo + len(part) + 1]
+                columns = [pa.array(np.full(len(part), first + made)), pa.array([lang for lang, _ in part], pa.string()), words, pa.array(n), none, none]
                 yield pa.RecordBatch.from_arrays(columns, schema=_SHARDS)
 
         names, numbers, parts, size = [], {}, [], 0
@@ -150,11 +152,6 @@ def _sharded(tokens: int):
     return run
 
 
-def _entries(batch: pa.RecordBatch, row: int, fields: list[str]) -> list[np.ndarray]:
-    entries = batch.column("frequent")[row].values
-    return [np.asarray(entries.field(f)) for f in fields]
-
-
 def _mixed(words: list[np.ndarray]) -> np.ndarray:
     """One number for a row of words; it may stand for several rows, which lets more through and loses nothing."""
     out = np.zeros(len(words[0]), dtype=np.uint64)
@@ -165,58 +162,53 @@ def _mixed(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(seq: np.ndarray, numbers: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
-    """The stretches of ``seq`` whose windows of so many words are all known, where they hold more than one window."""
-    k = len(known)
-    if len(seq) < k:
+def _pair_numbers(numbers: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (_mixed([numbers[first], numbers[second]]) & _PAIR_BITS).astype(np.int64)
+
+
+def _linked(seq: np.ndarray, numbers: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The stretches of ``seq`` whose pairs of neighbours are all known, each with a border behind it."""
+    if len(seq) < 2:
         return seq[:0]
-    windows = len(seq) - k + 1
-    at = [seq[i : windows + i] for i in range(k)]
-    whole = np.logical_and.reduce([a > 0 for a in at])
-    good = whole & np.isin(_mixed([numbers[a] for a in at]), _mixed(known))
+    good = (seq[:-1] > 0) & (seq[1:] > 0) & np.isin(_pair_numbers(numbers, seq[:-1], seq[1:]), known)
     turns = np.diff(np.r_[0, good.astype(np.int8), 0])
-    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
-    longer = ends - starts > 1
-    starts, sizes = starts[longer], (ends - starts)[longer] + k - 1
-    firsts = np.r_[0, np.cumsum(sizes + 1)]  # a border after each stretch
+    starts, sizes = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1) - np.flatnonzero(turns == 1) + 1
+    firsts = np.r_[0, np.cumsum(sizes + 1)]
     take = np.arange(firsts[-1]) + np.repeat(starts - firsts[:-1], sizes + 1)
     out = seq[np.minimum(take, len(seq) - 1)]
     out[firsts[1:] - 1] = 0
     return out
 
 
-def _counted(known: int, lengths: tuple[int, ...]):
-    """N-grams of these lengths in the stretches of each shard that its known n-grams link, and what is left of the shard.
+def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, shard, local ids, numbers by local id)."""
+    for row in range(batch.num_rows):
+        numbers = np.frombuffer(batch.column("numbers")[row].as_py(), dtype=np.int64)
+        yield row, batch.column("shard")[row].as_py(), _unpacked(batch.column("ids")[row].as_py()), numbers
 
-    With 1 known word the shard's own words are numbered: those not frequent become borders.
-    """
-    schema = _ngrams(max(lengths))
-    words = len(schema) - 4
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                shard, seq = batch.column("shard")[row].as_py(), _from_planes(batch.column("ids")[row].as_py())
-                if known == 1:
-                    local, number = _entries(batch, row, ["id", "number"])
-                    to, numbers = np.zeros(int(seq.max(initial=0)) + 1, dtype=np.int32), np.r_[0, number]
-                    to[local] = np.arange(1, len(local) + 1)
-                    seq = _without_repeated_borders(to[seq])
-                else:
-                    numbers = np.frombuffer(batch.column("numbers")[row].as_py(), dtype=np.int64)
-                    seq = _linked(seq, numbers, _entries(batch, row, _WORDS[:known]))
-                    used, seq = np.unique(np.r_[0, seq], return_inverse=True)
-                    numbers, seq = numbers[used], seq[1:].astype(np.int32)
-                columns = [[shard], *[[None]] * (words + 1), [_planes(seq)], [numbers.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-                for grams, counts in ngram_counts(seq, lengths).values():
-                    for lo in range(0, len(counts), _ROWS):
-                        part, n = numbers[grams[lo : lo + _ROWS]], counts[lo : lo + _ROWS]
-                        of = [pa.array(part[:, k].copy()) if k < part.shape[1] else pa.nulls(len(n), pa.int64()) for k in range(words)]
-                        none = pa.nulls(len(n), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard)), *of, pa.array(n), none, none], schema=schema)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pair of words of each shard with its count."""
+    for batch in batches:
+        for _, shard, seq, numbers in _shards_of(batch):
+            grams, counts = ngram_counts(seq, (2,))[2]
+            pairs = _pair_numbers(numbers, grams[:, 0], grams[:, 1])
+            order = np.argsort(pairs)
+            for lo in range(0, len(order), _ROWS):
+                at = order[lo : lo + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(pairs[at]), pa.array(counts[at])], schema=_PAIRS)
 
-    return run
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of 2 words and more in the stretches of each shard that its frequent pairs link, with their counts."""
+    for batch in batches:
+        for row, _, seq, numbers in _shards_of(batch):
+            seq = _linked(seq, numbers, np.asarray(batch.column("frequent")[row].values))
+            for grams, counts in ngram_counts(seq, tuple(range(2, LONGEST + 1))).values():
+                for lo in range(0, len(counts), _ROWS):
+                    part, n = numbers[grams[lo : lo + _ROWS]], counts[lo : lo + _ROWS]
+                    words = [pa.array(part[:, k].copy()) if k < part.shape[1] else pa.nulls(len(n), pa.int64()) for k in range(LONGEST)]
+                    yield pa.RecordBatch.from_arrays([*words, pa.array(n)], schema=_NGRAMS)
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -234,38 +226,21 @@ def frequent_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, shard_tokens: i
     """
     src = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
     shards = materialize(src.mapInArrow(_sharded(shard_tokens), _ddl(_SHARDS)), "shards")
-    vocabulary = shards.where(F.col("ids").isNull()).select("shard", "id", "lang", "word", "n")
-    # Every word of a shard learns its count over all; the first shard of a word names it.
-    of_word = Window.partitionBy("lang", "word").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = vocabulary.withColumn("f", F.sum("n").over(of_word)).withColumn("first", F.first("shard").over(of_word)).where(F.col("f") >= min_count)
-    first, number = F.col("shard") == F.col("first"), F.xxhash64("lang", "word").alias("number")
-    found = materialize(found.select("shard", "id", number, "f", F.when(first, F.col("lang")).alias("lang"), F.when(first, F.col("word")).alias("word")), "words")
-    names = found.where(F.col("word").isNotNull()).select("number", "lang", "word", "f")
-    grams = names.select(F.array("number").alias("words"), "f")
-
-    known, rows = found.select("shard", "id", "number"), shards
-    for k in (2, 3):
-        of = [F.col(w) for w in _WORDS[:k]]
-        rows = materialize(_with_known(rows, known).mapInArrow(_counted(k - 1, (k,)), _ddl(_ngrams(k))), f"counts-{k}")
-        total = F.sum("n").over(Window.partitionBy(*of))
-        known = rows.where(F.col("ids").isNull()).select("shard", *of, "n").withColumn("f", total).where(F.col("f") >= min_count)
-        known = materialize(known.select("shard", *of, "f"), f"frequent-{k}")
-        grams = grams.unionByName(known.groupBy(*of).agg(F.first("f").alias("f")).select(F.array(*of).alias("words"), "f"))
-    long = tuple(range(4, LONGEST + 1))
-    last = _with_known(rows, known).mapInArrow(_counted(3, long), _ddl(_ngrams(LONGEST))).where(F.col("ids").isNull())
-    last = last.groupBy(*_WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    grams = grams.unionByName(last.select(F.array_compact(F.array(*_WORDS)).alias("words"), "f"))
+    vocabulary, packed = shards.where(F.col("ids").isNull()), shards.where(F.col("ids").isNotNull()).select("shard", "ids", "numbers")
+    names = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    names = materialize(names.select(F.xxhash64("lang", "word").alias("number"), "lang", "word", "f"), "words")
+
+    pairs = packed.mapInArrow(_pairs, _ddl(_PAIRS))
+    total = F.sum("n").over(Window.partitionBy("pair"))
+    frequent = materialize(pairs.withColumn("f", total).where(F.col("f") >= min_count).select("shard", "pair"), "frequent-pairs")
+    # Both sides grow with the corpus, so they are merged at every size.
+    known = frequent.groupBy("shard").agg(F.collect_list("pair").alias("frequent"))
+    found = packed.join(known.hint("merge"), "shard").mapInArrow(_phrases, _ddl(_NGRAMS))
+    found = found.groupBy(*_WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    grams = names.select(F.array("number").alias("words"), "f").unionByName(found.select(F.array_compact(F.array(*_WORDS)).alias("words"), "f"))
     return materialize(grams, "ngrams"), names.select("number", "lang", "word"), vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _with_known(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Each shard with the list of what is frequent of its own; merged by shard at every size, as both sides grow."""
-    entries = [c for c in known.columns if c not in ("shard", "f")]
-    lists = known.groupBy("shard").agg(F.collect_list(F.struct(*entries)).alias("frequent"))
-    shard = [c for c in rows.columns if c in ("shard", "ids", "numbers")]
-    return rows.where(F.col("ids").isNotNull()).select(*shard).join(lists.hint("merge"), "shard")
-
-
 def _wide(c: str) -> Column:
     return F.col(c).cast("decimal(18,0)")
 
