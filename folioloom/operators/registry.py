@@ -151,10 +151,15 @@ def by_category(spark: SparkSession) -> DataFrame:
     return formats(spark).groupBy("category").agg(F.array_join(listed, " ").alias("formats"), F.count(F.lit(1)).alias("n"))
 
 
+def counts_by_category(rows: DataFrame) -> DataFrame:
+    """Rows by their ``category``, and all of them."""
+    out = rows.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.grouping("category").alias("g"))
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("category")).alias("category"), "n")
+
+
 def template_counts(spark: SparkSession) -> DataFrame:
     """Templates by category, and all of them."""
-    out = templates(spark).rollup("category").agg(F.count(F.lit(1)).alias("n"), F.grouping("category").alias("g"))
-    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("category")).alias("category"), "n")
+    return counts_by_category(templates(spark))
 
 
 def conversion_tasks(files: DataFrame, wanted: DataFrame) -> DataFrame:

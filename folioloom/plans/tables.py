@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.functions import convert, detect, sqlrewrite
@@ -20,57 +20,104 @@ _FMT = _values(registry.format_rows(), "ordinal, format, label, mime, extension,
 _TPL = _values(registry.template_rows(), "ordinal, id, title, description, category, format")
 
 
-def outputs(spark: SparkSession, _: str) -> DataFrame:
-    """Targets by source, with labels and types looked up."""
-    f = registry.formats(spark).select(F.col("format").alias("target"), "label", "mime", "extension")
-    return registry.conversions(spark).join(F.broadcast(f), "target").select("source", "target", "label", "mime", "extension")
+_FORMATS = [r[1] for r in registry.format_rows()]
 
 
-OUTPUTS_SQL = f"SELECT source, target, label, mime, extension FROM {_CONV} JOIN (SELECT * FROM {_FMT}) f ON target = f.format"
+def _listed(values: list[str], at: str) -> str:
+    """A DuckDB expression that takes one of the values by number."""
+    return f"([{', '.join(sql_string(v) for v in values)}])[({at}) % {len(values)} + 1]"
 
 
-def output_counts(spark: SparkSession, _: str) -> DataFrame:
-    return registry.output_counts(spark)
+def _one_of(values: list[str], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(at, F.lit(len(values))) + 1).cast("int"))
 
 
-OUTPUT_COUNTS_SQL = f"SELECT f.format, count(c.target)::BIGINT AS n_outputs FROM (SELECT * FROM {_FMT}) f LEFT JOIN (SELECT * FROM {_CONV}) c ON f.format = c.source GROUP BY 1"
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a request for a conversion: formats, file name and quality go by its id."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.col("doc_id")
+    name = F.when(k % 13 == 0, "").when(k % 17 == 0, F.lit("x" * 300)).otherwise(F.concat(F.coalesce("source", F.lit("")), F.lit("."), _one_of(_FORMATS, k)))
+    quality = F.when(k % 11 != 0, k % 120 - 5).cast("int")
+    return d.select("doc_id", F.col("text").alias("content"), name.alias("file_name"), _one_of(_FORMATS, k).alias("source"), _one_of(_FORMATS, 7 * k + 3).alias("target"), quality.alias("quality"))
 
 
-def by_category(spark: SparkSession, _: str) -> DataFrame:
-    return registry.by_category(spark)
+_REQUESTS = f"""(SELECT doc_id, text AS content, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN repeat('x', 300) ELSE coalesce(source, '') || '.' || {_listed(_FORMATS, 'doc_id')} END AS file_name,
+  {_listed(_FORMATS, 'doc_id')} AS source, {_listed(_FORMATS, '7 * doc_id + 3')} AS target, CASE WHEN doc_id % 11 <> 0 THEN (doc_id % 120 - 5)::INT END AS quality FROM documents)"""
 
 
-BY_CATEGORY_SQL = f"SELECT category, string_agg(format, ' ' ORDER BY ordinal) AS formats, count(*)::BIGINT AS n FROM {_FMT} GROUP BY category"
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target that each document could have, with label and type looked up."""
+    f = registry.formats(spark).select(F.col("format").alias("to"), "label", "mime", "extension")
+    offered = registry.conversions(spark).select(F.col("source").alias("of"), F.col("target").alias("to")).join(F.broadcast(f), "to")
+    return requests(spark, sf_dir).join(F.broadcast(offered), F.col("source") == F.col("of")).select("doc_id", "source", F.col("to").alias("target"), "label", "mime", "extension")
 
 
-def template_counts(spark: SparkSession, _: str) -> DataFrame:
-    return registry.template_counts(spark)
+OUTPUTS_SQL = f"SELECT doc_id, r.source, c.target, label, mime, extension FROM {_REQUESTS} r JOIN (SELECT * FROM {_CONV}) c ON r.source = c.source JOIN (SELECT * FROM {_FMT}) f ON c.target = f.format"
 
 
-TEMPLATE_COUNTS_SQL = f"SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, count(*)::BIGINT AS n FROM {_TPL} GROUP BY ROLLUP (category)"
+def output_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every format, and how many targets each has."""
+    n = requests(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))
+    out = registry.output_counts(spark).join(n, F.col("format") == F.col("source"), "left")
+    return out.select("format", "n_outputs", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
-def reconvert(spark: SparkSession, _: str) -> DataFrame:
-    return registry.reconvert_menu(spark, "md", "pdf")
+OUTPUT_COUNTS_SQL = f"""WITH n AS (SELECT source, count(*) AS n FROM {_REQUESTS} GROUP BY 1)
+SELECT f.format, count(c.target)::BIGINT AS n_outputs, coalesce(any_value(n.n), 0)::BIGINT AS n_documents
+FROM (SELECT * FROM {_FMT}) f LEFT JOIN (SELECT * FROM {_CONV}) c ON f.format = c.source LEFT JOIN n ON n.source = f.format GROUP BY 1"""
 
 
-RECONVERT_SQL = f"SELECT target FROM {_CONV} WHERE source = 'md' AND target <> 'pdf'"
+def by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats of each category and the documents that have one of them."""
+    kinds = registry.formats(spark).select("format", "category")
+    n = requests(spark, sf_dir).join(F.broadcast(kinds), F.col("source") == F.col("format")).groupBy("category").agg(F.count(F.lit(1)).alias("n_documents"))
+    return registry.by_category(spark).join(n, "category", "left").select("category", "formats", "n", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
-#: A small folder: stems by extension.
-FILES = [(f"{s}.{e}", s, e) for s, es in {"readme": "md html txt", "paper": "md html", "notes": "txt", "form": "docx", "scan": "pdf"}.items() for e in es.split()]
 
+BY_CATEGORY_SQL = f"""WITH n AS (SELECT category, count(*) AS n FROM {_REQUESTS} r JOIN (SELECT * FROM {_FMT}) f ON f.format = r.source GROUP BY 1)
+SELECT f.category, string_agg(format, ' ' ORDER BY ordinal) AS formats, count(*)::BIGINT AS n, coalesce(any_value(n.n), 0)::BIGINT AS n_documents
+FROM (SELECT * FROM {_FMT}) f LEFT JOIN n ON n.category = f.category GROUP BY f.category"""
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, stem string, ext string")
 
+def template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the category of the template they start from, and all of them."""
+    t = registry.templates(spark).select("ordinal", "category")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % len(registry.template_rows())).cast("int").alias("ordinal"))
+    return registry.counts_by_category(d.join(F.broadcast(t), "ordinal"))
 
-def tasks(spark: SparkSession, _: str) -> DataFrame:
+
+TEMPLATE_COUNTS_SQL = f"""SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, count(*)::BIGINT AS n
+FROM documents JOIN (SELECT * FROM {_TPL}) t ON t.ordinal = doc_id % {len(registry.template_rows())} GROUP BY ROLLUP (category)"""
+
+
+def reconvert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What else each document could be turned into, but for the target it has."""
+    offered = registry.conversions(spark).select(F.col("source").alias("of"), F.col("target").alias("to"))
+    r = requests(spark, sf_dir).join(F.broadcast(offered), (F.col("source") == F.col("of")) & (F.col("target") != F.col("to")))
+    return r.select("doc_id", F.col("to").alias("target"))
+
+
+RECONVERT_SQL = f"SELECT doc_id, c.target FROM {_REQUESTS} r JOIN (SELECT * FROM {_CONV}) c ON r.source = c.source AND r.target <> c.target"
+
+#: Documents as a folder of files; two ids share a stem.
+_EXTENSIONS = ["md", "html", "txt", "docx", "pdf", "html", "json"]
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    stem, ext = F.concat(F.lit("f"), F.floor(k / 2).cast("string")), _one_of(_EXTENSIONS, k)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(stem, F.lit("."), ext).alias("path"), stem.alias("stem"), ext.alias("ext"))
+
+
+_FILES_SQL = f"(SELECT stem || '.' || ext AS path, stem, ext FROM (SELECT 'f' || (doc_id // 2) AS stem, {_listed(_EXTENSIONS, 'doc_id')} AS ext FROM documents))"
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring tasks of the folder with the converted file of each, or an error."""
-    f = _files(spark)
+    f = _files(spark, sf_dir)
     return registry.with_outputs(registry.conversion_tasks(f, registry.pairs(spark)), f)
 
 
-_FILES_SQL = _values(FILES, "path, stem, ext")
 _PAIRS_SQL = _values(registry.SCORED_PAIRS, "source, target")
 _GEN_SQL = _values(registry.GENERATED_PAIRS, "source, target")
 TASKS_SQL = f"""WITH f AS (SELECT * FROM {_FILES_SQL}), p AS (SELECT * FROM {_PAIRS_SQL})
@@ -78,8 +125,8 @@ SELECT f.path, f.stem, p.source, p.target, o.path AS output, CASE WHEN o.path IS
 FROM f JOIN p ON f.ext = p.source LEFT JOIN f o ON o.stem = f.stem AND o.ext = p.target"""
 
 
-def to_generate(spark: SparkSession, _: str) -> DataFrame:
-    f = _files(spark)
+def to_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir)
     return registry.to_generate(registry.conversion_tasks(f, registry.pairs(spark, registry.GENERATED_PAIRS)), f)
 
 
@@ -104,35 +151,43 @@ STATEMENTS = [
     "  plain words, no SQL at all  ",
     "",
 ]
-_STATEMENTS_SQL = _values([(k, s) for k, s in enumerate(STATEMENTS)], "k, s")
+_STATEMENTS_SQL = f"(SELECT c_custkey AS k, replace({_listed(STATEMENTS, 'c_custkey')}, '5', c_nationkey::VARCHAR) || chr(10) || '-- ' || c_name AS s FROM customer)"
 
 
-def _statements(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(STATEMENTS)), "k int, s string")
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for each customer, with their nation's number in it and their name in a comment."""
+    s = F.replace(_one_of(STATEMENTS, F.col("c_custkey")), F.lit("5"), F.col("c_nationkey").cast("string"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.concat(s, F.lit("\n-- "), "c_name").alias("s"))
 
 
 def _rewrite(source: str, target: str):
-    def run(spark: SparkSession, _: str) -> DataFrame:
-        return _statements(spark).select("k", sqlrewrite.convert_sql(F.col("s"), source, target).alias("out"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _statements(spark, sf_dir).select("k", sqlrewrite.convert_sql(F.col("s"), source, target).alias("out"))
 
     return run
 
 
-def sql_dialects(spark: SparkSession, _: str) -> DataFrame:
-    return _statements(spark).select("k", sqlrewrite.detect_sql_dialect(F.col("s")).alias("dialect"), detect.detect_text_format(F.col("s")).alias("format"))
+def sql_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statements(spark, sf_dir).select("k", sqlrewrite.detect_sql_dialect(F.col("s")).alias("dialect"), detect.detect_text_format(F.col("s")).alias("format"))
 
 
 SQL_DIALECTS_SQL = f"SELECT k, {sqlrewrite.detect_sql_dialect_sql('s')} AS dialect, {detect.detect_text_format_sql('s')} AS format FROM {_STATEMENTS_SQL}"
 
-NAMES = [("report.MD", "text/plain"), ("a.b.yml", ""), ("noext", "text/csv"), ("x.unknown", "audio/wave"), ("y.unknown", "none/none"), ("clip.mkv", "video/mp4"), ("dump.sql", "text/plain")]
+#: Ends of names, known and not, in several cases; types, known and not.
+ENDINGS = [*detect.BY_EXTENSION, ".MD", ".Html", ".unknown", "", ".tar.yml"]
+TYPES = [*detect.BY_MIME, "none/none", ""]
 
 
-def names(spark: SparkSession, _: str) -> DataFrame:
-    df = spark.createDataFrame(NAMES, "name string, mime string")
-    return df.select("name", detect.detect_format(F.col("name"), F.col("mime")).alias("format"), jobs.with_extension(F.col("name"), F.lit(".html")).alias("output"))
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format of every document by a name and a type that go by its id, and its name after a conversion."""
+    k = F.col("doc_id")
+    name = F.concat(F.lit("d"), k.cast("string"), _one_of(ENDINGS, k))
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", name.alias("name"), _one_of(TYPES, 3 * k + 1).alias("mime"))
+    return df.select("doc_id", "name", detect.detect_format(F.col("name"), F.col("mime")).alias("format"), jobs.with_extension(F.col("name"), F.lit(".html")).alias("output"))
 
 
-NAMES_SQL = f"SELECT name, {detect.detect_format_sql('name', 'mime')} AS format, regexp_replace(name, '\\.[^.]+$', '') || '.html' AS output FROM {_values(NAMES, 'name, mime')}"
+NAMES_SQL = f"""SELECT doc_id, name, {detect.detect_format_sql('name', 'mime')} AS format, regexp_replace(name, '\\.[^.]+$', '') || '.html' AS output
+FROM (SELECT doc_id, 'd' || doc_id || {_listed(ENDINGS, 'doc_id')} AS name, {_listed(TYPES, '3 * doc_id + 1')} AS mime FROM documents)"""
 
 
 def json_to_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,32 +269,36 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROGRESS_SQL = "SELECT conv_id, turn, done, total, least(floor(100 * (done::DOUBLE / total)), 99)::BIGINT AS percent FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS done, count(*) OVER (PARTITION BY conv_id)::BIGINT AS total FROM conversations)"
 
-REQUESTS = [("x", "a.md", "md", "html", None), ("", "a.md", "md", "html", 50), ("x", "", "md", "html", 50), ("x", "a.png", "png", "jpeg", 101), ("x", "a.gif", "gif", "mp4", 80), ("x", "b.mp4", "mp4", "gif", 1)]
-
 
-def validate(spark: SparkSession, _: str) -> DataFrame:
-    return jobs.validate(spark.createDataFrame(REQUESTS, "content string, file_name string, source string, target string, quality int")).select("file_name", "source", "target", "valid", "problem")
+def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's request can be served, and why not."""
+    return jobs.validate(requests(spark, sf_dir)).select("doc_id", "source", "target", "valid", "problem")
 
 
-VALIDATE_SQL = f"""SELECT file_name, source, target, problem IS NULL AS valid, problem FROM (SELECT r.file_name, r.source, r.target, CASE WHEN length(content) = 0 THEN 'empty file' WHEN length(file_name) = 0 THEN 'no name'
+VALIDATE_SQL = f"""SELECT doc_id, source, target, problem IS NULL AS valid, problem FROM (SELECT doc_id, r.source, r.target, CASE WHEN coalesce(length(content), 0) = 0 THEN 'empty file' WHEN length(file_name) = 0 THEN 'no name'
   WHEN length(file_name) > 255 THEN 'name too long' WHEN quality NOT BETWEEN 1 AND 100 THEN 'quality out of range' WHEN c.source IS NULL THEN 'conversion not supported' END AS problem
-  FROM (SELECT * FROM {_values(REQUESTS, 'content, file_name, source, target, quality')}) r LEFT JOIN (SELECT * FROM {_CONV}) c ON r.source = c.source AND r.target = c.target)"""
+  FROM {_REQUESTS} r LEFT JOIN (SELECT * FROM {_CONV}) c ON r.source = c.source AND r.target = c.target)"""
 
 
-def media_args(spark: SparkSession, _: str) -> DataFrame:
-    """Encoder arguments of all media pairs, in 720p."""
-    c = registry.conversions(spark)
-    args = media.media_args(F.col("source"), F.col("target"), F.lit("in"), F.lit("out"), F.lit(28), F.lit("720p"), F.lit(None).cast("string"))
-    return c.select("source", "target", F.array_join(args, " ").alias("args")).where(F.col("args").isNotNull())
+def media_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoder arguments of every part as a media file, for all targets of its format, in 720p."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", _one_of(_MEDIA, F.col("p_partkey")).alias("format"))
+    c = p.join(F.broadcast(registry.conversions(spark)), F.col("format") == F.col("source"))
+    name = lambda c: F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("."), c)
+    args = media.media_args(F.col("source"), F.col("target"), name("source"), name("target"), F.lit(28), F.lit("720p"), F.lit(None).cast("string"))
+    return c.select("p_partkey", "source", "target", F.array_join(args, " ").alias("args")).where(F.col("args").isNotNull())
 
 
+_MEDIA = [*media.AUDIO, *media.VIDEO]
 _AUDIO_SQL = "CASE target " + " ".join(f"WHEN '{t}' THEN '{a}'" for t, a in media.AUDIO.items()) + " END"
 _A, _V = ", ".join(f"'{t}'" for t in media.AUDIO), ", ".join(f"'{t}'" for t in media.VIDEO)
-MEDIA_SQL = f"""SELECT source, target, 'in_flag in ' || args || ' out' AS args FROM (SELECT source, target, CASE WHEN target = 'gif' THEN '{media.GIF}'
+_NAMED = "'p' || p_partkey || '.' || "
+MEDIA_SQL = f"""SELECT p_partkey, source, target, '-i ' || {_NAMED}source || ' ' || args || ' ' || {_NAMED}target AS args FROM (SELECT p_partkey, source, target, CASE WHEN target = 'gif' THEN '{media.GIF}'
   WHEN source IN ({_V}) AND target IN ({_A}) THEN '-vn ' || {_AUDIO_SQL} WHEN source IN ({_A}) AND target IN ({_A}) THEN {_AUDIO_SQL}
   WHEN source IN ({_V}) AND target IN ('mp4', 'mov', 'mkv') THEN '-vf scale=-2:720 -c:v libx264 -preset fast -crf 28 -c:a aac -b:a 192k'
   WHEN source IN ({_V}) AND target = 'webm' THEN '-vf scale=-2:720 -c:v libvpx-vp9 -crf 28 -b:v 0 -c:a libvorbis'
-  WHEN source IN ({_V}) AND target = 'avi' THEN '-vf scale=-2:720 -c:v libx264 -preset fast -crf 28 -c:a mp3' END AS args FROM {_CONV}) WHERE args IS NOT NULL""".replace("in_flag", "-i")
+  WHEN source IN ({_V}) AND target = 'avi' THEN '-vf scale=-2:720 -c:v libx264 -preset fast -crf 28 -c:a mp3' END AS args
+  FROM part JOIN (SELECT * FROM {_CONV}) c ON c.source = {_listed(_MEDIA, 'p_partkey')}) WHERE args IS NOT NULL"""
 
 QUERIES = {
     "registry_outputs": outputs, "registry_output_counts": output_counts, "registry_by_category": by_category, "registry_template_counts": template_counts,

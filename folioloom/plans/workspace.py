@@ -63,16 +63,21 @@ SELECT event_id, user_id, status FROM e WHERE event_id NOT IN (SELECT event_id F
 UNION ALL SELECT max(event_id), user_id, 'idle' FROM e WHERE status = 'error' GROUP BY user_id"""
 
 
-def templates_of(spark: SparkSession, _: str) -> DataFrame:
-    """Templates of each category, by the filter."""
-    parts = [registry.templates_of(spark, c).select(F.lit(c).alias("shown"), "id") for c in ("all", *sorted({r[4] for r in registry.template_rows()}))]
-    out = parts[0]
+_CATEGORIES = ["all", *sorted({r[4] for r in registry.template_rows()})]
+
+
+def templates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The templates that each document's category, which goes by its id, offers."""
+    parts = [registry.templates_of(spark, c).select(F.lit(c).alias("shown"), "id") for c in _CATEGORIES]
+    offered = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        offered = offered.unionByName(p)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tables._one_of(_CATEGORIES, F.col("doc_id")).alias("shown"))
+    return d.join(F.broadcast(offered), "shown").select("doc_id", "shown", "id")
 
 
-TEMPLATES_SQL = f"SELECT 'all' AS shown, id FROM {tables._TPL} UNION ALL SELECT category, id FROM {tables._TPL}"
+TEMPLATES_SQL = f"""WITH o AS (SELECT 'all' AS shown, id FROM {tables._TPL} UNION ALL SELECT category, id FROM {tables._TPL})
+SELECT doc_id, o.shown, id FROM documents JOIN o ON o.shown = {tables._listed(_CATEGORIES, 'doc_id')}"""
 
 
 def shown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
