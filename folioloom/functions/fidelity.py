@@ -12,6 +12,17 @@ GRADES = [(0.85, "A"), (0.70, "B"), (0.55, "C"), (0.40, "D")]
 SCORABLE = ("md", "html", "docx", "pdf", "txt")
 
 
+def scored_format(name: Column) -> Column:
+    """The format a file is scored as, by its extension in any case; what is not scorable counts as plain text."""
+    ext = F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1)))
+    return F.when(ext.isin(*SCORABLE), ext).otherwise("txt")
+
+
+def refusal(text: Column) -> Column:
+    """Why a text is not scored: it has no bytes, or nothing but white space; else null."""
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty file").when(~F.regexp_like(text, F.lit(r"[^\s\x0b]")), "no text")
+
+
 def ratio(target: Column, source: Column) -> Column:
     """What is kept of a count, at most 1; nothing to lose counts as 1."""
     s, t = F.coalesce(source, F.lit(0)).cast("double"), F.coalesce(target, F.lit(0)).cast("double")
