@@ -114,8 +114,3 @@ def percent_shown(score: Column) -> Column:
 
 def percent_shown_sql(e: str) -> str:
     return f"floor({e} * 100 + 0.5)::BIGINT"
-
-
-def score_shown(score: Column, places: int = 3) -> Column:
-    """A score with a fixed number of places."""
-    return F.format_number(score, places)

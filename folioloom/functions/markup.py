@@ -306,17 +306,25 @@ def emoji_table() -> dict[str, str]:
     return out | EMOJI_ALIASES
 
 
-def emoji(c: Column, table: dict[str, str] | None = None) -> Column:
-    """Known ``:shortcodes:`` as characters; unknown ones stay.  ``table`` replaces the default one."""
-    import re
-
-    known = table or emoji_table()
+#: Shortcodes, the text between them, and lone colons.
+SHORTCODES = r":[a-z0-9_+-]+:|[^:]+|:"
 
-    @F.pandas_udf("string")
-    def swap(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: re.sub(r":([a-z0-9_+-]+):", lambda m: known.get(m[1], m[0]), t), na_action="ignore")
 
-    return swap(c)
+def emoji(c: Column, table: dict[str, str] | None = None) -> Column:
+    """Known ``:shortcodes:`` as characters; unknown ones stay.  ``table`` replaces the default one."""
+    known = F.create_map(*[F.lit(x) for k, v in (emoji_table() if table is None else table).items() for x in (f":{k}:", v)])
+    shown = lambda x: F.when(x.startswith(":") & (F.length(x) > 2), F.coalesce(F.try_element_at(known, x), x)).otherwise(x)
+    parts = F.regexp_extract_all(c, F.lit(java_pattern(SHORTCODES)), F.lit(0))
+    return F.when(F.contains(c, F.lit(":")), F.array_join(F.transform(parts, shown), "")).otherwise(c)
+
+
+def emoji_sql(e: str) -> str:
+    """The same for DuckDB."""
+    table = emoji_table()
+    listed = lambda values: "[" + ", ".join(sql_string(v) for v in values) + "]"
+    known = f"map({listed([f':{k}:' for k in table])}, {listed(table.values())})"
+    shown = f"CASE WHEN starts_with(x, ':') AND length(x) > 2 THEN coalesce({known}[x], x) ELSE x END"
+    return f"CASE WHEN contains({e}, ':') THEN array_to_string(list_transform(regexp_extract_all({e}, {sql_string(SHORTCODES)}), lambda x: {shown}), '') ELSE {e} END"
 
 
 def page(md: Column, body: Column, date: Column | None = None) -> Column:

@@ -90,11 +90,28 @@ def tick_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TICK_PROGRESS_SQL = "SELECT user_id, ticks, least(10 + 15 * ticks, 85)::BIGINT AS progress FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS ticks FROM events GROUP BY 1)"
 
+_CODES = [*list(markup.EMOJI_ALIASES)[:40], "no_such_code", "+1", "a b", "", "rocket"]
+
+
+def emoji_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with a shortcode, known or not, between its words; digest with the characters in."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    code = tables._one_of(_CODES, 5 * F.col("conv_id") + F.coalesce("turn", F.lit(0)))
+    text = F.concat(F.lit(":"), code, F.lit(":b: "), F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.concat(F.lit(" :"), code, F.lit(": "))))
+    return c.select("conv_id", "turn", F.md5(markup.emoji(text)).alias("shown_md5"))
+
+
+_CODE = tables._listed(_CODES, "5 * conv_id + coalesce(turn, 0)")
+EMOJI_SQL = f"""SELECT conv_id, turn, md5({markup.emoji_sql('t')}) AS shown_md5 FROM (
+  SELECT conv_id, turn, ':' || {_CODE} || ':b: ' || replace(coalesce(text, ''), ' ', ' :' || {_CODE} || ': ') AS t FROM conversations)"""
+
 QUERIES = {
+    "conv_emoji": emoji_turns,
     "orders_csv_preview": csv_preview, "pages_result_table": result_table, "documents_scorable": scorable, "part_images": part_images,
     "orders_cover_dates": cover_dates, "documents_txt_pages": txt_pages, "events_tick_progress": tick_progress,
 }
 ORACLES = {
+    "conv_emoji": EMOJI_SQL,
     "orders_csv_preview": CSV_PREVIEW_SQL, "pages_result_table": RESULT_TABLE_SQL, "documents_scorable": SCORABLE_SQL, "part_images": PART_IMAGES_SQL,
     "orders_cover_dates": COVER_DATES_SQL, "documents_txt_pages": TXT_PAGES_SQL, "events_tick_progress": TICK_PROGRESS_SQL,
 }

@@ -44,10 +44,6 @@ def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = DOCUMENTS
     return incoming(spark, path, extensions).select("path", "stem", "ext", "content", "problem")
 
 
-def text_of(content: Column) -> Column:
-    return F.decode(content, "UTF-8")
-
-
 def from_base64(c: Column) -> Column:
     return F.decode(F.unbase64(c), "UTF-8")
 
@@ -67,11 +63,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("escape", '"').csv(path, header=True)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
-
-
 def read_docx(files: DataFrame) -> DataFrame:
     """``path, plain, headings, tables, lists, links, html, problem`` of DOCX contents; see ``docx.read``."""
 
