@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,8 +20,12 @@ def _n_groups(pattern: str) -> int:
     return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
 
 
-def _replacement(to: str, groups: int, shift: int = 0) -> str:
-    """A replacement with ``$1``, ``$&`` and ``$$`` in the engine's form; other signs stand for themselves."""
+def _replacement(to: str, groups: int, shift: int = 0, rest: int | None = None) -> str:
+    """A replacement with ``$1``, ``$&`` and ``$$`` in the engine's form; other signs stand for themselves.
+
+    ``$`` with a backtick or an apostrophe is the text before or after the match, where
+    groups hold those: the first one, and ``rest``.
+    """
 
     def one(m: re.Match) -> str:
         if m[0] == "\\":
@@ -29,28 +34,50 @@ def _replacement(to: str, groups: int, shift: int = 0) -> str:
             return "\\$"
         if m[0] == "$&":
             return f"${shift}"
+        if m[0] in ("$`", "$'"):
+            return "\\" + m[0] if rest is None else "$1" if m[0] == "$`" else f"${rest}"
         for n in (m[1] or "", (m[1] or "")[:1]):  # two digits, if there are so many groups, else one
             if n and 1 <= int(n) <= groups:
                 return f"${int(n) + shift}" + "".join(f"\\{c}" for c in m[1][len(n) :])
         return "\\$" + (m[1] or "")
 
-    return re.sub(r"\\|\$\$|\$&|\$(\d{1,2})?", one, to)
+    return re.sub(r"\\|\$\$|\$&|\$[`']|\$(\d{1,2})?", one, to)
+
+
+def _readable(pattern: str) -> bool:
+    """Whether the engine can read a pattern."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
 
 
 def find_count(c: Column, query: str, regex: bool = False, case: bool = False) -> Column:
-    return F.regexp_count(c, F.lit(_pattern(query, regex, case)))
+    """Matches of a query; none of an empty one or of a pattern that cannot be read."""
+    pattern = _pattern(query, regex, case)
+    if not query or (regex and not _readable(pattern)):
+        return F.when(c.isNotNull(), 0)
+    return F.regexp_count(c, F.lit(pattern))
 
 
 def replace_all(c: Column, query: str, to: str, regex: bool = False, case: bool = False) -> Column:
+    """All matches replaced; the text stays where there is nothing to find, as in ``find_count``."""
     pattern = _pattern(query, regex, case)
+    if not query or (regex and not _readable(pattern)):
+        return c
     return F.regexp_replace(c, F.lit(pattern), F.lit(_replacement(to, _n_groups(pattern))))
 
 
 def replace_first(c: Column, query: str, to: str, regex: bool = False, case: bool = False) -> Column:
-    """The first match only; ``to`` may name groups of the pattern."""
+    """The first match only; ``to`` may name groups of the pattern, or what stands before and after it."""
     pattern = _pattern(query, regex, case)
-    whole = r"\A([\s\S]*?)(" + pattern + ")"
-    return F.regexp_replace(c, F.lit(whole), F.lit("$1" + _replacement(to, _n_groups(pattern), 2)))
+    if not query or (regex and not _readable(pattern)):
+        return c
+    groups = _n_groups(pattern)
+    whole = r"\A([\s\S]*?)(" + pattern + r")([\s\S]*)\z"
+    rest = groups + 3
+    return F.regexp_replace(c, F.lit(whole), F.lit("$1" + _replacement(to, groups, 2, rest) + f"${rest}"))
 
 
 # --- toolbar: each action gives (text, start, end), positions from 0 -----------

@@ -243,3 +243,13 @@ def test_best_match_of_repeats_and_nothing(spark):
     got = {r.id: round(r.best, 9) for r in vectors.best_match(df, df, "g", "id", "e", skip_self=True, block=2).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 0.0}
     assert vectors.best_match(df.limit(0), df, "g", "id", "e").count() == 0 and vectors.best_match(df, df.limit(0), "g", "id", "e").count() == 0
+
+
+def test_edits_without_a_match_and_around_it(spark):
+    count = lambda q, **k: one(spark, "a(b", lambda c: editing.find_count(c, q, **k))
+    assert count("(", regex=True) == 0 and count("(") == 1 and count("") == 0 and count("[ab]", regex=True) == 2
+    for f in (editing.replace_all, editing.replace_first):
+        assert one(spark, "a(b", lambda c: f(c, "(", "x", regex=True)) == "a(b" and one(spark, "a(b", lambda c: f(c, "", "x")) == "a(b"
+    first = lambda to, **k: one(spark, "one two three", lambda c: editing.replace_first(c, "t(w)o", to, regex=True, **k))
+    assert first("[$`|$'|$1|$&|$$|$9]") == "one [one | three|w|two|$|$9] three"
+    assert one(spark, "one two", lambda c: editing.replace_all(c, "o", "$`$'")) == "$`$'ne tw$`$'"
