@@ -70,6 +70,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole text, those dropped, and a digest of what is left; see ``dedup_lines`` for nulls, empty texts, ties and repeats.
+
+    A very common line is one key of a join, which adaptive execution splits; keep that switched on.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))

@@ -171,7 +171,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     sequence_id, offset``.  A null or empty text is the end id alone.  Rows with
     a null or a repeated id are packed like any other and keep that id.  A bin
     with at most ``slack`` free places is nearly full and is emitted at once.
-    Equal sizes are taken in input order.  Other columns are not looked at.
+    Equal sizes are taken in input order.  Other columns are not looked at; an empty table
+    gives no rows.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     full = F.col("fill") >= capacity - slack
