@@ -42,8 +42,8 @@ def duck(sf_dir):
 
 
 def rows_of(frame):
-    """Rows of a pandas frame in any order, columns by name, doubles to nine places."""
-    frame = frame[sorted(frame.columns)]
+    """Rows of a pandas frame in any order, columns by name, doubles to nine places; whole numbers with nulls are whole numbers."""
+    frame = frame[sorted(frame.columns)].convert_dtypes()
     cell = lambda v: round(v, 9) if isinstance(v, float) else v.tolist() if hasattr(v, "tolist") else v
     return sorted(repr(tuple(cell(v) for v in r)) for r in frame.itertuples(index=False, name=None))
 
