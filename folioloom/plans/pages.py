@@ -207,7 +207,8 @@ LINE_KINDS_SQL = f"SELECT {markup.line_kind_sql('line')} AS kind, count(*)::BIGI
 
 def md_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to Markdown and back; heading and link counts of the result."""
-    out = _pages(spark, sf_dir).select("page_id", markup.md_to_html(markup.html_to_md(F.col("html"))).alias("html2"))
+    md = _pages(spark, sf_dir).select("page_id", F.explode(F.array(markup.html_to_md(F.col("html")))).alias("md"))
+    out = md.select("page_id", markup.md_to_html(F.col("md")).alias("html2"))
     n = structure.html_counts(F.col("html2"))
     return out.select("page_id", n.alias("n")).select("page_id", F.col("n.headings").cast("long").alias("headings"), F.col("n.links").cast("long").alias("links"))
 
@@ -215,7 +216,8 @@ def md_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural score there (html to md) and back (md to html), and what the way back keeps."""
     there = with_scores(scored(spark, sf_dir)).select("page_id", F.col("structural").alias("s"))
-    back = _pages(spark, sf_dir).select("page_id", structure.html_counts(F.col("html")).alias("a"), structure.html_counts(markup.md_to_html(markup.html_to_md(F.col("html")))).alias("b"))
+    md = _pages(spark, sf_dir).select("page_id", "html", F.explode(F.array(markup.html_to_md(F.col("html")))).alias("md"))
+    back = md.select("page_id", structure.html_counts(F.col("html")).alias("a"), structure.html_counts(markup.md_to_html(F.col("md"))).alias("b"))
     legs = there.select(F.col("page_id").alias("doc"), F.lit("html").alias("src_format"), F.lit("md").alias("tgt_format"), F.col("s").alias("sfi_score")).unionByName(
         back.select(F.col("page_id").alias("doc"), F.lit("md").alias("src_format"), F.lit("html").alias("tgt_format"), fidelity.score_structural(F.col("a"), F.col("b"), F.lit("html")).alias("sfi_score"))
     )
