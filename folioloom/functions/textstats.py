@@ -51,14 +51,22 @@ def _let(value: Column, body) -> Column:
 
 
 def _spread(values: Column) -> Column:
-    """Struct of mean and population standard deviation of an array of doubles; the latter is 0 for fewer than two."""
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    """Struct of mean and population standard deviation of an array of doubles; the latter is 0 for fewer than two.
 
-    def around(m: Column) -> Column:
-        squares = total(F.transform(values, lambda x: (x - m) * (x - m)))
-        return F.struct(m.alias("mean"), F.when(F.size(values) < 2, 0.0).otherwise(F.sqrt(squares / F.size(values))).alias("sd"))
+    The deviation is summed in one pass around the running mean, step by step as the SQL does it: scores
+    compare it with bounds that texts do meet, so its last bit counts.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("n"), zero.alias("total"), zero.alias("mean"), zero.alias("squares"))
+
+    def add(a: Column, x: Column) -> Column:
+        n, mean = a["n"] + 1, a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct(n.alias("n"), (a["total"] + x).alias("total"), mean.alias("mean"), (a["squares"] + (x - mean) * (x - a["mean"])).alias("squares"))
+
+    def finish(a: Column) -> Column:
+        return F.struct(F.when(a["n"] == 0, zero).otherwise(a["total"] / a["n"]).alias("mean"), F.when(a["n"] < 2, zero).otherwise(F.sqrt(a["squares"] / a["n"])).alias("sd"))
 
-    return _let(F.when(F.size(values) == 0, 0.0).otherwise(total(values) / F.size(values)), around)
+    return F.aggregate(values, start, add, finish)
 
 
 def syllables(word: Column) -> Column:
