@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioloom.functions.rules import java_pattern, matches, matches_sql, re2_pattern, sql_string, trim, trim_sql
+from folioloom.functions.rules import java_pattern, let, matches, matches_sql, re2_pattern, sql_string, trim, trim_sql
 
 # Formats by extension and by MIME type.
 BY_EXTENSION = {
@@ -63,21 +63,29 @@ def _any(c: Column, signs: list[tuple[str, str]]) -> Column:
 
 
 def detect_text_format(c: Column) -> Column:
-    """The first of json, html, svg, diagram, md, a SQL dialect, yaml, csv, md, txt that fits."""
-    t = trim(c)
-    lines = F.split(t, "\n")
-    json = ((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))) & F.try_parse_json(t).isNotNull()
-    md = _sum(t, MD_SIGNS)
-    ms, my, pg = (_sum(t, DIALECT_SIGNS[d]) for d in ("mssql", "mysql", "pgsql"))
-    dialect = F.when((ms >= my) & (ms >= pg), "mssql").when(my >= pg, "mysql").otherwise("pgsql")
-    keyed = F.size(F.filter(lines, lambda x: x.rlike(java_pattern(YAML_LINE)))) / F.size(lines)
-    rows = F.filter(lines, lambda x: trim(x) != "")
-    widths = F.array_distinct(F.transform(F.slice(rows, 1, 5), lambda x: F.size(F.split(x, ","))))
-    return (
-        F.when(json, "json").when(_any(t, HTML_SIGNS), "html").when(_any(t, SVG_SIGNS), "svg").when(matches(t, *DIAGRAM), "mermaid")
-        .when(md >= 3, "md").when(matches(t, *STATEMENT), dialect).when(_any(t, YAML_SIGNS) & (keyed > 0.3), "yaml")
-        .when((F.size(rows) >= 2) & (F.size(widths) == 1) & (F.get(widths, F.lit(0)) >= 2), "csv").when(md >= 2, "md").otherwise("txt")
-    )
+    """The first of json, html, svg, diagram, md, a SQL dialect, yaml, csv, md, txt that fits.
+
+    What several tests read is bound once, and later tests only run where the earlier ones fail.
+    """
+    def found(t: Column) -> Column:
+        lines = F.split(t, "\n")
+        json = ((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))) & F.try_parse_json(t).isNotNull()
+        keyed = lambda ls: F.size(F.filter(ls, lambda x: x.rlike(java_pattern(YAML_LINE)))) / F.size(ls)
+        widths = lambda rows: F.array_distinct(F.transform(F.slice(rows, 1, 5), lambda x: F.size(F.split(x, ","))))
+        tabular = lambda rows: (F.size(rows) >= 2) & let(widths(rows), lambda w: (F.size(w) == 1) & (F.get(w, F.lit(0)) >= 2))
+        csv = let(F.filter(lines, lambda x: trim(x) != ""), tabular)
+        dialect = let(
+            F.struct(*[_sum(t, DIALECT_SIGNS[d]).alias(d) for d in ("mssql", "mysql", "pgsql")]),
+            lambda n: F.when((n["mssql"] >= n["mysql"]) & (n["mssql"] >= n["pgsql"]), "mssql").when(n["mysql"] >= n["pgsql"], "mysql").otherwise("pgsql"),
+        )
+        by_md = lambda md: (
+            F.when(md >= 3, "md").when(matches(t, *STATEMENT), dialect).when(_any(t, YAML_SIGNS) & (let(lines, keyed) > 0.3), "yaml")
+            .when(csv, "csv").when(md >= 2, "md").otherwise("txt")
+        )
+        first = F.when(json, "json").when(_any(t, HTML_SIGNS), "html").when(_any(t, SVG_SIGNS), "svg").when(matches(t, *DIAGRAM), "mermaid")
+        return first.otherwise(let(_sum(t, MD_SIGNS), by_md))
+
+    return let(trim(c), found)
 
 
 def detect_text_format_sql(expr: str) -> str:

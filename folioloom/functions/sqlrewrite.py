@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioloom.functions.rules import Rule, apply, java_pattern, matches, matches_sql, to_sql, trim, trim_sql
+from folioloom.functions.rules import Rule, apply, java_pattern, let, matches, matches_sql, to_sql, trim, trim_sql
 
 DIALECTS = ("mssql", "mysql", "pgsql")
 
@@ -195,8 +195,9 @@ def marker_score(c: Column, dialect: str) -> Column:
 
 def detect_sql_dialect(c: Column) -> Column:
     """The dialect with most markers; ties go to the first of mssql, mysql, pgsql."""
-    ms, my, pg = (marker_score(c, d) for d in DIALECTS)
-    return F.when((ms >= my) & (ms >= pg), "mssql").when(my >= pg, "mysql").otherwise("pgsql")
+    scores = lambda x: F.struct(*[marker_score(x, d).alias(d) for d in DIALECTS])
+    first = lambda n: F.when((n["mssql"] >= n["mysql"]) & (n["mssql"] >= n["pgsql"]), "mssql").when(n["mysql"] >= n["pgsql"], "mysql").otherwise("pgsql")
+    return let(c, lambda x: let(scores(x), first))
 
 
 def detect_sql_dialect_sql(expr: str) -> str:

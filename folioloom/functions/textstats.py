@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioloom.functions.rules import occurrences, occurrences_sql, sql_string, trim, trim_sql
+from folioloom.functions.rules import let, occurrences, occurrences_sql, sql_string, trim, trim_sql
 
 # Phrases and words that are counted.
 TRANSITIONS = [
@@ -45,11 +45,6 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), trim), lambda p: F.length(p) > 10)
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, also inside higher-order functions."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _spread(values: Column) -> Column:
     """Struct of mean and population standard deviation of an array of doubles; the latter is 0 for fewer than two.
 
@@ -90,7 +85,7 @@ def syllable_total(words: Column) -> Column:
         groups = F.regexp_count(x["stems"], F.lit("[aeiouy]{1,2}")) + F.regexp_count(x["stems"], F.lit(r" [^aeiouy ]*(?= |\z)"))
         return F.size(words) - n_long + groups
 
-    return _let(F.struct(longer.alias("longer"), stems.alias("stems")), total)
+    return let(F.struct(longer.alias("longer"), stems.alias("stems")), total)
 
 
 def text_stats(text: Column) -> Column:
@@ -108,11 +103,11 @@ def text_stats(text: Column) -> Column:
             F.when(F.contains(low, F.lit("'")), occurrences(low, rf"\b({CONTRACTIONS})\b")).otherwise(0).alias("contractions"), occurrences(low, rf"\b({FIRST_PERSON})\b").alias("persons"),
         )
 
-    counts = lambda xs: _let(F.transform(xs, lambda x: F.size(words(x)).cast("double")), _spread)
+    counts = lambda xs: let(F.transform(xs, lambda x: F.size(words(x)).cast("double")), _spread)
     parts = F.struct(
-        _let(sentences(text), lambda xs: F.struct(F.size(xs).alias("n"), counts(xs).alias("s"))).alias("s"), counts(paragraphs(text)).alias("p"),
-        _let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("kinds"), syllable_total(w).alias("vowels"))).alias("w"),
-        _let(F.lower(text), found).alias("found"), F.regexp_count(text, F.lit("[!?]")).alias("signs"),
+        let(sentences(text), lambda xs: F.struct(F.size(xs).alias("n"), counts(xs).alias("s"))).alias("s"), counts(paragraphs(text)).alias("p"),
+        let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("kinds"), syllable_total(w).alias("vowels"))).alias("w"),
+        let(F.lower(text), found).alias("found"), F.regexp_count(text, F.lit("[!?]")).alias("signs"),
     )
 
     def build(t: Column) -> Column:
@@ -128,7 +123,7 @@ def text_stats(text: Column) -> Column:
             F.when(w > 0, t["found"]["persons"].cast("double") / w).otherwise(0.0).alias("first_person_density"), per(t["signs"]).alias("personality_density"),
         )
 
-    return _let(parts, build)
+    return let(parts, build)
 
 
 #: Each signal: name, steps (comparison, bound, points, indicator, only over five sentences).
@@ -178,7 +173,7 @@ def preview_stats(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     bare = trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"#+\s", ""))
     parts = F.struct(
-        _let(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), lambda w: F.struct(F.size(w).alias("n"), syllable_total(w).alias("vowels"))).alias("w"),
+        let(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), lambda w: F.struct(F.size(w).alias("n"), syllable_total(w).alias("vowels"))).alias("w"),
         F.greatest(F.lit(1), F.size(F.filter(F.split(bare, r"[.!?]+"), lambda s: F.length(trim(s)) > 3))).alias("n"),
     )
 

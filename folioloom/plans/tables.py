@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioloom.functions import convert, detect, sqlrewrite
 from folioloom.functions.rules import sql_string
 from folioloom.operators import jobs, media, registry
+from folioloom.plans.scratch import spread
 
 
 def _values(rows: list[tuple], columns: str) -> str:
@@ -157,7 +158,8 @@ _STATEMENTS_SQL = f"(SELECT c_custkey AS k, replace({_listed(STATEMENTS, 'c_cust
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement for each customer, with their nation's number in it and their name in a comment."""
     s = F.replace(_one_of(STATEMENTS, F.col("c_custkey")), F.lit("5"), F.col("c_nationkey").cast("string"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.concat(s, F.lit("\n-- "), "c_name").alias("s"))
+    customers = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_name"))
+    return customers.select(F.col("c_custkey").alias("k"), F.concat(s, F.lit("\n-- "), "c_name").alias("s"))
 
 
 def _rewrite(source: str, target: str):
@@ -201,7 +203,7 @@ JSON_TO_CSV_SQL = "SELECT event_id, array_to_string(json_keys(props), ',') || ch
 
 def json_to_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as YAML and back as JSON."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", convert.json_to_yaml(F.col("props")).alias("yaml"))
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")).select("event_id", convert.json_to_yaml(F.col("props")).alias("yaml"))
     return e.select("event_id", "yaml", convert.yaml_to_json(F.col("yaml")).alias("json"))
 
 
