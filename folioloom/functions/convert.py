@@ -15,7 +15,7 @@ from folioloom.functions.markup import escape_html, escape_html_sql
 
 
 def _text_udf(f):
-    """A text-to-text function as a pandas UDF; null, and what cannot be read, give null."""
+    """A text-to-text function as a pandas UDF; null, and what cannot be read, give null.  Equal texts of a batch are read once."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -27,7 +27,8 @@ def _text_udf(f):
             except Exception:  # noqa: BLE001 - a bad document is a null, not a failed job
                 return None
 
-        return texts.map(one)
+        known = {t: one(t) for t in dict.fromkeys(texts)}
+        return pd.Series([known[t] for t in texts], dtype=object)
 
     return run
 

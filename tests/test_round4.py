@@ -5,7 +5,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from folioloom.functions import rules
+from folioloom.functions import convert, rules
 from folioloom.plans import documents, tables
 
 #: Words of the sentences of texts whose burstiness is 0.25, where two ways to sum squares differ in the last bit.
@@ -47,3 +47,16 @@ def test_statements_and_events_are_spread(spark, sf_dir):
     least = 4 * spark.sparkContext.defaultParallelism
     assert tables._statements(spark, sf_dir).rdd.getNumPartitions() >= least
     assert tables.json_to_yaml(spark, sf_dir).rdd.getNumPartitions() >= least
+
+
+def test_equal_texts_of_a_batch_are_converted_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        reads.add(1)
+        return convert.IN_PYTHON["json", "yaml"](t)
+
+    texts = [*['{"k": 1}', None, "no json"] * 50, '{"k": 2}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [r.y for r in df.select(convert._text_udf(counted)("t").alias("y")).collect()]
+    assert got == [*["k: 1\n", None, None] * 50, "k: 2\n"] and reads.value <= 6
