@@ -3,9 +3,11 @@
 import re
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioloom.functions import convert, rules
+from folioloom.operators import vectors
 from folioloom.plans import documents, tables
 
 #: Words of the sentences of texts whose burstiness is 0.25, where two ways to sum squares differ in the last bit.
@@ -60,3 +62,29 @@ def test_equal_texts_of_a_batch_are_converted_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     got = [r.y for r in df.select(convert._text_udf(counted)("t").alias("y")).collect()]
     assert got == [*["k: 1\n", None, None] * 50, "k: 2\n"] and reads.value <= 6
+
+
+def test_vectors_reach_python_in_few_blocks(monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 7)
+    rows = [{"id": k, "v": [1.0, k / 10], "best": None, "cluster": 0} for k in range(10)]
+    clusters = [{"cluster": k, "reach": 3.2, "zero": False, "v": [1.0, 0.0]} for k in range(4)]
+    parts = list(vectors._others(iter([pd.DataFrame({"key": [1], "rows": [rows], "clusters": [clusters]})])))
+    assert max(map(len, parts)) <= 7
+    assert sorted((r.id, r.cluster) for p in parts for r in p.itertuples()) == [(k, c) for k in range(10) for c in (1, 2, 3)]
+
+
+def test_batches_of_blocks_are_small(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def largest(batches):
+        for pdf in batches:
+            sizes.add(int(len(pdf) > vectors.BLOCKS_AT_ONCE))
+            yield from vectors_nearest(iter([pdf]))
+
+    vectors_nearest = vectors._nearest
+    monkeypatch.setattr(vectors, "_nearest", largest)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    df = spark.createDataFrame([(k, k % 40, [1.0, float(k)]) for k in range(120)], "i long, l int, v array<double>")
+    assert vectors.best_match(df.coalesce(1), df.coalesce(1), "l", "i", "v", skip_self=True).count() == 120
+    assert sizes.value == 0 and spark.conf.get(name, None) == before
