@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioloom.functions.rules import let, occurrences, occurrences_sql, sql_string, trim, trim_sql
+from folioloom.functions.rules import let, occurrences_sql, sql_string, trim, trim_sql
 
 # Phrases and words that are counted.
 TRANSITIONS = [
@@ -30,38 +35,65 @@ READING_BANDS = [(90, "Very Easy"), (80, "Easy"), (70, "Fairly Easy"), (60, "Sta
 _SYLLABLE_END = r"([^laeiouy]es|ed|[^laeiouy]e)\z"
 
 
-def sentences(text: Column) -> Column:
-    """Pieces after ``.``, ``!`` or ``?`` of more than three characters, line ends as spaces."""
-    cut = F.split(F.regexp_replace(text, "\n+", " "), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(cut, trim), lambda s: F.length(s) > 3)
-
-
-def words(text: Column) -> Column:
-    """Lower-cased runs of a to z, apostrophe and hyphen; other characters vanish."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z'\s-]", ""), r"\s+"), lambda w: w != "")
+#: What is left of a lower-cased text where its words are taken, and what words that borders part are made of.
+_KEPT, _BORDERED = b"abcdefghijklmnopqrstuvwxyz'- \t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz0123456789_"
+_DROPPED = bytes(c for c in range(256) if c not in _KEPT)
+_SPACED = bytes(c if c in _BORDERED else 32 for c in range(256))
+_WHITE = " \t\n\x0b\x0c\r"
+_PERSONS = frozenset(FIRST_PERSON.encode().split(b"|"))
+_bordered = lambda p: re.compile(rf"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])")
+_PHRASES = {name: [(p, _bordered(p)) for p in phrases] for name, phrases in (("transitions", TRANSITIONS), ("hedges", HEDGES))}
+_CONTRACTED = _bordered(CONTRACTIONS)
+_LINE_ENDS, _SENTENCE_END, _PARAGRAPH_END = re.compile("\n+"), re.compile(r"(?<=[.!?])\s+", re.A), re.compile(r"\n\s*\n", re.A)
+_STEM_END, _VOWELS = re.compile(_SYLLABLE_END.replace(r"\z", r"\Z").encode()), re.compile(b"[aeiouy]{1,2}")
 
 
-def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), trim), lambda p: F.length(p) > 10)
+def _words(low: str) -> list[bytes]:
+    """Runs of a to z, apostrophe and hyphen of a lower-cased text; other characters vanish."""
+    return low.encode().translate(None, _DROPPED).split()
 
 
-def _spread(values: Column) -> Column:
-    """Struct of mean and population standard deviation of an array of doubles; the latter is 0 for fewer than two.
+def _spread(values: list[int]) -> tuple[float, float]:
+    """Mean and population standard deviation, which is 0 for fewer than two.
 
     The deviation is summed in one pass around the running mean, step by step as the SQL does it: scores
     compare it with bounds that texts do meet, so its last bit counts.
     """
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("n"), zero.alias("total"), zero.alias("mean"), zero.alias("squares"))
-
-    def add(a: Column, x: Column) -> Column:
-        n, mean = a["n"] + 1, a["mean"] + (x - a["mean"]) / (a["n"] + 1)
-        return F.struct(n.alias("n"), (a["total"] + x).alias("total"), mean.alias("mean"), (a["squares"] + (x - mean) * (x - a["mean"])).alias("squares"))
+    mean = squares = 0.0
+    for n, x in enumerate(values, 1):
+        before, mean = mean, mean + (x - mean) / n
+        squares += (x - mean) * (x - before)
+    n = len(values)
+    return float(sum(values)) / n if n else 0.0, math.sqrt(squares / n) if n > 1 else 0.0
+
+
+@lru_cache(1 << 16)
+def _vowel_groups(word: bytes) -> int:
+    """As ``syllables``, of a word of a to z, apostrophe and hyphen."""
+    w = word.translate(None, b"'-")
+    return 1 if len(w) <= 3 else max(1, len(_VOWELS.findall(_STEM_END.sub(b"", w).removeprefix(b"y"))))
+
+
+def _measured(text: str) -> tuple:
+    """The counts of a text, in the order of ``_MEASURES``; sentences and paragraphs that are too short do not count."""
+    text = text.replace("\u0130", "i")  # one letter in lower case too, as in SQL
+    low = text.lower()
+    sentences = [len(_words(x.lower())) for x in _SENTENCE_END.split(_LINE_ENDS.sub(" ", text)) if len(x.strip(_WHITE)) > 3]
+    paragraphs = [len(_words(x.lower())) for x in _PARAGRAPH_END.split(text) if len(x.strip(_WHITE)) > 10]
+    words = _words(low)
+    return (
+        len(sentences), *_spread(sentences), *_spread(paragraphs), len(words), len(set(words)), sum(map(_vowel_groups, words)),
+        # Most texts hold few phrases: a plain search decides whether the pattern has to run.
+        *[sum(len(pattern.findall(low)) for p, pattern in phrases if p in low) for phrases in _PHRASES.values()],
+        len(_CONTRACTED.findall(low)) if "'" in low else 0, sum(map(_PERSONS.__contains__, low.encode().translate(_SPACED).split())),
+        text.count("!") + text.count("?"),
+    )
 
-    def finish(a: Column) -> Column:
-        return F.struct(F.when(a["n"] == 0, zero).otherwise(a["total"] / a["n"]).alias("mean"), F.when(a["n"] < 2, zero).otherwise(F.sqrt(a["squares"] / a["n"])).alias("sd"))
 
-    return F.aggregate(values, start, add, finish)
+_MEASURES = {
+    "n": "int", "s_mean": "double", "s_sd": "double", "p_mean": "double", "p_sd": "double", "w": "int", "kinds": "int", "vowels": "int",
+    "transitions": "int", "hedges": "int", "contractions": "int", "persons": "int", "signs": "int",
+}
 
 
 def syllables(word: Column) -> Column:
@@ -91,39 +123,28 @@ def syllable_total(words: Column) -> Column:
 def text_stats(text: Column) -> Column:
     """Struct of counts and densities.  Densities of a text without sentences are 0; a null text is empty.
 
-    The parts that several figures use are bound once, so no tokenizer runs twice.
+    Each text is cut and counted once, on Arrow batches: as expressions over arrays its words and sentences
+    took over ten times as long.
     """
-    text = F.coalesce(text, F.lit(""))
-    # Most texts hold few phrases: a plain search decides whether the pattern has to run.
-    counted = lambda low, phrases: sum((F.when(F.contains(low, F.lit(p)), occurrences(low, rf"\b{p}\b")).otherwise(0) for p in phrases), F.lit(0))
 
-    def found(low: Column) -> Column:
-        return F.struct(
-            counted(low, TRANSITIONS).alias("transitions"), counted(low, HEDGES).alias("hedges"),
-            F.when(F.contains(low, F.lit("'")), occurrences(low, rf"\b({CONTRACTIONS})\b")).otherwise(0).alias("contractions"), occurrences(low, rf"\b({FIRST_PERSON})\b").alias("persons"),
-        )
-
-    counts = lambda xs: let(F.transform(xs, lambda x: F.size(words(x)).cast("double")), _spread)
-    parts = F.struct(
-        let(sentences(text), lambda xs: F.struct(F.size(xs).alias("n"), counts(xs).alias("s"))).alias("s"), counts(paragraphs(text)).alias("p"),
-        let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("kinds"), syllable_total(w).alias("vowels"))).alias("w"),
-        let(F.lower(text), found).alias("found"), F.regexp_count(text, F.lit("[!?]")).alias("signs"),
-    )
+    @F.pandas_udf(", ".join(f"{k} {v}" for k, v in _MEASURES.items()))
+    def measures(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_measured(t) for t in texts], columns=list(_MEASURES))
 
     def build(t: Column) -> Column:
-        n, w, s = t["s"]["n"], t["w"]["n"], t["s"]["s"]
+        n, w = t["n"], t["w"]
         per = lambda c: F.when(n > 0, c.cast("double") / n).otherwise(0.0)
-        varied = lambda x: F.when(x["mean"] > 0, x["sd"] / x["mean"]).otherwise(0.0)
-        flesch = 206.835 - 1.015 * (w / n) - 84.6 * (t["w"]["vowels"] / w)
+        varied = lambda x: F.when(t[f"{x}_mean"] > 0, t[f"{x}_sd"] / t[f"{x}_mean"]).otherwise(0.0)
+        flesch = 206.835 - 1.015 * (w / n) - 84.6 * (t["vowels"] / w)
         return F.struct(
-            n.alias("sentence_count"), s["mean"].alias("avg_sentence_length"), s["sd"].alias("sentence_length_sd"), varied(s).alias("burstiness"),
-            F.when(w > 0, t["w"]["kinds"].cast("double") / F.least(w, F.lit(200))).otherwise(0.0).alias("ttr"),
-            per(t["found"]["transitions"]).alias("transition_density"), per(t["found"]["hedges"]).alias("hedging_density"), varied(t["p"]).alias("paragraph_uniformity"),
-            F.when((n > 0) & (w > 0), flesch).otherwise(50.0).alias("flesch"), per(t["found"]["contractions"]).alias("contraction_rate"),
-            F.when(w > 0, t["found"]["persons"].cast("double") / w).otherwise(0.0).alias("first_person_density"), per(t["signs"]).alias("personality_density"),
+            n.alias("sentence_count"), t["s_mean"].alias("avg_sentence_length"), t["s_sd"].alias("sentence_length_sd"), varied("s").alias("burstiness"),
+            F.when(w > 0, t["kinds"].cast("double") / F.least(w, F.lit(200))).otherwise(0.0).alias("ttr"),
+            per(t["transitions"]).alias("transition_density"), per(t["hedges"]).alias("hedging_density"), varied("p").alias("paragraph_uniformity"),
+            F.when((n > 0) & (w > 0), flesch).otherwise(50.0).alias("flesch"), per(t["contractions"]).alias("contraction_rate"),
+            F.when(w > 0, t["persons"].cast("double") / w).otherwise(0.0).alias("first_person_density"), per(t["signs"]).alias("personality_density"),
         )
 
-    return let(parts, build)
+    return let(measures(F.coalesce(text, F.lit(""))), build)
 
 
 #: Each signal: name, steps (comparison, bound, points, indicator, only over five sentences).
