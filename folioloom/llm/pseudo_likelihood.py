@@ -21,8 +21,11 @@ only sums, of fixed size, reach the driver.  The third pass gives one record for
 token, which grows with the corpus: the hash of its window, 16 bits of its word, its
 log-probability and its document, about nine bytes packed.  Records of one window meet
 in a task by their hash; equal windows of a block are one record for each document
-beforehand.  Each task hands on, packed by block, what windows found elsewhere add to the
-scores of its documents; most windows are nowhere else and add nothing.
+beforehand.  A task unpacks whole only the records whose window is there again; most
+windows are nowhere else and add nothing.  It hands on, packed by block, what windows
+found elsewhere add to the scores of its documents.
+
+Words are hashed a block of texts at a time, by passes over its bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -46,12 +50,51 @@ _STEP = 4096
 #: Steps of the words within their classes, in those of the classes.
 WORD_RATE = 4
 _FIXED = 1 << 24
+_ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: 1 for each byte of a word, 0 for white space.
+_INSIDE = bytes(b not in b" \t\n\x0b\x0c\r" for b in range(256))
+#: The first bytes of eight, by their number.
+_MASKS = np.asarray([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes of a word that are read eight at a time; longer words are hashed one by one.
+_LONG_WORD = 256
+
+
+def hashes_of(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of several whole texts, ASCII letters lower-cased, and the number of words of each.
+
+    ``raw`` has the texts in UTF-8 one after another, ``ends`` where each ends.
+    """
+    low = raw.lower()
+    inside = np.frombuffer(low.translate(_INSIDE), dtype=bool)
+    begins = np.r_[0, ends[:-1]]
+    begins = begins[begins < ends]  # of texts that are not empty
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[begins] = inside[begins]
+    last[:-1] &= ~inside[1:]
+    last[begins[1:] - 1] = inside[begins[1:] - 1]
+    at = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - at
+    eights = np.lib.stride_tricks.sliding_window_view(np.frombuffer(low + bytes(8), dtype=np.uint8), 8)
+    out, rows, done = size.astype(np.uint64) * _ODD[0], np.arange(len(at)), 0
+    with np.errstate(over="ignore"):
+        while len(rows):
+            x = out[rows] ^ np.ascontiguousarray(eights[at[rows] + done]).view("<u8").ravel() & _MASKS[np.minimum(size[rows] - done, 8)]
+            for odd in _ODD[1:3]:
+                x ^= x >> np.uint64(32)
+                x *= odd
+            out[rows] = x ^ x >> np.uint64(29)
+            done += 8
+            rows = rows[(size[rows] > done) & (done < _LONG_WORD)]
+    for k in np.flatnonzero(size > _LONG_WORD):
+        out[k] = xxhash.xxh64_intdigest(low[at[k] : at[k] + size[k]])
+    return out, np.diff(np.searchsorted(at, np.r_[0, ends]))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a whole text, ASCII letters lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    """The hashes of one text."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return hashes_of(raw, np.asarray([len(raw)]))[0]
 
 
 def buckets_of(hashes: np.ndarray) -> np.ndarray:
@@ -107,32 +150,49 @@ _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 class Stream:
     """Tokens (or hashes) of several documents with pads between, and where the tokens are."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        pad = np.full(SIDE, PAD, dtype=docs[0].dtype if docs else np.int32)
-        parts = [pad]
-        for d in docs:
-            parts += [d, pad]
-        self.ids = np.concatenate(parts)
-        sizes = np.asarray([len(d) for d in docs])
-        begin = np.cumsum(sizes + SIDE) - sizes
-        self.at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    def __init__(self, docs: list[np.ndarray] | np.ndarray, sizes: np.ndarray | None = None):
+        """``docs``: an array for each document, or one array of all, of which ``sizes`` tells the documents."""
+        if sizes is None:
+            sizes = np.asarray([len(d) for d in docs], dtype=np.int64)
+            docs = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int32)
+        self.at = np.repeat(SIDE * np.arange(1, len(sizes) + 1), sizes) + np.arange(len(docs))
+        self.ids = np.full(len(docs) + SIDE * (len(sizes) + 1), PAD, dtype=docs.dtype)
+        self.ids[self.at] = docs
         self.sizes = sizes
 
-    def batches(self, step: int = _STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window ids, target ids) in order."""
+    def batches(self, step: int = _STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window ids, target ids, places of the targets) in order."""
         for lo in range(0, len(self.at), step):
             at = self.at[lo : lo + step]
-            yield np.stack([self.ids[at + o] for o in _OFFSETS], axis=1), self.ids[at]
+            yield np.stack([self.ids[at + o] for o in _OFFSETS], axis=1), self.ids[at], at
+
+    def by_place(self, at: np.ndarray, by_window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids from ``SIDE`` before the first of the places to ``SIDE`` after the last, and for each of them the
+        sum of what the windows that hold it have for it; ``by_window`` has a row for each window."""
+        lo, hi = at[0] - SIDE, at[-1] + SIDE + 1
+        spread = np.zeros((hi - lo, by_window.shape[1]), dtype=by_window.dtype)
+        spread[at - lo] = by_window
+        sums = np.zeros((hi - lo, DIM), dtype=by_window.dtype)
+        for k, o in enumerate(_OFFSETS):
+            sums[SIDE + o : len(sums) - SIDE + o] += spread[SIDE : len(sums) - SIDE, k * DIM : (k + 1) * DIM]
+        return self.ids[lo:hi], sums
 
 
 def _hidden(params: list[np.ndarray], window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = params[0][window].reshape(len(window), -1)
-    return x, np.tanh(x @ params[1] + params[2])
+    x = np.take(params[0], window, axis=0, mode="clip").reshape(len(window), -1)
+    z = x @ params[1]
+    z += params[2]
+    return x, np.tanh(z, out=z)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _exp_classes(params: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits of the classes, up to a factor for each row, with their sums."""
+    e = h @ params[3]
+    e += params[4]
+    if np.abs(params[3]).sum(axis=0).max() + np.abs(params[4]).max() >= 40:
+        e -= e.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
+    return e, e @ np.ones(CLASSES, dtype=e.dtype)
 
 
 class Words:
@@ -143,47 +203,70 @@ class Words:
 
     def __init__(self, weight: np.ndarray, cls: np.ndarray):
         order = np.argsort(cls, kind="stable")
-        self.weight, self.cls, self.place = weight, cls.astype(np.uint8), np.argsort(order, kind="stable")
+        self.cls, self.place = cls.astype(np.uint8), np.argsort(order, kind="stable")
+        self.wide = np.c_[weight, np.ones(VOCAB, dtype=weight.dtype)]  # the ones give sums along with the gradient
+        self.weight = self.wide[:, :-1]
         self.edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        self.room = np.empty(0, dtype=weight.dtype)  # large new arrays cost more than what is done in them
+        self.ones = np.ones(VOCAB, dtype=weight.dtype)
         self.measure()
 
     def measure(self) -> None:
         """Whether logits are small enough for exp as they are; no hidden value is over 1."""
         self.small = bool(np.abs(self.weight).sum(axis=1).max() < 40)
 
-    def by_class(self, target: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each class of the targets: their rows, hidden layer with a 1 behind it, weights, place of their words
-        in the class, and exp of the logits of its words, up to a factor for each row, with their sums."""
+    def sorted_by_class(self, target: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The targets' order by class and where each class begins; in that order, the hidden layer with a 1 behind it
+        and the places of the words in the logits of their class."""
         c = self.cls[target]
         by = np.argsort(c, kind="stable")
         cuts = np.searchsorted(c[by], np.arange(CLASSES + 1))
-        h, own = np.c_[h[by], np.ones(len(h), dtype=h.dtype)], self.place[target[by]]
+        h1 = np.ones((len(h), HIDDEN + 1), dtype=h.dtype)
+        h1[:, :-1] = np.take(h, by, axis=0)
+        # The place in the logits of the class, row by row.
+        row = np.arange(len(by)) - np.repeat(cuts[:-1], np.diff(cuts))
+        own = row * np.repeat(np.diff(self.edges), np.diff(cuts)) + self.place[target[by]] - np.repeat(self.edges[:-1], np.diff(cuts))
+        return by, cuts, h1, own
+
+    def by_class(self, cuts: np.ndarray, h1: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each class of the targets: their rows, its own, and exp of the logits of its words, up to a factor
+        for each row.  The next class takes the place of these."""
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            rows, at = slice(cuts[k], cuts[k + 1]), self.edges[k]
-            w = self.weight[at : self.edges[k + 1]]
-            e = h[rows] @ w.T
+            rows, mine = slice(cuts[k], cuts[k + 1]), slice(self.edges[k], self.edges[k + 1])
+            w = self.weight[mine]
+            n = (rows.stop - rows.start) * len(w)
+            if len(self.room) < n:
+                self.room = np.empty(2 * n, dtype=h1.dtype)
+            e = np.matmul(h1[rows], w.T, out=self.room[:n].reshape(-1, len(w)))
             if not self.small:
                 e -= e.max(axis=1, keepdims=True)
             np.exp(e, out=e)
-            yield by[rows], h[rows], w, own[rows] - at, e, e @ np.ones(len(w), dtype=e.dtype)
+            yield rows, mine, e
 
     def scores(self, target: np.ndarray, h: np.ndarray) -> np.ndarray:
         """log p(word | class, window) of each target."""
-        out = np.empty(len(target), dtype=h.dtype)
-        for rows, _, _, own, e, total in self.by_class(target, h):
-            out[rows] = e[np.arange(len(e)), own] / total
-        return np.log(np.maximum(out, 1e-30))
+        by, cuts, h1, own = self.sorted_by_class(target, h)
+        share, out = np.empty(len(target), dtype=h.dtype), np.empty(len(target), dtype=h.dtype)
+        for rows, mine, e in self.by_class(cuts, h1):
+            share[rows] = e.ravel()[own[rows]] / (e @ self.ones[mine])
+        out[by] = np.log(np.maximum(share, 1e-30))
+        return out
 
     def learn(self, target: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step of each class by its own tokens; returns the gradient of the hidden layer."""
-        dh = np.empty_like(h)
         self.measure()
-        for rows, h1, w, own, e, total in self.by_class(target, h):
-            e[np.arange(len(e)), own] -= total
-            scale = (1 / total)[:, None]
-            dh[rows] = (e @ w)[:, :-1] * scale
-            w -= np.float32(rate / len(e)) * (e.T @ (h1 * scale))
-        return dh
+        by, cuts, h1, own = self.sorted_by_class(target, h)
+        back, own_weight = np.empty((len(h), HIDDEN + 2), dtype=h.dtype), np.take(self.wide, self.place[target[by]], axis=0)
+        for rows, mine, e in self.by_class(cuts, h1):
+            total = np.matmul(e, self.wide[mine], out=back[rows])[:, -1]
+            e.ravel()[own[rows]] -= total
+            w = self.weight[mine]
+            w -= np.float32(rate / len(e)) * (e.T @ (h1[rows] / total[:, None]))
+        back /= back[:, -1:]
+        back -= own_weight
+        out = np.empty_like(h)
+        out[by] = back[:, :-2]
+        return out
 
 
 def train_on(flat: np.ndarray, streams: Iterator[Stream], cls: np.ndarray, rate: float = 0.4) -> tuple[np.ndarray, int]:
@@ -193,27 +276,30 @@ def train_on(flat: np.ndarray, streams: Iterator[Stream], cls: np.ndarray, rate:
     words = Words(params[5], cls) if len(params) > 5 else None
     lanes = np.arange(DIM)
     for stream in streams:
-        for window, target in stream.batches():
+        for window, target, at in stream.batches():
             n = len(target)
             x, h = _hidden(params, window)
-            d = np.exp(_log_softmax(h @ params[3] + params[4]))
-            d[np.arange(n), cls[target]] -= 1
+            d, total = _exp_classes(params, h)
+            d[np.arange(n), cls[target]] -= total
             lr = rate / (1 + seen / 2e6) ** 0.5
-            d /= n
+            d *= (1 / (total * n))[:, None]
             dh = d @ params[3].T
             if words:
                 dh += words.learn(target, h, lr * WORD_RATE) / n
             dh *= 1 - h * h
-            dx = (dh @ params[1].T).reshape(-1, DIM)
+            dx = dh @ params[1].T
             params[3] -= lr * (h.T @ d)
             params[4] -= lr * d.sum(axis=0)
             params[1] -= lr * (x.T @ dh)
             params[2] -= lr * dh.sum(axis=0)
             # The mean over the batch makes steps of rare tokens tiny; scale them up.
-            where = (window.reshape(-1, 1) * DIM + lanes).ravel()
-            step = np.bincount(where, weights=dx.ravel(), minlength=VOCAB * DIM).reshape(VOCAB, DIM)
+            ids, sums = stream.by_place(at, dx)
+            where = (ids[:, None].astype(np.int64) * DIM + lanes).ravel()
+            step = np.bincount(where, weights=sums.ravel(), minlength=VOCAB * DIM).reshape(VOCAB, DIM)
             params[0] -= ((lr * 20) * step).astype(np.float32)
             seen += n
+    if words:
+        params[5][:] = words.weight
     return flat, seen
 
 
@@ -221,46 +307,48 @@ def token_scores(flat: np.ndarray, stream: Stream, cls: np.ndarray, within: np.n
     """The network's log-probability of each token of the stream."""
     params, parts = _split(flat), [np.zeros(0)]
     words = Words(params[5], cls) if len(params) > 5 else None
-    for window, target in stream.batches(4 * _STEP):
+    for window, target, _ in stream.batches(2 * _STEP):
         _, h = _hidden(params, window)
-        logp = _log_softmax(h @ params[3] + params[4])
+        e, total = _exp_classes(params, h)
         own = words.scores(target, h) if words else within[target]
-        parts.append((logp[np.arange(len(target)), cls[target]] + own).astype(np.float64))
+        parts.append((np.log(np.maximum(e[np.arange(len(target)), cls[target]] / total, 1e-30)) + own).astype(np.float64))
     return np.concatenate(parts)
 
 
 def score_docs(flat: np.ndarray, docs: list[np.ndarray], cls: np.ndarray, within: np.ndarray) -> np.ndarray:
     """Sum of the network's log-probabilities of each document."""
     stream = Stream(docs)
-    if not len(stream.at):
-        return np.zeros(len(docs))
-    ends = np.concatenate([[0.0], np.cumsum(token_scores(flat, stream, cls, within))])
-    last = np.cumsum(stream.sizes)
-    return ends[last] - ends[last - stream.sizes]
+    return _sums(token_scores(flat, stream, cls, within), stream.sizes)
 
 
-def _blocks(batches: Iterator[pd.DataFrame], most: int = 1 << 18, of=tokens) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Rows with their tokens (or hashes), at most about ``most`` tokens at a time."""
-    for pdf in batches:
-        lo, held, n = 0, [], 0
-        for k, text in enumerate(pdf["text"]):
-            held.append(of(text))
-            n += len(held[-1])
-            if n >= most or k == len(pdf) - 1:
-                yield pdf.iloc[lo : k + 1], held
-                lo, held, n = k + 1, [], 0
+def _sums(logp: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends, last = np.concatenate([[0.0], np.cumsum(logp)]), np.cumsum(sizes)
+    return ends[last] - ends[last - sizes]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with the hashes of their words and the number of words of each, at most about ``most`` bytes of text at a time."""
+    for batch in batches:
+        text = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+        edges = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+        lo = 0
+        while lo < len(text):
+            hi = min(max(int(np.searchsorted(edges, edges[lo] + most, side="right")) - 1, lo + 1), lo + _DOCS, len(text))
+            raw = text.buffers()[2][edges[lo] : edges[hi]].to_pybytes() if edges[hi] > edges[lo] else b""
+            yield batch.slice(lo, hi - lo), *hashes_of(raw, edges[lo + 1 : hi + 1] - edges[lo])
+            lo = hi
 
 
 def corpus_counts(docs: DataFrame) -> np.ndarray:
     """Tokens in each bucket over all documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(VOCAB, dtype=np.int64)
-        for _, held in _blocks(batches):
-            counts += np.bincount(np.concatenate(held), minlength=VOCAB)
-        yield pd.DataFrame({"bucket": np.arange(VOCAB, dtype=np.int32), "n": counts})
+        for _, hashes, _ in _blocks(batches):
+            counts += np.bincount(buckets_of(hashes), minlength=VOCAB)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCAB, dtype=np.int32)), pa.array(counts)], ["bucket", "n"])
 
-    rows = docs.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(VOCAB, dtype=np.int64)
     for r in rows:
         counts[r.bucket] = r.n
@@ -275,14 +363,14 @@ def fit(docs: DataFrame, counts: np.ndarray | None = None, words: bool = False)
     cls, within = classes_of(corpus_counts(docs) if counts is None else counts)
     first = start(words=(cls, within) if words else None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, seen = train_on(first, (Stream(held) for _, held in _blocks(batches)), cls)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, seen = train_on(first, (Stream(buckets_of(hashes), sizes) for _, hashes, sizes in _blocks(batches)), cls)
         # Sums of whole numbers do not depend on their order.
         fixed = np.rint(flat.astype(np.float64) * _FIXED * (seen / 1000)).astype(np.int64)
         if seen:
-            yield pd.DataFrame({"k": np.arange(-1, len(first), dtype=np.int32), "v": np.concatenate([[np.int64(seen)], fixed])})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(first), dtype=np.int32)), pa.array(np.r_[np.int64(seen), fixed])], ["k", "v"])
 
-    rows = docs.select("text").mapInPandas(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = docs.select("text").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
     if not rows:
         return first, cls, within
     sums = np.zeros(len(first) + 1)
@@ -299,21 +387,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, held in _blocks(batches):
-            sizes = np.asarray([len(h) for h in held])
-            flat, cls, within = shared.value
-            total = score_docs(flat, held, cls, within)
-            mean = pd.Series(np.where(sizes > 0, total / np.maximum(sizes, 1), np.nan)).astype(object).where(sizes > 0, None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy(dtype=object), "n_tokens": sizes, "pll": total, "pll_per_token": mean})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, cls, within = shared.value
+        for rows, hashes, sizes in _blocks(batches):
+            total = _sums(token_scores(flat, Stream(buckets_of(hashes), sizes), cls, within), sizes)
+            mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), pa.array(total), mean], ["doc_id", "n_tokens", "pll", "pll_per_token"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return src.mapInPandas(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
+    return src.mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
 
 
 # --- with the counts of windows over the whole corpus --------------------------
 
-_ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64((1 << 48) - 1)
 #: Fields of a packed record behind the six bytes of its window.
 _FIELDS = [("word", "<u2"), ("logp", "<u2"), ("doc", "<u2"), ("times", "<u4")]
@@ -336,15 +422,18 @@ def windows_of(stream: Stream) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def packed(hashes: list[np.ndarray], logp: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, records) of the tokens of a block: one record for each window, word and document."""
-    stream = Stream(hashes)
+def packed(stream: Stream, logp: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, records) of the tokens of a block of hashes: one record for each window, word and document."""
     window, own = windows_of(stream), stream.ids[stream.at]
     key = (window >> np.uint64(48)) % np.uint64(n_buckets) << np.uint64(48) | window & _LOW
-    doc = np.repeat(np.arange(len(hashes), dtype=np.uint64), stream.sizes)
+    doc = np.repeat(np.arange(len(stream.sizes), dtype=np.uint64), stream.sizes)
     rest = own >> np.uint64(48) << np.uint64(16) | doc
-    order = np.lexsort((rest, key))
+    order = np.argsort(key)
     key, rest = key[order], rest[order]
+    same = np.r_[False, key[1:] == key[:-1]]
+    several = np.flatnonzero(same | np.r_[same[1:], False])  # most windows are there once
+    again = several[np.lexsort((rest[several], key[several]))]
+    order[several], rest[several] = order[again], rest[again]
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])])
     times = np.diff(np.r_[first, len(key)])
     key, rest, at = key[first], rest[first], order[first]
@@ -359,19 +448,31 @@ def packed(hashes: list[np.ndarray], logp: np.ndarray, n_buckets: int) -> Iterat
         yield int(bucket[lo]), pack(head + body)
 
 
-def unpacked(bucket: int, raw: bytes) -> tuple[np.ndarray, ...]:
-    """Window keys, words, log-probabilities, documents and times of packed records."""
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = len(raw) // 16
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(16, n)
-    whole = np.zeros((n, 8), dtype=np.uint8)
-    whole[:, :6] = planes[:6].T
-    out, at = [whole.view("<u8").ravel() | np.uint64(bucket << 48)], 6
+def unpacked(bucket: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Window keys of packed records, and the bytes of their other fields, a row for each byte."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(16, -1)
+    whole = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    for k in range(6):
+        whole[:, k] = planes[k]
+    return whole.view("<u8").ravel() | np.uint64(bucket << 48), planes[6:]
+
+
+def met(key: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The records whose window is somewhere else, too, in the order of the windows.  Most are not: they add nothing."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    often = (planes[6] > 1) | planes[7:].any(axis=0)
+    return order[np.r_[False, same] | np.r_[same, False] | often[order]]
+
+
+def fields(planes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words, log-probabilities, documents and times of records."""
+    out, at = [], 0
     for _, t in _FIELDS:
         size = np.dtype(t).itemsize
         out.append(np.ascontiguousarray(planes[at : at + size].T).view(t).ravel())
         at += size
-    return out[0], out[1], -out[2].astype(np.float64) / _LOGP_STEPS, out[3], out[4].astype(np.int64)
+    return out[0], -out[1].astype(np.float64) / _LOGP_STEPS, out[2], out[3].astype(np.int64)
 
 
 def mixed(key: np.ndarray, word: np.ndarray, logp: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -379,6 +480,8 @@ def mixed(key: np.ndarray, word: np.ndarray, logp: np.ndarray, times: np.ndarray
 
     Of the c other places of the window the share with the same word has weight c / (c + 1).
     """
+    if not len(key):
+        return np.zeros(0)
     order = np.lexsort((word, key))
     k, w, n = key[order], word[order], times[order]
     new_key = np.r_[True, k[1:] != k[:-1]]
@@ -406,22 +509,19 @@ def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tokens // TOKENS_PER_TASK, 1)
     n_buckets = min(8 * tasks, 65535)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, cls, within = shared.value
         key = TaskContext.get().partitionId() << 32  # rows by their place, which a repeated task gives again
-        for pdf, held in _blocks(batches, of=word_hashes):
-            for lo in range(0, len(pdf), _DOCS):
-                part, ids = held[lo : lo + _DOCS], pdf["doc_id"].iloc[lo : lo + _DOCS]
-                n, rows = np.asarray([len(h) for h in part], dtype="<i8"), []
-                logp = token_scores(flat, Stream([buckets_of(h) for h in part]), cls, within) if n.sum() else np.zeros(0)
-                if n.sum():
-                    rows = [(bucket, key, 1, raw) for bucket, raw in packed(part, logp, n_buckets)]
-                ends = np.concatenate([[0.0], np.cumsum(logp)])
-                cost = np.rint((ends[np.cumsum(n)] - ends[np.cumsum(n) - n]) * _SUM_STEPS).astype("<i8")
-                known = pd.array(ids, dtype="Int64").to_numpy(dtype="<i8", na_value=0)
-                rows.append((key % n_buckets, key, 0, b"".join(x.tobytes() for x in (known, n, cost, ids.isna().to_numpy()))))
-                key += len(part)
-                yield pd.DataFrame(rows, columns=["bucket", "key", "kind", "raw"])
+        for part, hashes, n in _blocks(batches):
+            logp = token_scores(flat, Stream(buckets_of(hashes), n), cls, within)
+            rows = [(bucket, key, 1, raw) for bucket, raw in packed(Stream(hashes, n), logp, n_buckets)] if len(hashes) else []
+            cost = np.rint(_sums(logp, n) * _SUM_STEPS).astype("<i8")
+            ids = part.column("doc_id")
+            heads = (ids.fill_null(0).to_numpy().astype("<i8"), n.astype("<i8"), cost, ids.is_null().to_numpy(zero_copy_only=False))
+            rows.append((key % n_buckets, key, 0, b"".join(x.tobytes() for x in heads)))
+            key += len(n)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "key", "kind", "raw"])
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Passes on the documents of each block, and what windows found elsewhere add to them: a row for each block."""
@@ -433,11 +533,14 @@ def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
                 starts.append(key)
                 counts.append(len(held[-1][0]))
         if held:
-            window, word, logp, doc, times = (np.concatenate(x) for x in zip(*held))
+            window, planes = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], axis=1)
             held.clear()
-            gain = np.rint((mixed(window, word, logp, times) - logp) * times * _SUM_STEPS).astype(np.int64)
-            more = gain != 0  # a window that is nowhere else adds nothing
-            key = np.repeat(np.asarray(starts, dtype=np.int64), counts)[more] + doc[more]
+            several = met(window, planes)
+            word, logp, doc, times = fields(planes[:, several])
+            gain = np.rint((mixed(window[several], word, logp, times) - logp) * times * _SUM_STEPS).astype(np.int64)
+            more = gain != 0
+            block = np.searchsorted(np.cumsum(counts), several[more], side="right")
+            key = np.asarray(starts, dtype=np.int64)[block] + doc[more]
             at, where = np.unique(key, return_inverse=True)
             # Sums of whole numbers below 2 ** 53 are exact, so their order makes no difference.
             total = np.bincount(where, weights=gain[more], minlength=len(at)).astype("<i8")
@@ -464,7 +567,7 @@ def score_in_corpus(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
             yield pd.DataFrame({"doc_id": ids, "n_tokens": n, "pll": cost / _SUM_STEPS})
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sent = src.mapInPandas(run, "bucket int, key long, kind int, raw binary").repartition(tasks, "bucket")
+    sent = src.mapInArrow(run, "bucket int, key long, kind int, raw binary").repartition(tasks, "bucket")
     sums = sent.mapInPandas(added, "key long, kind int, raw binary").repartition(tasks, "key")
     out = sums.mapInPandas(finished, "doc_id long, n_tokens long, pll double")
     return out.withColumn("pll_per_token", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

@@ -396,6 +396,43 @@ def test_pseudo_likelihood_tells_repeated_documents(spark):
     assert mean[twice].min() > mean.drop([*twice, 200]).max() + 2
 
 
+def test_pseudo_likelihood_hashes_texts_together():
+    """Words of many texts in one pass over their bytes: as many as each text has, and equal hashes for equal words only."""
+    texts = ["", " \t", "Aa aA\x0bé É", "x", "", "x y" * 50, "\x00 \x00\x00", "abcdefgh abcdefghi", "z\u3000z\x85a\xa0"] + ["q" * k + " " + "Q" * (k + 1) for k in (7, 8, 255, 256, 257)] + ["end ", ""]
+    raw = [t.encode() for t in texts]
+    hashes, sizes = pseudo_likelihood.hashes_of(b"".join(raw), np.cumsum([len(r) for r in raw]))
+    words = [w for r in raw for w in r.lower().split()]
+    assert list(sizes) == [len(r.split()) for r in raw] and len(hashes) == len(words)
+    assert len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    assert all(np.array_equal(pseudo_likelihood.word_hashes(t), h) for t, h in zip(texts, np.split(hashes, np.cumsum(sizes)[:-1])))
+
+
+def test_pseudo_likelihood_reads_only_records_that_meet():
+    """Of packed records only those are unpacked whole whose window is there again; the others change no score."""
+    texts = ["a b c d e f", "p q r s t u v", "a b c d e f", "m m m m m m m m"]
+    held = [pseudo_likelihood.word_hashes(t) for t in texts]
+    stream = pseudo_likelihood.Stream(held)
+    logp = -np.arange(1.0, len(stream.at) + 1)
+    found = [pseudo_likelihood.unpacked(bucket, raw) for bucket, raw in pseudo_likelihood.packed(stream, logp, 3)]
+    key, planes = np.concatenate([k for k, _ in found]), np.concatenate([p for _, p in found], axis=1)
+    several = pseudo_likelihood.met(key, planes)
+    words, cost, docs, times = pseudo_likelihood.fields(planes[:, several])
+    assert collections.Counter(docs) == {0: 6, 2: 6, 3: 1} and set(times[docs == 3]) == {4}
+    assert (np.diff(key[several].astype(object)) >= 0).all() and len(set(words)) == 7
+    assert sorted(cost[docs == 0]) == [-6, -5, -4, -3, -2, -1]
+
+
+def test_pseudo_likelihood_sums_gradients_by_place():
+    stream = pseudo_likelihood.Stream([np.asarray([5, 6, 5], np.int32), np.zeros(0, np.int32), np.asarray([7], np.int32)])
+    (window, _, at), = stream.batches()
+    rows = np.random.default_rng(1).standard_normal((4, 4 * pseudo_likelihood.DIM))
+    ids, sums = stream.by_place(at, rows)
+    got, want = np.zeros((8, pseudo_likelihood.DIM)), np.zeros((8, pseudo_likelihood.DIM))
+    np.add.at(got, ids, sums)
+    np.add.at(want, window.ravel(), rows.reshape(-1, pseudo_likelihood.DIM))
+    assert np.allclose(got, want)
+
+
 def test_pseudo_likelihood_edges(edges, none):
     got = pseudo_likelihood.score_in_corpus(edges, pseudo_likelihood.fit(edges)).collect()
     assert len(got) == len(EDGES) and pseudo_likelihood.score_in_corpus(none, pseudo_likelihood.fit(none)).count() == 0
