@@ -6,16 +6,17 @@ neighbours whose longest common prefix is at least k words are the distinct k-gr
 shard with their counts; these are merged by key over all shards.
 
 A phrase can only be frequent if the pairs in it are, so shards are read twice.  First every
-pair of every shard is counted, under 48 bits of hash, and each shard is told which of its
-pairs may be frequent.  Then the shard's stretches of such pairs are mined for 2 to 5 words, and
-these are merged by their words.  The hash lets a few pairs too many through, none too few, and the
-counts are those of the second reading, so they are exact; only n-grams with an infrequent
+pair of every shard is counted, and each shard is told which of its pairs are frequent.  Then the
+shard's stretches of such pairs are mined: from each place the words up to the end of the stretch,
+five at most, if they are three or more.  Each of these longest n-grams stands for all that begin
+it, so equal ones are counted in the shard, summed over all shards, and their sums added up for the
+n-grams of 3 to 5 words that begin them.  All counts are exact; only n-grams with an infrequent
 part are left out, whose counts nothing needs.
 
 Scale: a shard has ``SHARD_TOKENS`` words, or those of one document if that is longer, and the
-pairs that come back to it are some of its own.  The rows of a key in a merge are at most one
-for each shard.  Texts are read once; shards travel as packed arrays of numbers.  Across shards a
-word is told by 64 bits of hash.
+pairs that come back to it are some of its own.  The second reading gives at most one row for each
+word of the texts.  The rows of a key in a merge are at most one for each shard.  Texts are read
+once; shards travel as packed arrays of numbers.  Across shards a word is told by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -44,9 +45,8 @@ _ROWS = 1 << 16
 
 _WORDS = [f"w{k + 1}" for k in range(LONGEST)]
 _SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary()), ("numbers", pa.binary())])
-_PAIRS = pa.schema([("shard", pa.int64()), ("pair", pa.int64()), ("n", pa.int64())])
+_PAIRS = pa.schema([("shard", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
 _NGRAMS = pa.schema([*[(w, pa.int64()) for w in _WORDS], ("n", pa.int64())])
-_PAIR_BITS = np.uint64((1 << 48) - 1)
 
 
 def _packed(seq: np.ndarray) -> bytes:
@@ -75,13 +75,13 @@ def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def ngram_counts(seq: np.ndarray, lengths: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each length a row of numbers for each distinct n-gram of ``seq``, and their counts; 0 is a border that none crosses."""
-    depth = max(lengths)
+def _runs(seq: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the suffixes, the padded sequence, and for each suffix in that order its words before the next border and
+    those it shares with the suffix before, both ``depth`` at most."""
     order = suffix_order(seq, depth)
     padded = np.r_[seq, np.zeros(depth, dtype=seq.dtype)]
-    reach = np.zeros(len(seq), dtype=np.int8)  # words before the next border
-    common = np.zeros(len(seq), dtype=np.int8)  # words shared with the suffix before in the order
+    reach = np.zeros(len(seq), dtype=np.int8)
+    common = np.zeros(len(seq), dtype=np.int8)
     going, same = np.ones(len(seq), dtype=bool), np.ones(max(len(seq) - 1, 0), dtype=bool)
     for k in range(depth):
         word = padded[order + k]
@@ -89,6 +89,12 @@ def ngram_counts(seq: np.ndarray, lengths: tuple[int, ...]) -> dict[int, tuple[n
         same &= (word[1:] == word[:-1]) & going[1:]
         reach += going
         common[1:] += same
+    return order, padded, reach, common
+
+
+def ngram_counts(seq: np.ndarray, lengths: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length a row of numbers for each distinct n-gram of ``seq``, and their counts; 0 is a border that none crosses."""
+    order, padded, reach, common = _runs(seq, max(lengths))
     found = {}
     for k in lengths:
         borders = np.flatnonzero(common < k)
@@ -98,6 +104,15 @@ def ngram_counts(seq: np.ndarray, lengths: tuple[int, ...]) -> dict[int, tuple[n
     return found
 
 
+def longest_counts(seq: np.ndarray, least: int, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """From each place of ``seq`` the words up to the next border, ``most`` at most: by length, from ``least`` on, a row of
+    numbers for each distinct one, and how many places have it."""
+    order, padded, reach, common = _runs(seq, most)
+    borders = np.flatnonzero((common < reach) | (reach != np.r_[np.int8(-1), reach[:-1]])) if len(seq) else np.zeros(0, dtype=np.int64)
+    counts, size = np.diff(np.r_[borders, len(seq)]), reach[borders]
+    return {k: (padded[order[borders[size == k], None] + np.arange(k)], counts[size == k]) for k in range(least, most + 1)}
+
+
 class _Numbers(dict):
     """Numbers of a language's words, drawn from all words of the shard."""
 
@@ -152,25 +167,22 @@ def _sharded(tokens: int):
     return run
 
 
-def _mixed(words: list[np.ndarray]) -> np.ndarray:
-    """One number for a row of words; it may stand for several rows, which lets more through and loses nothing."""
-    out = np.zeros(len(words[0]), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for w in words:
-            out = (out ^ w.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-    return out
+def _pair_numbers(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for two words; it may stand for several pairs, which lets more through and loses nothing."""
+    turned = second.view(np.uint64)
+    return first ^ (turned << np.uint64(1) | turned >> np.uint64(63)).view(np.int64)
 
 
-def _pair_numbers(numbers: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (_mixed([numbers[first], numbers[second]]) & _PAIR_BITS).astype(np.int64)
+def _pair_number(first: str, second: str) -> Column:
+    """The same in the engine."""
+    return F.col(first).bitwiseXOR(F.shiftleft(second, 1).bitwiseOR(F.shiftrightunsigned(second, 63)))
 
 
 def _linked(seq: np.ndarray, numbers: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The stretches of ``seq`` whose pairs of neighbours are all known, each with a border behind it."""
     if len(seq) < 2:
         return seq[:0]
-    good = (seq[:-1] > 0) & (seq[1:] > 0) & np.isin(_pair_numbers(numbers, seq[:-1], seq[1:]), known)
+    good = (seq[:-1] > 0) & (seq[1:] > 0) & np.isin(_pair_numbers(numbers[seq[:-1]], numbers[seq[1:]]), known)
     turns = np.diff(np.r_[0, good.astype(np.int8), 0])
     starts, sizes = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1) - np.flatnonzero(turns == 1) + 1
     firsts = np.r_[0, np.cumsum(sizes + 1)]
@@ -192,19 +204,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, shard, seq, numbers in _shards_of(batch):
             grams, counts = ngram_counts(seq, (2,))[2]
-            pairs = _pair_numbers(numbers, grams[:, 0], grams[:, 1])
-            order = np.argsort(pairs)
-            for lo in range(0, len(order), _ROWS):
-                at = order[lo : lo + _ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(pairs[at]), pa.array(counts[at])], schema=_PAIRS)
+            for lo in range(0, len(counts), _ROWS):
+                part, n = numbers[grams[lo : lo + _ROWS]], counts[lo : lo + _ROWS]
+                columns = [np.full(len(n), shard), part[:, 0].copy(), part[:, 1].copy(), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of 2 words and more in the stretches of each shard that its frequent pairs link, with their counts."""
+    """The longest n-grams of 3 to 5 words from each place of the stretches of each shard that its frequent pairs link, with
+    their counts; see ``longest_counts``."""
     for batch in batches:
         for row, _, seq, numbers in _shards_of(batch):
             seq = _linked(seq, numbers, np.asarray(batch.column("frequent")[row].values))
-            for grams, counts in ngram_counts(seq, tuple(range(2, LONGEST + 1))).values():
+            for grams, counts in longest_counts(seq, 3, LONGEST).values():
                 for lo in range(0, len(counts), _ROWS):
                     part, n = numbers[grams[lo : lo + _ROWS]], counts[lo : lo + _ROWS]
                     words = [pa.array(part[:, k].copy()) if k < part.shape[1] else pa.nulls(len(n), pa.int64()) for k in range(LONGEST)]
@@ -231,13 +243,19 @@ def frequent_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, shard_tokens: i
     names = materialize(names.select(F.xxhash64("lang", "word").alias("number"), "lang", "word", "f"), "words")
 
     pairs = packed.mapInArrow(_pairs, _ddl(_PAIRS))
-    total = F.sum("n").over(Window.partitionBy("pair"))
-    frequent = materialize(pairs.withColumn("f", total).where(F.col("f") >= min_count).select("shard", "pair"), "frequent-pairs")
+    total = F.sum("n").over(Window.partitionBy("w1", "w2"))
+    frequent = materialize(pairs.withColumn("f", total).where(F.col("f") >= min_count).drop("n"), "frequent-pairs")
+    found = frequent.groupBy("w1", "w2").agg(F.max("f").alias("f")).select(F.array("w1", "w2").alias("words"), "f")
     # Both sides grow with the corpus, so they are merged at every size.
-    known = frequent.groupBy("shard").agg(F.collect_list("pair").alias("frequent"))
-    found = packed.join(known.hint("merge"), "shard").mapInArrow(_phrases, _ddl(_NGRAMS))
-    found = found.groupBy(*_WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    grams = names.select(F.array("number").alias("words"), "f").unionByName(found.select(F.array_compact(F.array(*_WORDS)).alias("words"), "f"))
+    known = frequent.groupBy("shard").agg(F.collect_list(_pair_number("w1", "w2")).alias("frequent"))
+    longest = packed.join(known.hint("merge"), "shard").mapInArrow(_phrases, _ddl(_NGRAMS))
+    longest = longest.groupBy(*_WORDS).agg(F.sum("n").alias("n"))
+    sizes = range(3, LONGEST + 1)
+    begun = longest.groupingSets([[F.col(w) for w in _WORDS[:k]] for k in sizes], *_WORDS).agg(F.grouping_id().alias("g"), F.sum("n").alias("f"))
+    # Groups of k words have the last of them, or their n-grams are shorter.
+    whole = F.coalesce(*[F.when(F.col("g") == (1 << LONGEST - k) - 1, F.col(_WORDS[k - 1]).isNotNull()) for k in sizes])
+    begun = begun.where((F.col("f") >= min_count) & whole).select(F.array_compact(F.array(*_WORDS)).alias("words"), "f")
+    grams = names.select(F.array("number").alias("words"), "f").unionByName(found).unionByName(begun)
     return materialize(grams, "ngrams"), names.select("number", "lang", "word"), vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

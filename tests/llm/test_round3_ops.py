@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -177,6 +178,26 @@ def test_suffix_runs():
             assert dict(zip(map(tuple, grams), counts)) == expected and len(grams) == len(expected)
 
 
+def test_second_reading_gives_a_row_for_a_place_at_most(spark):
+    """Pairs are counted in the first reading; a longer n-gram stands for those that begin it, which are summed from it."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 300):
+        seq = rng.integers(0, 4, n).astype(np.int32)
+        expected = collections.Counter()
+        for i in range(n):
+            end = next((k for k in range(i, min(i + 5, n)) if seq[k] == 0), min(i + 5, n))
+            expected[tuple(seq[i:end])] += end - i >= 3
+        got = {tuple(g): c for grams, counts in collocations.longest_counts(seq, 3, 5).values() for g, c in zip(grams.tolist(), counts)}
+        assert got == {k: v for k, v in expected.items() if v} and sum(got.values()) <= n
+    rows = [("en", "a b c d e f g h")] * 9
+    seq, numbers = np.r_[np.arange(1, 9), 0].astype(np.int32), np.arange(0, 90, 10)
+    known = collocations._pair_numbers(numbers[1:-1], numbers[2:])
+    lists = pa.array([known.tolist()], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([collocations._packed(seq)]), pa.array([numbers.tobytes()]), lists], ["shard", "ids", "numbers", "frequent"])
+    assert sum(b.num_rows for b in collocations._phrases(iter([batch]))) == 6  # not 7 pairs, 6, 5 and 4 longer ones
+    assert set(mined(spark, rows, min_count=5, top=60)) == phrases_of(rows, 5, 60)
+
+
 # --- 13 SimHash --------------------------------------------------------------
 
 
