@@ -26,17 +26,18 @@ PARSED = set(convert.IN_PYTHON) | {("md", "html")}
 PAIRS = [*NATIVE, *sorted(PARSED)]
 
 
-def convert_documents(df: DataFrame, content: str, source: str, target: str, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+def convert_documents(df: DataFrame, content: str, source: str, target: str, pairs: list[tuple[str, str]] | None = None, blank_is_empty: bool = True) -> DataFrame:
     """Adds ``converted`` and ``error`` to rows that name their formats.
 
     Conversions that need a parser go through one Python function, which looks only at the
     texts of such pairs; the others stay in the engine.  ``pairs`` names those that occur,
     where that is known, and leaves the others out of the plan.  A null or blank text, a pair
-    without a converter, and a text that cannot be read give a null and an error.
+    without a converter, and a text that cannot be read give a null and an error; without
+    ``blank_is_empty`` a blank text is converted as any other.
     """
     pairs = PAIRS if pairs is None else pairs
     of = lambda pair: (F.col(source) == pair[0]) & (F.col(target) == pair[1])
-    text = F.when(trim(F.col(content)) != "", F.col(content))
+    text = F.when(trim(F.col(content)) != "", F.col(content)) if blank_is_empty else F.col(content)
     result = F.lit(None).cast("string")
     if parsed := PARSED & set(pairs):
         df = df.withColumn("converted", convert.by_pair(F.col(source), F.col(target), text, {("md", "html"): render}))
