@@ -69,7 +69,10 @@ _CONTENT = """CASE event_type WHEN 'error' THEN ' ' WHEN 'click' THEN 'short' WH
 def editor_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The format that each user's editor shows after each three hours of quiet."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", F.expr(_CONTENT).alias("content"))
-    return jobs.detections(e, "user_id", "ts", "content", PAUSE, nulls_last=True).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "format")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # Milliseconds of the SQL: the nearest, halves away from zero.
+    ms = F.unix_millis(F.timestamp_micros(F.round(us, -3)))
+    return jobs.detections(e, "user_id", "ts", "content", PAUSE, nulls_last=True, ms=ms).select("user_id", us.alias("ts_us"), "format")
 
 
 EDITOR_SQL = f"""

@@ -3,7 +3,7 @@
 import duckdb
 
 from folioloom.functions import rules
-from folioloom.plans import workspace
+from folioloom.plans import lives, workspace
 
 BLANK = [None, "", " ", "\t\r\n", "\x0b", "\x0c \x0b", " ", " "]
 ODD_HTML = [
@@ -29,3 +29,40 @@ def test_patterns_are_read_as_in_sql(spark):
     got = [[r[k] for k in range(len(cases))] for r in texts.select(*columns).collect()]
     sql = ", ".join(rules.matches_sql("t", p, f) for p, f, _ in cases)
     assert got == [list(duckdb.execute(f"SELECT {sql} FROM (SELECT ? AS t)", [t]).fetchone()) for _, _, t in cases]
+
+
+def _events(tmp_path, rows):
+    """Events of a user each, whose times are microseconds; and a connection that has them."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, props VARCHAR)")
+    con.executemany("INSERT INTO events SELECT ?, make_timestamp(?::BIGINT), ?, ?, ?", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    return con
+
+
+def test_editor_counts_pauses_in_milliseconds_of_sql(spark, tmp_path, same_rows):
+    pause, rows = lives.PAUSE * 1000, []
+    for user, (start, gap) in enumerate((s, pause + g) for s in (0, 400, 500, 999, -1, -500, -501, 1_704_067_200_000_999) for g in (-1000, -501, -500, -1, 0, 499)):
+        rows += [(2 * user, start, user, "view", "x"), (2 * user + 1, start + gap, user, "signup", "x")]
+    con = _events(tmp_path, rows)
+    want = con.execute(lives.EDITOR_SQL).fetchdf()
+    assert len(rows) / 2 < len(want) < len(rows)
+    assert same_rows(lives.editor_formats(spark, str(tmp_path)).toPandas()) == same_rows(want)
+
+
+def test_editor_keeps_a_format_over_null_contents(spark, tmp_path, same_rows):
+    day = 86_400_000_000
+    kinds = [("view", "x"), ("view", None), (None, "x"), ("click", "x"), ("error", "x")]
+    rows = [(None if k == 2 else k, k * day, 1, *kind) for k, kind in enumerate(kinds)] + [(None, 0, 2, "signup", "x"), (9, None, 2, "view", "x")]
+    con = _events(tmp_path, rows)
+    got = lives.editor_formats(spark, str(tmp_path)).toPandas()
+    assert same_rows(got) == same_rows(con.execute(lives.EDITOR_SQL).fetchdf())
+    assert got[got.user_id == 1].sort_values("ts_us").format.fillna("none").tolist() == ["html", "html", "html", "html", "none"]
+
+
+def test_editor_takes_events_without_a_time_by_content(spark, tmp_path):
+    kinds = [("view", "x"), ("signup", "x"), ("click", "x"), ("error", "x"), ("view", None), ("purchase", "x")]
+    _events(tmp_path, [(100 * user + k, None, user, *kind) for user in range(50) for k, kind in enumerate(kinds[user % 6 :] + kinds[: user % 6])])
+    got = lives.editor_formats(spark, str(tmp_path)).groupBy("user_id", "format").count().collect()
+    # blank, page, csv, short (keeps csv), json, null (keeps json)
+    assert len(got) == 200 and {(r.format, r["count"]) for r in got} == {(None, 1), ("html", 1), ("csv", 2), ("json", 2)}
